@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op10_jaccard_join
+from . import op3_token_binary, op9_substring_dedup, op10_jaccard_join
 
-_MODULES = [op10_jaccard_join]
+_MODULES = [op3_token_binary, op9_substring_dedup, op10_jaccard_join]
 
 
 def queries() -> dict:

@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from . import op3_token_binary, op9_substring_dedup, op10_jaccard_join
+from . import (
+    op1_line_dedup,
+    op2_decontaminate,
+    op3_token_binary,
+    op4_url_rules,
+    op5_language,
+    op6_hash_tree,
+    op7_transport_stream,
+    op8_mixing,
+    op9_substring_dedup,
+    op10_jaccard_join,
+)
 
-_MODULES = [op3_token_binary, op9_substring_dedup, op10_jaccard_join]
+_MODULES = [op1_line_dedup, op2_decontaminate, op3_token_binary, op4_url_rules, op5_language, op6_hash_tree, op7_transport_stream, op8_mixing, op9_substring_dedup, op10_jaccard_join]
 
 
 def queries() -> dict:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from . import evaluation_queries, feature_queries, fundamental_queries, pit_queries  # noqa: F401  (they register)
+from .registry import QUERIES, SQL
+
 
 def entry(spark, sf_dir):
-    raise NotImplementedError
+    """Monthly rank IC of momentum: bars, features, month ends, ranks, correlation."""
+    return evaluation_queries.monthly_ic(spark, sf_dir, min_names=8)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -42,21 +42,21 @@ def ttm_sum(spark, d):
     return Q.ttm(R.quarters(spark, d)).select("cik", "ddate", F.round("ttm", 2).alias("ttm"), "avail")
 
 
-ANNUAL = "an as (select cik, make_date(year(ddate), 12, 31) as ddate, max(filed) as filed, round(sum(value) * 1.1, 2) as value from quarters group by 1, 2), qs as (select * from quarters where not (month(ddate) = 12 and cik % 2 = 0))"
+ANNUAL = "an as (select cik, make_date(year(ddate), 12, 31) as ddate, max(filed) as filed, round(sum(value) * 1.1, 5) as value from quarters group by 1, 2), qs as (select * from quarters where not (month(ddate) = 12 and cik % 2 = 0))"
 
 
 def _annual(spark, d):
     q = R.quarters(spark, d)
-    an = q.groupBy("cik", F.make_date(F.year("ddate"), F.lit(12), F.lit(31)).alias("ddate")).agg(F.max("filed").alias("filed"), F.round(F.sum("value") * F.lit(1.1), 2).alias("value"))
+    an = q.groupBy("cik", F.make_date(F.year("ddate"), F.lit(12), F.lit(31)).alias("ddate")).agg(F.max("filed").alias("filed"), F.round(F.sum("value") * F.lit(1.1), 5).alias("value"))
     return an, q.where(~((F.month("ddate") == 12) & (F.col("cik") % 2 == 0)))
 
 
 @query(f"""with {BASE}, {ANNUAL}, t as (select a.cik, a.ddate, a.value, a.filed, count(*) as n, sum(q.value) as three, max(q.filed) as lf from an a join qs q on q.cik = a.cik and a.ddate - q.ddate between 45 and 330 group by 1, 2, 3, 4 having count(*) = 3)
 select cik, ddate, filed, round(value, 2) as value, false as derived from qs union all
-select cik, ddate, greatest(filed, lf), round(value - three, 2), true from t where not exists (select 1 from qs where qs.cik = t.cik and qs.ddate = t.ddate)""")
+select cik, ddate, greatest(filed, lf), round(value - three, 5), true from t where not exists (select 1 from qs where qs.cik = t.cik and qs.ddate = t.ddate)""")
 def q4_derivation(spark, d):
     an, qs = _annual(spark, d)
-    return Q.fourth_quarters(an, qs).withColumn("value", F.round("value", 2))
+    return Q.fourth_quarters(an, qs).withColumn("value", F.round("value", 5))
 
 
 YTD = "ytd as (select cik, ddate, quarter(ddate)::int as qtrs, filed, round(sum(value) over (partition by cik, year(ddate) order by ddate), 2) as value from quarters)"

@@ -97,13 +97,13 @@ def staleness_filter(spark, d):
 
 @query(f"""with {R.BARS}, {R.FACTS}, ev as (select cik, filed, ddate, round(sum(shares), 2) as shares from facts group by 1, 2, 3),
 st as (select * from (select *, max(ddate) over (partition by cik order by filed, ddate rows unbounded preceding) as newest from ev) where ddate >= newest qualify row_number() over (partition by cik, filed order by ddate desc) = 1)
-select b.ticker, b.date, round(b.close * s.shares, 4) as cap, round(case when b.close * s.shares > 0 then ln(b.close * s.shares) end, 8) as log_cap from bars b asof left join st s on b.ticker = s.cik and b.date >= s.filed""")
+select b.ticker, b.date, round(b.close * s.shares, 7) as cap, round(case when b.close * s.shares > 0 then ln(b.close * s.shares) end, 8) as log_cap from bars b asof left join st s on b.ticker = s.cik and b.date >= s.filed""")
 def market_cap_pit(spark, d):
     ev = R.facts(spark, d).groupBy("cik", "filed", "ddate").agg(F.round(F.sum("shares"), 2).alias("shares"))
     st = P.as_of_states(ev, "cik", "filed", "ddate").withColumnRenamed("cik", "ticker")
     rows = P.asof_backward(R.bars(spark, d).select("ticker", "date", "close"), st, "ticker", "date", "filed", ["shares"])
     cap = F.col("close") * F.col("shares")
-    return rows.select("ticker", "date", F.round(cap, 4).alias("cap"), F.round(F.when(cap > 0, F.ln(cap)), 8).alias("log_cap"))
+    return rows.select("ticker", "date", F.round(cap, 7).alias("cap"), F.round(F.when(cap > 0, F.ln(cap)), 8).alias("log_cap"))
 
 
 @query("""with s as (select s_suppkey as ticker, s_nationkey, case when s_nationkey < 2 then 'AGRICULTURE' when s_nationkey < 5 then 'MINING' when s_nationkey < 9 then 'CONSTRUCTION' when s_nationkey < 16 then 'MANUFACTURING' else 'UNKNOWN' end as division,

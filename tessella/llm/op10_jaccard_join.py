@@ -17,8 +17,8 @@ always suffices. Equal sets are one class before anything is joined.
 In a bucket (equal blocks), first each class meets the bucket's smallest
 class, its most frequent such partner only; then only classes that are still
 in different components meet, filtered by size and by the Hamming distance
-of 512-bit parity sketches. Every surviving pair is verified on the full
-shingle sets, so the result is exact up to 64-bit hash collisions.
+of 512-bit parity sketches, then of sketches as wide as the sets. Every
+surviving pair is verified on the full shingle sets, so the result is exact up to 64-bit hash collisions.
 
 Cases: null text, empty text and text without words have no shingle
 (n_shingles 0, component_id = own doc_id); under five words the whole
@@ -47,6 +47,7 @@ GROWTH = 4  # ratio of a size band
 LOAD = 1.5  # most shingles per block in a band
 SKETCH = 8  # 64-bit words of the filter sketch
 HOT_SHARE = 500  # a shingle in more than 1/HOT_SHARE of the documents goes last
+COUNT_AT_ONCE = 1 << 20  # shingles
 BROADCAST_BYTES = 8 << 20  # of the table's files; beyond it joins shuffle
 
 _U = np.uint64
@@ -173,10 +174,23 @@ def parity(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 _PROFILE = "doc_id long, n_shingles long, sid long, weak long, hot long, hot_n long, " + ", ".join(f"{x} long" for x in _SK)
 
 
+def _common(waiting: list[np.ndarray], docs: int, hot: dict[int, int]) -> None:
+    """Adds to hot the shingles that a few of the waiting sets share; keeps it small."""
+    x = np.sort(np.concatenate(waiting))
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+    c = np.diff(np.append(at, len(x)))
+    for v, m in zip(x[at][c > 2].tolist(), c[c > 2].tolist()):
+        hot[v] = hot.get(v, 0) + m
+    if len(hot) > 1 << 18:
+        for v in [v for v, m in hot.items() if m <= docs / HOT_SHARE / 2]:
+            del hot[v]
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document; then a row per shingle that many of the task's documents have, and per weak band."""
     hot: dict[int, int] = {}
     weak: set[int] = set()
+    waiting: list[np.ndarray] = []
     docs = 0
 
     def rows(k: int, **given) -> pa.RecordBatch:
@@ -188,17 +202,14 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, bounds = shingles(buf, off)
             weak |= set(signatures(h, bounds, None, set())[2].tolist())
             docs += hi - lo
-            if hi - lo > 2:
-                x = np.sort(h)
-                at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
-                c = np.diff(np.append(at, len(x)))
-                for v, m in zip(x[at][c > 2].tolist(), c[c > 2].tolist()):
-                    hot[v] = hot.get(v, 0) + m
-                if len(hot) > 1 << 18:
-                    least = docs / HOT_SHARE / 2
-                    hot = {v: m for v, m in hot.items() if m > least}
+            waiting.append(h)
+            if sum(map(len, waiting)) > COUNT_AT_ONCE:
+                _common(waiting, docs, hot)
+                waiting = []
             s = parity(h, bounds)
             yield rows(hi - lo, doc_id=batch.column(0).slice(lo, hi - lo), n_shingles=pa.array(np.diff(bounds)), sid=pa.array(set_ids(h, bounds)), **{x: pa.array(K.signed(np.ascontiguousarray(s[:, i]))) for i, x in enumerate(_SK)})
+    if waiting:
+        _common(waiting, docs, hot)
     hot = {v: m for v, m in hot.items() if m > docs / HOT_SHARE / 2}
     if hot:
         yield rows(len(hot), hot=pa.array(np.fromiter(hot, _U, len(hot)).view(np.int64)), hot_n=pa.array(list(hot.values()), pa.int64()))
@@ -231,6 +242,32 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(want[good]), pa.array([h[b[i] : b[i + 1]].tobytes() for i in good.tolist()], pa.binary())], ["sid", "items"])
 
 
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parity sketch of two to four cells per shingle; its halves XORed are the sketch of half the cells."""
+    for batch in _sets(batches):
+        out = []
+        for x in batch.column(1):
+            h = np.frombuffer(x.as_buffer(), _U)
+            cells = 1 << max(9, (2 * len(h) - 1).bit_length())
+            odd = np.bincount((K.mix(h) & _U(cells - 1)).astype(np.int64), minlength=cells) & 1
+            out.append(np.array([len(h)], "<i8").tobytes() + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["sid", "items"])
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b, x, y = (batch.column(i) for i in range(4))
+        ok = []
+        for s, t in zip(x, y):
+            (n, p), (m, q) = ((int(np.frombuffer(z, "<i8", 1)[0]), np.frombuffer(z, np.uint8, offset=8)) for z in (s.as_buffer(), t.as_buffer()))
+            while len(p) != len(q):
+                p, q = sorted((p, q), key=len)
+                q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+            ok.append(int(np.bitwise_count(p ^ q).sum()) <= (n + m) * (100 - PERCENT) // (100 + PERCENT))
+        ok = pa.array(ok, pa.bool_())
+        yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], ["a", "b"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, x, y = (batch.column(i) for i in range(4))
@@ -261,17 +298,22 @@ def _links(docs: DataFrame, classes: Staged, pairs: DataFrame) -> DataFrame:
     """The (a, b) of pairs whose sets are similar enough, on the sets themselves."""
     c = classes.df().select("sid", "n_shingles", *_SK)
     near = pairs.alias("p").join(c.alias("x"), F.expr("p.a = x.sid")).join(c.alias("y"), F.expr("p.b = y.sid")).where(_close("x", "y")).select("p.a", "p.b")
-    near = Staged(near, "pairs")
-    n = near.df()
+    near = _compared(docs, classes, Staged(near, "pairs"), _wide, _near)
+    out = _compared(docs, classes, near, _sets, _verify)
+    return out.df()
+
+
+def _compared(docs: DataFrame, classes: Staged, pairs: Staged, make, keep) -> Staged:
+    """The pairs that ``keep`` lets through, by what ``make`` computes of their sets' texts."""
+    n = pairs.df()
     involved = n.select(F.col("a").alias("sid")).unionByName(n.select(F.col("b").alias("sid"))).distinct()
     reps = Staged(involved.join(classes.df().select("sid", F.col("rep").alias("doc_id")), "sid"), "reps")
-    sets = docs.join(_small(reps), "doc_id").select("sid", "text").mapInArrow(_sets, "sid long, items binary")
-    sets = Staged(sets, "sets")
-    x, y = (sets.df().select(F.col("sid").alias(k), F.col("items").alias(f"items_{k}")) for k in "ab")
-    out = Staged(n.join(x, "a").join(y, "b").select("a", "b", "items_a", "items_b").mapInArrow(_verify, "a long, b long").distinct(), "links")
-    for t in (near, reps, sets):
+    made = Staged(docs.join(_small(reps), "doc_id").select("sid", "text").mapInArrow(make, "sid long, items binary"), "made")
+    x, y = (made.df().select(F.col("sid").alias(k), F.col("items").alias(f"items_{k}")) for k in "ab")
+    out = Staged(n.join(x, "a").join(y, "b").select("a", "b", "items_a", "items_b").mapInArrow(keep, "a long, b long").distinct(), "kept")
+    for t in (pairs, reps, made):
         t.drop()
-    return out.df()
+    return out
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -290,7 +332,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
     by = Window.partitionBy("key")
     keys = docs.where("doc_id is not null").select("text").mapInArrow(_emitter(hot, plain), "key long, sid long")
-    keys = keys.withColumn("low", F.min("sid").over(by)).withColumn("high", F.max("sid").over(by)).where("low <> high").select("key", "sid", "low")
+    keys = keys.withColumn("low", F.min("sid").over(by)).withColumn("high", F.max("sid").over(by)).where("low <> high").select("key", "sid", "low").distinct()  # dealt out by key already
     buckets = Staged(keys, "buckets")
 
     votes = buckets.df().where("sid <> low").groupBy("sid", "low").count()
@@ -298,10 +340,15 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     links = _links(docs, classes, first.df())
     roots = components(links)
 
-    member = buckets.df().select("key", "sid").distinct()
-    member = member.withColumn("root", F.col("sid")) if roots is None else member.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    open_ = member.withColumn("lo", F.min("root").over(by)).withColumn("hi", F.max("root").over(by)).where("lo <> hi").select("key", "sid", "root")
-    open_ = Staged(open_.join(classes.df().select("sid", "n_shingles", *_SK), "sid"), "open")
+    member = buckets.df().select("key", "sid")
+    if roots is None:
+        member = member.withColumn("root", F.col("sid"))
+    else:
+        known = Staged(roots.withColumnRenamed("node", "sid"), "known")
+        member = member.join(_small(known), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    open_ = Staged(member.withColumn("lo", F.min("root").over(by)).withColumn("hi", F.max("root").over(by)).where("lo <> hi").select("key", "sid", "root"), "open")
+    facts = Staged(classes.df().join(open_.df().select("sid").distinct(), "sid").select("sid", "n_shingles", *_SK), "facts")
+    open_ = Staged(open_.df().join(_small(facts), "sid"), "open")
     x, y = open_.df().alias("x"), open_.df().alias("y")
     pairs = x.join(y, F.expr(f"x.key = y.key and x.sid > y.sid and x.root <> y.root and {_close('x', 'y')}")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
     more = _links(docs, classes, pairs.join(first.df(), ["a", "b"], "left_anti"))

@@ -69,11 +69,11 @@ def veto_exclusion(spark, d):
 SPIKES = "ev as (select ticker, date from (select ticker, date, volume, row_number() over (partition by ticker order by volume desc, date) as rn from bars) where rn <= 3)"
 
 
-def spikes(spark, d):
+def spikes(spark, d, bars=None):
     from pyspark.sql import Window
 
     rn = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("volume"), "date"))
-    return R.bars(spark, d).withColumn("rn", rn).where("rn <= 3").select("ticker", "date")
+    return (R.bars(spark, d) if bars is None else bars).withColumn("rn", rn).where("rn <= 3").select("ticker", "date")
 
 
 @query(f"""with {R.BARS}, {CAL}, {SPIKES}, r as (select ticker, date, close / lag(close) over (partition by ticker order by date) - 1 as r from bars),
@@ -84,12 +84,12 @@ def calendar_time_book(spark, d):
     return E.calendar_book(spikes(spark, d), b, calendar(b)).withColumn("ret", F.round("ret", 8))
 
 
-@query(f"""with {R.BARS}, {CAL}, {SPIKES}, px as (select ticker, pos as p, close from bars join cal using (date)), e as (select ev.ticker, ev.date, pos + 1 as entry from ev join cal using (date)),
+@query(f"""with {R.BARS.replace('bars as', 'single as', 1)}, bars as (select ticker % 4 as ticker, date, avg(close) as close, sum(volume) as volume from single group by 1, 2), {CAL}, {SPIKES}, px as (select ticker, pos as p, close from bars join cal using (date)), e as (select ev.ticker, ev.date, pos + 1 as entry from ev join cal using (date)),
 l as (select e.ticker, e.date, o.k, x.close / b.close - 1 as car from e join px b on b.ticker = e.ticker and b.p = entry join (select unnest([1, 2, 3]) as k) o on true join px x on x.ticker = e.ticker and x.p = entry + k)
 select ticker, date, k, round(car, 8) as car from l qualify count(*) over (partition by ticker, date) = 3""")
 def event_car(spark, d):
-    b = R.bars(spark, d)
-    return E.abnormal_curve(spikes(spark, d), b, calendar(b), (1, 2, 3)).withColumn("car", F.round("car", 8))
+    b = R.bars(spark, d).groupBy((F.col("ticker") % 4).alias("ticker"), "date").agg(F.avg("close").alias("close"), F.sum("volume").alias("volume"))
+    return E.abnormal_curve(spikes(spark, d, b), b, calendar(b), (1, 2, 3)).withColumn("car", F.round("car", 8))
 
 
 @query(f"""with {R.BARS}, {CAL}, {SPIKES}, e as (select ticker, date, pos, pos - 252 as cp from ev join cal using (date)),

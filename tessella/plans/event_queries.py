@@ -199,7 +199,7 @@ select n, round(y - b1 * m - b2 * s, 7) as alpha, round(b1, 6) as mkt, round(b2,
 def ff_ols(spark, d):
     p = crypto(spark, d)
     f = p.groupBy("date").agg(F.avg("r").alias("mkt"), F.avg(F.when(F.col("symbol") < 20, F.col("r"))).alias("smb"), F.avg(F.when(F.col("symbol") == 7, F.col("r"))).alias("ret"))
-    scale = 0.1  # the driver table's returns are far larger than decimals of a day
+    scale = 0.01  # the driver table's returns are far larger than decimals of a day
     a = B.attribution(f.select("date", (F.col("ret") * scale).alias("ret")), f.select("date", (F.col("mkt") * scale).alias("mkt"), (F.col("smb") * scale).alias("smb")), ["mkt", "smb"], 6)
     row = (a["n"], round(a["alpha"] / scale, 7), round(a["loadings"]["mkt"], 6), round(a["loadings"]["smb"], 6), round(a["r2"], 6))
     return spark.createDataFrame([row], "n long, alpha double, mkt double, smb double, r2 double")

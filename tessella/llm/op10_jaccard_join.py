@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .staging import Staged
+from .staging import Staged, bounded
 
 WORDS = 5
 PERCENT = 75
@@ -318,7 +318,7 @@ def _compared(docs: DataFrame, classes: Staged, pairs: Staged, make, keep) -> St
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id long, text string)."""
-    spark: SparkSession = docs.sparkSession
+    spark: SparkSession = bounded(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = Staged(docs.mapInArrow(_profile, _PROFILE), "profile")
     rows = seen.df().where("hot is null and weak is null")

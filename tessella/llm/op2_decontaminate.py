@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .staging import bounded
 
 SEGMENT, PASSAGE, STRIDE = 64, 128, 64
 BLOCK = 32
@@ -255,6 +256,7 @@ def index_blocks(benchmark: DataFrame) -> Iterator[Index]:
 
 def mark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with n_passages, best_score, items (item_ids found) and contaminated added."""
+    bounded(docs.sparkSession)
     names = docs.columns
     out = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), docs["text"].alias("t"))
     kind = out.schema["row"].dataType.simpleString()
@@ -270,7 +272,7 @@ def mark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = bounded(spark).read.parquet(f"{sf_dir}/documents.parquet")
     blocks = list(index_blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
     if len(blocks) > 1:
         out = mark(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

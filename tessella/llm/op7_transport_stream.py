@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .staging import Staged
+from .staging import Staged, bounded
 
 PACKET, ROOM = 188, 184
 PMT_PID, ES_PID, PROGRAM = 0x1000, 0x0100, 1
@@ -251,11 +251,13 @@ _COLUMNS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 
 def store_streams(docs: DataFrame) -> Staged:
     """doc_id, n_bytes and the transport stream of each text, as a table in the shared folder."""
+    bounded(docs.sparkSession)
     return Staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary"), "streams")
 
 
 def read_streams(media: DataFrame) -> DataFrame:
     """What the stored streams hold, from their bytes; timestamps and random-access points as lists."""
+    bounded(media.sparkSession)
     return media.mapInArrow(_read, _COLUMNS)
 
 

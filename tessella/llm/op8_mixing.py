@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from . import kernels as K
-from .staging import Staged, partitions
+from .staging import Staged, bounded, partitions
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -114,7 +114,7 @@ def _round(level: int):
 
 def copies(docs: DataFrame) -> DataFrame:
     """doc_id, source, h, size, source_size, target, copies of each row of docs (doc_id, source, text)."""
-    spark = docs.sparkSession
+    spark = bounded(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("h"), "text")
     sized = Staged(rows.mapInArrow(_sizes, "doc_id long, source string, h long, size long"), "sizes")
     # one row per source

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import bitmap
 from . import kernels as K
-from .staging import Staged
+from .staging import Staged, bounded
 
 WINDOW = 13
 GRAM = 6
@@ -140,7 +140,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame) -> Staged:
     """(doc_id, crc of the text, spans) of the documents that lose windows; spans: first and last window of each run."""
-    spark = docs.sparkSession
+    spark = bounded(docs.sparkSession)
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     anchors = docs.select("text").mapInArrow(_anchors, "anchor long, docs int").groupBy("anchor").agg(F.sum("docs").alias("docs")).where("docs > 1").select("anchor")
     anchors = Staged(anchors, "anchors")

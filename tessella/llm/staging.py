@@ -13,6 +13,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+BATCH_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of at most BATCH_BYTES: rows vary from a few bytes to whole books."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +59,24 @@ class Staged:
         fs.delete(path, True)
 
 
+class Bucketed:
+    """A table written once, dealt out and sorted by a column, so that joins on it need no exchange."""
+
+    def __init__(self, df: DataFrame, name: str, by: str):
+        self.spark = df.sparkSession
+        self.path = new_path(self.spark, name)
+        self.name = "tessella_" + self.path.rsplit("/", 1)[1].replace("-", "_")
+        df.write.bucketBy(partitions(self.spark), by).sortBy(by).option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
+
+    def df(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"drop table if exists {self.name}")
+        path, fs = _fs(self.spark, self.path)
+        fs.delete(path, True)
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())

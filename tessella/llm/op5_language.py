@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .staging import bounded
 
 UND = "und"
 TRIGRAMS, BIGRAMS = 4096, 1024
@@ -86,8 +87,9 @@ def has_letter(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def svm(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights of the machine that tells y = 1 from y = -1."""
-    x, y = x.astype(np.float64), y.astype(np.float64)
+    x, y = np.asarray(x, np.float32), y.astype(np.float64)
     gram = x @ x.T
+    own = np.diag(gram).astype(np.float64)
     alpha, f = np.zeros(len(y)), np.zeros(len(y))
     diag = 1 / (2 * COST)
     order = np.random.default_rng(7).permutation(len(y))
@@ -95,21 +97,21 @@ def svm(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         worst = 0.0
         for i in order.tolist():
             g = y[i] * f[i] - 1 + diag * alpha[i]
-            new = max(0.0, alpha[i] - g / (gram[i, i] + diag))
+            new = max(0.0, alpha[i] - g / (own[i] + diag))
             if new != alpha[i]:
                 worst = max(worst, abs(new - alpha[i]))
                 f += (new - alpha[i]) * y[i] * gram[:, i]
                 alpha[i] = new
         if worst < 1e-3:
             break
-    return (x.T @ (alpha * y)).astype(np.float32)
+    return x.T @ (alpha * y).astype(np.float32)
 
 
 class Duel:
     """One against one over names; ``weights`` (WIDTH + 1, pairs)."""
 
-    def __init__(self, x: np.ndarray, names: np.ndarray):
-        self.names = sorted(set(names.tolist()))
+    def __init__(self, x: np.ndarray, names: np.ndarray, among: np.ndarray | None = None):
+        self.names = sorted(set(names.tolist() if among is None else names[among].tolist()))
         self.pairs = list(combinations(range(len(self.names)), 2))
         made = []
         for a, b in self.pairs:
@@ -139,7 +141,7 @@ class Model:
         lang = np.array(langs, object)
         fam = np.array([family(v) for v in langs], object)
         self.families = Duel(x, fam)
-        self.inside = [Duel(x[fam == f], lang[fam == f]) for f in self.families.names]
+        self.inside = [Duel(x, lang, fam == f) for f in self.families.names]
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         out, score = [UND] * len(x), np.zeros(len(x))
@@ -194,12 +196,15 @@ def train(docs: DataFrame) -> Model | None:
     got.sort(key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, bytes(r.x)))
     if not got:
         return None
-    return Model(np.stack([np.frombuffer(r.x, np.float16).astype(np.float32) for r in got]), [r.lang for r in got])
+    langs, x = [r.lang for r in got], np.empty((len(got), WIDTH + 1), np.float32)
+    for i in range(len(got)):
+        x[i], got[i] = np.frombuffer(got[i].x, np.float16), None
+    return Model(x, langs)
 
 
 def detect(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred and score added; predictions see the text alone."""
-    spark = docs.sparkSession
+    spark = bounded(docs.sparkSession)
     names = docs.columns
     kind = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), docs["text"].alias("t"))
     schema = f"row {kind.schema['row'].dataType.simpleString()}, lang_pred string, score double"
@@ -208,7 +213,7 @@ def detect(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = bounded(spark).read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs)
     rows = docs.select("doc_id", "text").mapInArrow(_predict(spark.sparkContext.broadcast(model)), "row long, lang_pred string, score double")
     return rows.select(F.col("row").alias("doc_id"), held_out(F.col("row")).alias("held_out"), "lang_pred", "score")

@@ -40,17 +40,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .staging import Staged, new_path, partitions
+from .staging import Staged, bounded, new_path, partitions
 
 END_ID = 2
 MAX_BITS = 16
 STRIDE = 256
 BLOCK_IDS = 1 << 17
-PIECES_KEPT = 400_000  # of a worker's memory of encoded pieces
+NEAR_KEPT, PIECES_KEPT = 30_000, 1_000_000  # of a worker's memory of encoded pieces
 MAGIC = b"TSH1"
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _SPACE = r"\t\n\r "
+_BLANK = "\t\n\r "
 _PLAIN = re.compile(f"[{_SPACE}!-~{_LETTER}×÷¡§«»¿‘’“”„–—…€]*")
 _PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^{_SPACE}{_LETTER}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _loaded: dict[str, tuple] = {}
@@ -65,7 +66,10 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.near: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else -1
 
     @staticmethod
     def of(path: str) -> PieceEncoder:
@@ -74,22 +78,48 @@ class PieceEncoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def pieces(self, fresh: list[str]) -> list[bytes]:
+        """Ids of pieces of plain texts; those without white space at an end go in one text, split at line feeds."""
+        inner = [p for p in fresh if p.strip(" ") and p[-1] not in _BLANK and p[0] not in "\t\n\r"]
+        out = {}
+        if inner:
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(inner)], add_special_tokens=False)[0].ids, self.dtype)
+            at = np.flatnonzero(ids == self.feed)
+            if len(at) == len(inner) - 1:
+                raw, cuts = ids.tobytes(), (np.concatenate([[-1], at, [len(ids)]]) * self.dtype.itemsize).tolist()
+                w = self.dtype.itemsize
+                out = {p: raw[lo + w : hi] for p, lo, hi in zip(inner, cuts, cuts[1:])}
+        rest = [p for p in fresh if p not in out]
+        return list(map((out | dict(zip(rest, self.whole(rest)))).__getitem__, fresh))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_PIECE.findall(t) if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
         other = iter(self.whole([t for t, p in zip(texts, split) if p is None]))
-        fresh = list(set(chain.from_iterable(p for p in split if p is not None)).difference(self.known))
-        known = self.known
-        if fresh:
-            new = dict(zip(fresh, self.whole(fresh)))
-            if len(known) + len(new) <= PIECES_KEPT:
-                known.update(new)
-                get = known.__getitem__
+        flat = list(chain.from_iterable(p for p in split if p is not None))
+        ids = list(map(self.near.get, flat))  # the first pieces seen: few, frequent, and so in the processor's cache
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            rare = [flat[i] for i in missing]
+            found = list(map(self.known.get, rare))
+            fresh = list({p for p, x in zip(rare, found) if x is None})
+            if fresh:
+                new = dict(zip(fresh, self.pieces(fresh)))
+                room = NEAR_KEPT - len(self.near)
+                if room > 0:
+                    self.near.update((p, new[p]) for p in fresh[:room])
+                if len(self.known) + len(new) <= PIECES_KEPT:
+                    self.known.update(new)
+                found = [new[p] if x is None else x for p, x in zip(rare, found)]
+            for i, x in zip(missing, found):
+                ids[i] = x
+        out, lo = [], 0
+        for p in split:
+            if p is None:
+                out.append(next(other))
             else:
-                both = {p: known[p] for p in set(chain.from_iterable(p for p in split if p is not None)).intersection(known)} | new
-                get = both.__getitem__
-        else:
-            get = known.__getitem__
-        return [next(other) if p is None else b"".join(map(get, p)) for p in split]
+                out.append(b"".join(ids[lo : lo + len(p)]))
+                lo += len(p)
+        return out
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -236,8 +266,8 @@ def _counts(dtype: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, open_ = np.zeros(0, np.int64), zstandard.ZstdDecompressor()
         for batch in batches:
-            for x in batch.column(0):
-                c = np.bincount(np.frombuffer(open_.decompress(x.as_py()), dtype))
+            for lo in range(0, len(batch), 256):
+                c = np.bincount(np.frombuffer(b"".join(open_.decompress(x.as_py()) for x in batch.column(0)[lo : lo + 256]), dtype))
                 if len(c) > len(total):
                     c, total = total, c.astype(np.int64)
                 total[: len(c)] += c
@@ -275,7 +305,7 @@ def _encode(dtype: np.dtype, book, offset):
     return run
 
 
-def _decode(book):
+def _decode(book, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(book.value)
         for batch in batches:
@@ -285,17 +315,16 @@ def _decode(book):
                 for (first, doc, count, _, _), ids in zip(opened, decoder.run([(m, int(c.sum()), p) for _, _, c, m, p in opened])):
                     end = np.cumsum(count)
                     raw = ids.astype("<u4").tobytes()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc, pa.int64()), pa.array(first + end - count), pa.array(count), pa.array([zlib.crc32(memoryview(raw)[4 * (e - c) : 4 * e]) for c, e in zip(count.tolist(), end.tolist())], pa.int64()), pa.array([raw[4 * (e - c) : 4 * e] for c, e in zip(count.tolist(), end.tolist())], pa.binary())],
-                        ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                    )
+                    each = [memoryview(raw)[4 * (e - c) : 4 * e] for c, e in zip(count.tolist(), end.tolist())]
+                    cols = [pa.array(doc, pa.int64()), pa.array(first + end - count), pa.array(count), pa.array(list(map(zlib.crc32, each)), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(cols + [pa.array(each, pa.binary())] * with_ids, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
     return run
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
     """Writes ``path/blocks`` and ``path/book`` of the texts of docs (doc_id long, text string)."""
-    spark = docs.sparkSession
+    spark = bounded(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dtype = PieceEncoder.of(tokenizer).dtype
     n = partitions(spark)
@@ -318,11 +347,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
     staged.drop()
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, ids (little-endian unsigned 32-bit) of the files alone."""
-    lengths = np.frombuffer(spark.read.schema("lengths binary, max_bits int, stride int").parquet(f"{path}/book").first().lengths, np.uint8)
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (and ids, little-endian unsigned 32-bit) of the files alone."""
+    lengths = np.frombuffer(bounded(spark).read.schema("lengths binary, max_bits int, stride int").parquet(f"{path}/book").first().lengths, np.uint8)
     blocks = spark.read.schema("first_id long, n_docs int, n_ids long, block binary").parquet(f"{path}/blocks").select("first_id", "block")
-    return blocks.mapInArrow(_decode(spark.sparkContext.broadcast(lengths)), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return blocks.mapInArrow(_decode(spark.sparkContext.broadcast(lengths), with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def token_digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -333,7 +362,7 @@ def token_digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     path = new_path(spark, "tokens")
     write_tokens(docs, tokenizer, path)
-    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_tokens(spark, path, with_ids=False)
 
 
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,14 @@ def test_equals_the_tokenizer(spark, monkeypatch):
     assert got(spark, docs) == plain(docs)
 
 
+def test_ids_are_read_back(spark, tmp_path):
+    docs = [(2, "a b"), (1, "c"), (9, None)]
+    T.write_tokens(spark.createDataFrame(docs, "doc_id long, text string"), PATH, f"file://{tmp_path}/t")
+    t = Tokenizer.from_file(PATH)
+    out = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in T.read_tokens(spark, f"file://{tmp_path}/t").collect()}
+    assert out == {i: t.encode(x or "").ids + [2] for i, x in docs}
+
+
 def test_ties_nulls_and_empty(spark):
     assert got(spark, []) == []
     out = got(spark, [(None, "z"), (5, "b c"), (5, "b c"), (2, None)])
@@ -45,6 +53,7 @@ def test_ties_nulls_and_empty(spark):
 def test_piece_memory_is_only_a_memory(monkeypatch):
     a, b = T.PieceEncoder(PATH), T.PieceEncoder(PATH)
     monkeypatch.setattr(T, "PIECES_KEPT", 40)
+    monkeypatch.setattr(T, "NEAR_KEPT", 7)
     texts = [" ".join(f"wo{i * j % 97}rd" for j in range(50)) for i in range(30)]
     for t in texts:
         assert b.encode([t, t[:20]]) == a.whole([t, t[:20]])

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .staging import Staged
+from .staging import Bucketed, Staged, bounded, partitions
 
 PERCENT = 85
 SMALL = -(-PERCENT // (100 - PERCENT))  # the least set that can have another as its match
@@ -75,36 +75,71 @@ def class_ids(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return K.signed(K.mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(_U)) >> _U(1))
 
 
-_SCAN = "lid long, n int, doc_id long, crc long, line int, word long, seen long"
+_SCAN = "lid long, n int, doc_id long, crc long, line int, part int, words binary, seen binary"
+_NAMES = [c.split()[0] for c in _SCAN.split(", ")]
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per line with words; and per task the lines of each word."""
-    waiting: list[np.ndarray] = []
+def _packed(words: np.ndarray, counts: np.ndarray, parts: int) -> tuple[list[int], list[bytes], list[bytes]]:
+    """Sorted words and counts cut into ranges of the words, one row each."""
+    cut = np.searchsorted(words, (np.arange(parts + 1) * ((1 << 63) // parts)).astype(_U))
+    cut[-1] = len(words)
+    rows = [(p, words[lo:hi].tobytes(), counts[lo:hi].astype("<u4").tobytes()) for p, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if hi > lo]
+    return tuple(map(list, zip(*rows))) if rows else ([], [], [])
 
-    def counted():
-        x = np.sort(np.concatenate(waiting))
-        at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
-        n = len(at)
-        return pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())), pa.array(K.signed(x[at])), pa.array(np.diff(np.append(at, len(x))))], [c.split()[0] for c in _SCAN.split(", ")])
+
+def _scan(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per line with words; and per task and range of words, their numbers of lines."""
+        waiting: list[np.ndarray] = []
+
+        def counted():
+            x = np.sort(np.concatenate(waiting))
+            at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+            part, words, seen = _packed(x[at], np.diff(np.append(at, len(x))), parts)
+            none = [pa.nulls(len(part), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())]
+            return pa.RecordBatch.from_arrays([*none, pa.array(part, pa.int32()), pa.array(words, pa.binary()), pa.array(seen, pa.binary())], _NAMES)
+
+        for batch in batches:
+            for lo, hi, buf, off in K.slices(batch.column(1)):
+                loff, first = lines(buf, off)
+                x, bounds = word_sets(buf, loff)
+                n = np.diff(bounds)
+                waiting.append(x)
+                real = np.flatnonzero(n)
+                doc = np.searchsorted(first, real, side="right") - 1
+                crc = np.array([zlib.crc32(buf[s:e]) for s, e in zip(off[:-1].tolist(), off[1:].tolist())], np.int64)
+                ids = batch.column(0).slice(lo, hi - lo).fill_null(LAST).to_numpy()
+                none = pa.nulls(len(real), pa.int32()), pa.nulls(len(real), pa.binary()), pa.nulls(len(real), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(class_ids(x, bounds)[real]), pa.array(n[real].astype(np.int32)), pa.array(ids[doc]), pa.array(crc[doc]), pa.array((real - first[doc]).astype(np.int32)), *none], _NAMES)
+                if sum(map(len, waiting)) > FLUSH:
+                    yield counted()
+                    waiting = []
+        if waiting:
+            yield counted()
+
+    return run
+
+
+def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the packed counts; all rows of a range are in one task. Words of over three lines go on."""
+    words: dict[int, list] = {}
+
+    def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        w, c = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        by = np.argsort(w, kind="stable")
+        w, c = w[by], c[by]
+        at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.empty(0, np.int64)
+        return w[at], np.add.reduceat(c, at) if len(at) else c
 
     for batch in batches:
-        for lo, hi, buf, off in K.slices(batch.column(1)):
-            loff, first = lines(buf, off)
-            x, bounds = word_sets(buf, loff)
-            n = np.diff(bounds)
-            waiting.append(x)
-            real = np.flatnonzero(n)
-            doc = np.searchsorted(first, real, side="right") - 1
-            crc = np.array([zlib.crc32(buf[s:e]) for s, e in zip(off[:-1].tolist(), off[1:].tolist())], np.int64)
-            ids = batch.column(0).slice(lo, hi - lo).fill_null(LAST).to_numpy()
-            none = pa.nulls(len(real), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(class_ids(x, bounds)[real]), pa.array(n[real].astype(np.int32)), pa.array(ids[doc]), pa.array(crc[doc]), pa.array((real - first[doc]).astype(np.int32)), none, none], [c.split()[0] for c in _SCAN.split(", ")])
-            if sum(map(len, waiting)) > FLUSH:
-                yield counted()
-                waiting = []
-    if waiting:
-        yield counted()
+        for part, w, c in zip(*(batch.column(i) for i in range(3))):
+            have = words.setdefault(part.as_py(), [])
+            have.append((np.frombuffer(w.as_buffer(), _U), np.frombuffer(c.as_buffer(), "<u4").astype(np.int64)))
+            if len(have) > 16:
+                words[part.as_py()] = [merged(have)]
+    for have in words.values():
+        w, c = merged(have)
+        yield pa.RecordBatch.from_arrays([pa.array(K.signed(w[c > 3])), pa.array(c[c > 3])], ["word", "seen"])
 
 
 def parity(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -232,15 +267,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed (n_near: by a similar, not an equal line), kept_sha256, kept_text of docs (doc_id, text)."""
-    spark = docs.sparkSession
+    spark = bounded(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = docs.withColumn("crc", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    scan = Staged(docs.mapInArrow(_scan, _SCAN), "scan")
+    parts = partitions(spark)
+    scan = Staged(docs.mapInArrow(_scan(parts), _SCAN), "scan")
     where = scan.df().where("lid is not null").select("lid", "n", "doc_id", "crc", "line")
     first = where.groupBy("lid").agg(F.min(F.struct("doc_id", "crc", "line")).alias("at"))
     classes = Staged(first.select("lid", "at.doc_id", "at.crc", "at.line"), "classes")
 
-    seen = Staged(scan.df().where("word is not null").groupBy("word").agg(F.sum("seen").alias("seen")).where("seen > 3"), "words")
+    packed = scan.df().where("part is not null").select("part", "words", "seen").repartition(parts, "part")
+    seen = Staged(packed.mapInArrow(_sum_counts, "word long, seen long"), "words")
     steps = sorted(((r.seen, r["count"]) for r in seen.df().groupBy("seen").count().collect()), reverse=True)  # one row per distinct frequency
     least, room = LAST, VOCABULARY
     for f, n in steps:
@@ -259,14 +296,14 @@ def remove_lines(docs: DataFrame) -> DataFrame:
     bucket = Window.partitionBy("word")
     rows = docs.mapInArrow(_prefixes(rank), "word long, lid long, doc_id long, odd long, n int, place int")
     rows = rows.withColumn("head", F.min(F.struct("doc_id", "lid", "odd", "n", "place")).over(bucket)).withColumn("top", F.max("lid").over(bucket)).withColumn("low", F.min("lid").over(bucket)).where("low <> top").drop("low", "top")
-    rows = Staged(rows, "prefixes")
+    rows = Bucketed(rows, "prefixes", "word")
     star = rows.df().where(f"lid <> head.lid and {_may('rows', 'head')}".replace("rows.", "")).groupBy("lid", F.col("head.lid").alias("b")).count()
     star = star.groupBy(F.col("lid").alias("a")).agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     late = _late(keyed, classes, star)
 
-    x = rows.df().select("word", "lid", "odd", "n", "place")
-    left = x.join(late.df().withColumn("done", F.lit(True)), "lid", "left")
-    both = left.alias("x").join(x.alias("y"), F.expr(f"x.word = y.word and x.lid <> y.lid and x.done is null and {_may('x', 'y')}"))
+    # one plan for both sides: the table is dealt out by word, so neither is shuffled while the late classes are few
+    x = rows.df().select("word", "lid", "odd", "n", "place").join(_small(late).withColumn("done", F.lit(True)), "lid", "left")
+    both = x.alias("x").join(x.alias("y"), F.expr(f"x.word = y.word and x.lid <> y.lid and x.done is null and {_may('x', 'y')}"))
     pairs = both.select(F.least("x.lid", "y.lid").alias("a"), F.greatest("x.lid", "y.lid").alias("b"))
     more = _late(keyed, classes, pairs)
     rows.drop()

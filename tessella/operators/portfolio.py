@@ -48,50 +48,98 @@ def capped(weights: pd.Series, cap: float) -> pd.Series:
     return w
 
 
-def share_book(prices: DataFrame, targets: DataFrame, costs: Costs = Costs()) -> DataFrame:
-    """(date, gross, net, turnover, names) of a daily share-based book.
-
-    targets: (date, ticker, weight), one full set per rebalance date, traded
-    at that date's close. Shares stay between rebalances, so weights drift;
-    a set equal to the one before is not traded; a name whose prices end is
-    sold at its last close. The value path is sequential: Spark reduces the
-    prices to the names ever held and one task walks the days.
+BOOK = "date date, gross double, net double, long double, short double, turnover double, trading_cost double, borrow_cost double, names int"
+
+
+def _segments(close: np.ndarray, opens: np.ndarray, last_row: np.ndarray, trades: list[tuple[int, np.ndarray]], costs: Costs, at_open: bool) -> dict[str, np.ndarray]:
+    """Daily series of a book that changes only at ``trades`` (row, target weights).
+
+    Between two trades shares are constant, so a segment's profit is one
+    matrix product of price changes and shares; only segments are walked.
+    """
+    days = len(close)
+    out = {k: np.zeros(days) for k in ("long", "short", "traded", "value", "short_value", "names")}
+    shares, cash_base = np.zeros(close.shape[1]), 1.0
+    nav = np.ones(days)
+    done: np.ndarray | None = None
+    plan = [(r, w) for r, w in trades if r < days]
+    cuts = [r for r, _ in plan] + [days]
+    for k, (row, target) in enumerate(plan):
+        price = opens[row] if at_open else close[row]
+        if k:
+            gain = shares * (price - close[row - 1])  # what the old shares earn up to the trade
+            out["long"][row] += gain[shares > 0].sum()
+            out["short"][row] += gain[shares < 0].sum()
+            cash_base = nav[row - 1] + gain.sum()
+        if done is None or not np.array_equal(target, done):
+            held = np.where(last_row >= row, shares * price, 0.0) / cash_base  # a name past its last price is cash
+            out["traded"][row] = np.abs(target - held).sum()
+            shares = np.divide(target * cash_base, price, out=np.zeros_like(price), where=target != 0)
+            done = target
+        stop = cuts[k + 1]
+        path = np.vstack([price, close[row:stop]])
+        gain = np.diff(path, axis=0) * shares
+        out["long"][row:stop] += gain[:, shares > 0].sum(axis=1)
+        out["short"][row:stop] += gain[:, shares < 0].sum(axis=1)
+        nav[row:stop] = cash_base + np.cumsum(gain.sum(axis=1))
+        alive = last_row[None, :] >= np.arange(row, stop)[:, None]
+        out["short_value"][row:stop] = -np.where(alive & (shares < 0), shares * close[row:stop], 0.0).sum(axis=1)
+        out["names"][row:stop] = (alive & (shares != 0)).sum(axis=1)
+    before = np.concatenate([[1.0], nav[:-1]])
+    lent = np.concatenate([[0.0], out["short_value"][:-1] / nav[:-1]])
+    gross = (out["long"] + out["short"]) / before
+    trading, borrow = out["traded"] * costs.side, lent * costs.borrow_day
+    return {"gross": gross, "net": gross - trading - borrow, "long": out["long"] / before, "short": out["short"] / before, "turnover": out["traded"] / 2, "trading_cost": trading, "borrow_cost": borrow, "names": out["names"].astype(int)}
+
+
+def share_book(prices: DataFrame, targets: DataFrame, costs: Costs = Costs(), execution: str = "close") -> DataFrame:
+    """Daily series of a share-based book, from its first trade on (columns: BOOK).
+
+    targets: (date, ticker, weight), one full set per decision date, traded
+    at that day's close or at the next day's open. Shares stay between
+    trades, so weights drift; a target equal to the one before is not
+    traded; names without a price at execution get none; a name whose prices
+    end turns to cash at its last close without cost. turnover is one way,
+    half the traded weight; costs are shares of the value; borrow is charged
+    on the short value of the day before.
+
+    The path is sequential: Spark reduces prices to the names ever held and
+    one task walks the trades.
     """
+    at_open = execution == "next_open"
     held = targets.select("ticker").distinct()
-    px = prices.select("ticker", "date", "close").join(held, "ticker", "left_semi").select(F.lit("p").alias("kind"), "ticker", "date", F.col("close").alias("x"))
-    tg = targets.select(F.lit("t").alias("kind"), "ticker", "date", F.col("weight").alias("x"))
-    both = px.unionByName(tg).withColumn("_one", F.lit(1))
+    px = prices.select("ticker", "date", "close", (F.col("open") if "open" in prices.columns else F.lit(None).cast("double")).alias("open"), F.lit(None).cast("double").alias("weight"))
+    days = prices.select("date").distinct().select(F.lit(None).cast(prices.schema["ticker"].dataType).alias("ticker"), "date", *(F.lit(None).cast("double").alias(c) for c in ("close", "open", "weight")))
+    tg = targets.select("ticker", "date", F.lit(None).cast("double").alias("close"), F.lit(None).cast("double").alias("open"), "weight")
+    both = px.join(held, "ticker", "left_semi").select("ticker", "date", "close", "open", "weight").unionByName(days).unionByName(tg).withColumn("_one", F.lit(1))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        close = pdf[pdf.kind == "p"].pivot_table(index="date", columns="ticker", values="x").sort_index()
-        sets = {d: dict(sorted(zip(g.ticker, g.x))) for d, g in pdf[pdf.kind == "t"].groupby("date")}
-        names, last = list(close.columns), close.ffill().to_numpy()
-        live, ends = close.notna().to_numpy(), {n: close[n].last_valid_index() for n in close.columns}
-        at = {n: i for i, n in enumerate(names)}
-        shares, nav, out, before = np.zeros(len(names)), 1.0, [], None
-        for k, day in enumerate(close.index):
-            p = np.nan_to_num(last[k])
-            pnl = float(shares @ (p - np.nan_to_num(last[k - 1]))) if k else 0.0
-            short = float(-(np.minimum(shares, 0) @ p)) / nav
-            gross, start = pnl / nav, nav
-            nav += pnl
-            traded = 0.0
-            gone = np.array([ends[n] == day and k + 1 < len(close.index) for n in names]) & (shares != 0)
-            if gone.any():
-                traded += float(np.abs(shares[gone] * p[gone]).sum())
-                shares[gone] = 0
-            if day in sets and sets[day] != before:
-                goal = np.zeros(len(names))
-                for n, w in sets[day].items():
-                    if n in at and live[k, at[n]]:
-                        goal[at[n]] = w * nav / p[at[n]]
-                traded += float(np.abs((goal - shares) * p).sum())
-                shares, before = goal, sets[day]
-            drag = traded * costs.side / start + short * costs.borrow_day
-            out.append((day, gross, gross - drag, traded / start, int((shares != 0).sum())))
-        return pd.DataFrame(out, columns=["date", "gross", "net", "turnover", "names"])
-
-    return both.groupBy("_one").applyInPandas(walk, "date date, gross double, net double, turnover double, names int")
+        empty = pd.DataFrame([], columns=[c.split()[0] for c in BOOK.split(", ")])
+        p = pdf[pdf["close"].notna()]
+        if p.empty:
+            return empty
+        calendar = sorted(set(pdf["date"]))
+        names = sorted(set(p["ticker"]))
+        wide = {c: p.pivot_table(index="date", columns="ticker", values=c, dropna=False).reindex(index=calendar, columns=names) for c in ("close", "open")}
+        priced, opened = wide["close"].notna().to_numpy(), wide["open"].notna().to_numpy()
+        last_row = np.array([np.flatnonzero(priced[:, i])[-1] for i in range(len(names))])
+        close = wide["close"].ffill().fillna(0.0).to_numpy()
+        opens = wide["open"].to_numpy(float)
+        opens = np.where(np.isnan(opens), close, opens)
+        trades, where = [], {d: i for i, d in enumerate(calendar)}
+        for day, g in pdf[pdf["weight"].notna()].groupby("date"):
+            row = where[day] + at_open
+            if row >= len(calendar):
+                continue
+            w = g.set_index("ticker")["weight"].reindex(names).fillna(0.0).to_numpy()
+            trades.append((row, np.where(priced[row] & (opened[row] if at_open else True), w, 0.0)))
+        if not trades:
+            return empty
+        trades.sort(key=lambda x: x[0])
+        out = pd.DataFrame({"date": calendar, **_segments(close, opens, last_row, trades, costs, at_open)})
+        return out.iloc[trades[0][0] :]
+
+    return both.groupBy("_one").applyInPandas(walk, BOOK)
 
 
 def report(daily: DataFrame, year_days: int = 252) -> DataFrame:

@@ -75,7 +75,8 @@ select 'momentum_21d' as candidate, count(*) as n_months, round(avg(raw), 6) as
 round(avg(inc) / (stddev_samp(inc) / sqrt(count(*))), 5) as ic_incremental_t, round(avg(r2), 6) as spanned_r2 from i""")
 def incremental_ic(spark, d):
     got = C.judge(panel(spark, d), ["volatility_21d"], "momentum_21d", "fwd_21d")
-    row = (got["candidate"], got["n_months"], round(got["ic_raw"], 6), round(got["ic_raw_t"], 5), round(got["ic_incremental"], 6), round(got["ic_incremental_t"], 5), round(got["spanned_r2"], 6))
+    digits = {"ic_raw": 6, "ic_raw_t": 5, "ic_incremental": 6, "ic_incremental_t": 5, "spanned_r2": 6}
+    row = (got["candidate"], got["n_months"], *(round(got[k], n) if got["ok"] else None for k, n in digits.items()))
     return spark.createDataFrame([row], "candidate string, n_months long, ic_raw double, ic_raw_t double, ic_incremental double, ic_incremental_t double, spanned_r2 double")
 
 
@@ -131,7 +132,9 @@ g as (select k, sum(a.e * b.e) as c from (select unnest(range(0, 4)) as k) join
 select max(n) as n, round(max(mu), 6) as mean, round(max(mu) / sqrt((select sum(case when k = 0 then 1 else 2 * (1 - k / 4.0) end * c) from g) / max(n) / max(n)), 5) as t_hac from s""")
 def hac_t(spark, d):
     x = _series(spark, d)
-    return spark.createDataFrame([(len(x), round(sum(x) / len(x), 6), round(stats.hac_t(x, 3), 5))], "n long, mean double, t_hac double")
+    t = stats.hac_t(x, 3)
+    row = (len(x), round(sum(x) / len(x), 6), None if t is None else round(t, 5)) if x else (None, None, None)
+    return spark.createDataFrame([row], "n long, mean double, t_hac double")
 
 
 @query(f"""with {PANEL}, {IC} select month <= date '1998-06-01' as first_half, count(*) as n, round(avg(ic), 6) as mean, round(avg(ic) / (stddev_samp(ic) / sqrt(count(*))), 5) as t from ic group by 1""")
@@ -143,7 +146,7 @@ def split_halves(spark, d):
 @query()
 def ic_summary(spark, d):
     s = stats.summary(_series(spark, d), 21, 21, trials=40)
-    row = (s["n"], s["mean"], s["std"], s["icir"], s["hit_rate"], s["t_naive"], s["hac_lags"], s["t_hac"], s["deflated"]["margin"])
+    row = (*(s.get(k) for k in ("n", "mean", "std", "icir", "hit_rate", "t_naive", "hac_lags", "t_hac")), s.get("deflated", {}).get("margin"))
     return spark.createDataFrame([row], "n long, mean double, std double, icir double, hit_rate double, t_naive double, hac_lags long, t_hac double, deflated_margin double")
 
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 IS_SEP = np.zeros(256, bool)
 IS_SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -143,3 +143,39 @@ def runs(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+class HashMap:
+    """Values of 64-bit keys, looked up all at once: open addressing in arrays of four to eight times the keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(8, (4 * len(keys)).bit_length())
+        self.keys = np.zeros(1 << self.bits, _U)
+        self.values = np.zeros(1 << self.bits, values.dtype)
+        used = np.zeros(1 << self.bits, bool)
+        self.probes, left = 0, np.arange(len(keys))
+        while len(left):
+            at = (self._home(keys[left]) + self.probes) & ((1 << self.bits) - 1)
+            free = np.flatnonzero(~used[at])
+            _, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.keys[at[won]], self.values[at[won]], used[at[won]] = keys[left[won]], values[left[won]], True
+            left = np.delete(left, won)
+            self.probes += 1
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
+
+    def replace(self, x: np.ndarray) -> np.ndarray:
+        """x with the keys among them replaced by their values (keys are not 0)."""
+        out = x.copy()
+        home, todo = self._home(x), np.arange(len(x))
+        for probe in range(self.probes):
+            at = (home[todo] + probe) & ((1 << self.bits) - 1)
+            found = self.keys[at] == x[todo]
+            hit = todo[found]
+            out[hit] = self.values[at[found]]
+            todo = todo[~found & (self.keys[at] != 0)]
+            if not len(todo):
+                break
+        return out

@@ -53,14 +53,13 @@ def lines(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(at, len(buf)), np.concatenate([[0], np.cumsum(per)])
 
 
-def word_sets(buf: np.ndarray, loff: np.ndarray, rank: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def word_sets(buf: np.ndarray, loff: np.ndarray, rank: K.HashMap | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(places in the order of rarity, bounds): each line's distinct words, sorted."""
     low = K.LOWER[buf]
     starts, ends, first = K.words(low, loff)
-    x = K.span_hashes(low, starts, ends) >> _U(1)
-    if rank is not None and len(rank[0]):
-        at = np.minimum(np.searchsorted(rank[0], x), len(rank[0]) - 1)
-        x = np.where(rank[0][at] == x, rank[1][at], x)
+    x = (K.span_hashes(low, starts, ends) >> _U(1)) | _U(1)  # never 0
+    if rank is not None:
+        x = rank.replace(x)
     for s, e in zip(first[:-1].tolist(), first[1:].tolist()):
         if e - s > 1:
             x[s:e].sort()
@@ -154,7 +153,7 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
 
 def _prefixes(rank):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, names = rank.value, class_names(rank.value)
+        order, names = K.HashMap(*rank.value), class_names(rank.value)
         seen: set[int] = set()
         for batch in batches:
             for lo, hi, buf, off in K.slices(batch.column(1)):

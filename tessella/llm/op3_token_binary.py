@@ -16,9 +16,10 @@ of the ids in it) and ``book`` (the code lengths), written by Spark's commit
 protocol, so that a lost executor never leaves half a file.
 
 The tokenizer splits texts into pieces and encodes each piece by itself.
-Texts of plain Latin characters are split here and each distinct piece is
-encoded once per worker (a bounded memory of pieces); any other text, and any
-that holds a special token, goes to the tokenizer whole. Ids are equal.
+Texts of ASCII and Latin letters are split here, on whole buffers, and each
+distinct piece is encoded once per worker (a bounded table of pieces by their
+64-bit hash); any other text, and any that holds a special token, goes to the
+tokenizer whole. Ids are equal.
 
 Cases: null counts as an empty text, whose only id is the end id; repeated
 rows and equal doc_ids keep all their rows, ordered by their ids; null
@@ -31,7 +32,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,15 +46,120 @@ END_ID = 2
 MAX_BITS = 16
 STRIDE = 256
 BLOCK_IDS = 1 << 17
-NEAR_KEPT, PIECES_KEPT = 30_000, 1_000_000  # of a worker's memory of encoded pieces
+PIECES_KEPT = 1 << 21  # of a worker's memory of encoded pieces (about 80 MB when full)
 MAGIC = b"TSH1"
 
-_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-_SPACE = r"\t\n\r "
-_BLANK = "\t\n\r "
-_PLAIN = re.compile(f"[{_SPACE}!-~{_LETTER}×÷¡§«»¿‘’“”„–—…€]*")
-_PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^{_SPACE}{_LETTER}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_loaded: dict[str, tuple] = {}
+_U = np.uint64
+_loaded: dict[str, PieceEncoder] = {}
+
+# Classes of bytes: white space, letters (with all bytes of U+00C0..U+023F), digits, others; texts with further bytes are not split here.
+_SPACE, _LETTER, _DIGIT, _OTHER, _FOREIGN = range(5)
+_CLASS = np.full(256, _FOREIGN, np.uint8)
+_CLASS[33:127] = _OTHER
+_CLASS[[9, 10, 13, 32]] = _SPACE
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[0x80:0xC0] = _CLASS[0xC3:0xC9] = _LETTER
+
+
+def split_pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte of each piece, whether each text may be split so).
+
+    Pieces are runs of letters, digits or other characters, with one space
+    before; the contractions 's 't 'm 'd 're 've 'll where an apostrophe
+    begins a piece; and white space, whose last character before a word
+    stands alone unless it is a space, which goes to the word.
+    """
+    n = len(buf)
+    kind = _CLASS[buf]
+    bad = kind == _FOREIGN
+    bad[:-1] |= (buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7))  # the signs of multiplication and division
+    plain = np.diff(np.concatenate([[0], np.cumsum(bad)])[off]) == 0
+    edge = np.zeros(n + 1, bool)
+    edge[off] = True
+    space = kind == _SPACE
+    before = np.zeros(n, bool)  # white space right before, in the text
+    before[1:] = space[:-1] & ~edge[1:n]
+    word_next = np.zeros(n, bool)
+    word_next[:-1] = ~space[1:] & ~edge[1:n]
+    change = np.ones(n, bool)
+    change[1:] = kind[1:] != kind[:-1]
+    blank = np.zeros(n, bool)
+    blank[1:] = buf[:-1] == 0x20
+    start = edge[:n] | np.where(space, ~before | word_next, np.where(before, ~blank, change))
+    q = np.flatnonzero((buf == 0x27) & start)
+    q = q[q + 1 < n]
+    q = q[~edge[q + 1]]
+    if len(q):
+        one = buf[q + 1]
+        two = np.where(q + 2 < n, buf[np.minimum(q + 2, n - 1)], 0)
+        two[edge[np.minimum(q + 2, n)]] = 0
+        k = np.where(np.isin(one, list(b"stmd")), 1, np.where(((one == 0x72) | (one == 0x76)) & (two == 0x65) | (one == 0x6C) & (two == 0x6C), 2, 0))
+        q, k = q[k > 0], k[k > 0]
+        start[q + 1] = False
+        after = q + 1 + k
+        go = after[(after < n) & ~edge[np.minimum(after, n)]]
+        start[go[kind[go] == _LETTER]] = True
+    return np.flatnonzero(start), plain
+
+
+class PieceTable:
+    """Ids of pieces by the 64-bit hash of their bytes, in flat arrays: open addressing, at most ``PIECES_KEPT``."""
+
+    def __init__(self, dtype: np.dtype):
+        self.bits = max(10, (2 * PIECES_KEPT).bit_length() - 1)
+        self.keys = np.zeros(1 << self.bits, _U)
+        self.slot = np.full(1 << self.bits, -1, np.int32)
+        self.first, self.ids, self.n, self.used = np.zeros(1, np.int64), np.empty(0, dtype), 0, 0
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each key's piece, -1 if unknown."""
+        out = np.full(len(keys), -1, np.int64)
+        at, todo = self._home(keys), np.arange(len(keys))
+        while len(todo):
+            slot = self.slot[at]
+            hit = (slot >= 0) & (self.keys[at] == keys[todo])
+            out[todo[hit]] = slot[hit]
+            go = (slot >= 0) & ~hit
+            todo, at = todo[go], (at[go] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> np.ndarray:
+        """Numbers of new pieces; those beyond the bound are forgotten at the next call of ``trim``."""
+        size = np.array([len(x) for x in ids], np.int64) // self.ids.dtype.itemsize
+        number, end = self.n + np.arange(len(keys)), self.first[self.n] + np.cumsum(size)
+        self.first = _room(self.first, self.n + len(keys) + 1)
+        self.first[self.n + 1 : self.n + len(keys) + 1] = end
+        self.ids = _room(self.ids, int(end[-1]))
+        self.ids[end[0] - size[0] : end[-1]] = np.frombuffer(b"".join(ids), self.ids.dtype)
+        self.n += len(keys)
+        left = np.flatnonzero(number < PIECES_KEPT)
+        self.used = min(self.n, PIECES_KEPT)
+        at = self._home(keys[left])
+        while len(left):
+            free = np.flatnonzero(self.slot[at] < 0)
+            _, won = np.unique(at[free], return_index=True)
+            won = free[won]
+            self.keys[at[won]], self.slot[at[won]] = keys[left[won]], number[left[won]]
+            stay = np.ones(len(left), bool)
+            stay[won] = False
+            left, at = left[stay], (at[stay] + 1) & ((1 << self.bits) - 1)
+        return number
+
+    def trim(self) -> None:
+        self.n = min(self.n, self.used)
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """x with space for n values, grown by half at least."""
+    if n <= len(x):
+        return x
+    out = np.zeros(max(n, len(x) * 3 // 2), x.dtype)
+    out[: len(x)] = x
+    return out
 
 
 class PieceEncoder:
@@ -65,61 +170,60 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.near: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known = PieceTable(self.dtype)
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else -1
 
     @staticmethod
     def of(path: str) -> PieceEncoder:
-        return _loaded.setdefault(path, ()) or _loaded.__setitem__(path, PieceEncoder(path)) or _loaded[path]
+        if path not in _loaded:
+            _loaded[path] = PieceEncoder(path)
+        return _loaded[path]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def pieces(self, fresh: list[str]) -> list[bytes]:
         """Ids of pieces of plain texts; those without white space at an end go in one text, split at line feeds."""
-        inner = [p for p in fresh if p.strip(" ") and p[-1] not in _BLANK and p[0] not in "\t\n\r"]
+        inner = [p for p in fresh if p[-1] not in "\t\n\r " and p[0] not in "\t\n\r"]
         out = {}
         if inner:
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(inner)], add_special_tokens=False)[0].ids, self.dtype)
             at = np.flatnonzero(ids == self.feed)
             if len(at) == len(inner) - 1:
-                raw, cuts = ids.tobytes(), (np.concatenate([[-1], at, [len(ids)]]) * self.dtype.itemsize).tolist()
                 w = self.dtype.itemsize
+                raw, cuts = ids.tobytes(), (np.concatenate([[-1], at, [len(ids)]]) * w).tolist()
                 out = {p: raw[lo + w : hi] for p, lo, hi in zip(inner, cuts, cuts[1:])}
         rest = [p for p in fresh if p not in out]
         return list(map((out | dict(zip(rest, self.whole(rest)))).__getitem__, fresh))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_PIECE.findall(t) if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        other = iter(self.whole([t for t, p in zip(texts, split) if p is None]))
-        flat = list(chain.from_iterable(p for p in split if p is not None))
-        ids = list(map(self.near.get, flat))  # the first pieces seen: few, frequent, and so in the processor's cache
-        missing = [i for i, x in enumerate(ids) if x is None]
-        if missing:
-            rare = [flat[i] for i in missing]
-            found = list(map(self.known.get, rare))
-            fresh = list({p for p, x in zip(rare, found) if x is None})
-            if fresh:
-                new = dict(zip(fresh, self.pieces(fresh)))
-                room = NEAR_KEPT - len(self.near)
-                if room > 0:
-                    self.near.update((p, new[p]) for p in fresh[:room])
-                if len(self.known) + len(new) <= PIECES_KEPT:
-                    self.known.update(new)
-                found = [new[p] if x is None else x for p, x in zip(rare, found)]
-            for i, x in zip(missing, found):
-                ids[i] = x
-        out, lo = [], 0
-        for p in split:
-            if p is None:
-                out.append(next(other))
-            else:
-                out.append(b"".join(ids[lo : lo + len(p)]))
-                lo += len(p)
-        return out
+    def encode(self, buf: np.ndarray, off: np.ndarray) -> list[bytes]:
+        """Ids of each text of a slice."""
+        starts, plain = split_pieces(buf, off)
+        ends = np.append(starts[1:], len(buf))
+        for s in self.special:
+            hits = [m.start() for m in re.finditer(re.escape(s), buf.tobytes())]
+            plain[np.searchsorted(off, hits, side="right") - 1] = False
+        cut = np.searchsorted(starts, off)
+        if not plain.all():
+            keep = np.repeat(plain, np.diff(cut))
+            starts, ends = starts[keep], ends[keep]
+            cut = np.concatenate([[0], np.cumsum(np.where(plain, np.diff(cut), 0))])
+        hashes = K.span_hashes(buf, starts, ends)
+        number = self.known.find(hashes)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            key, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+            fresh = [buf[s:e].tobytes().decode() for s, e in zip(starts[new[first]].tolist(), ends[new[first]].tolist())]
+            number[new] = self.known.add(key, self.pieces(fresh))[back]
+        lo, hi = self.known.first[number], self.known.first[number + 1]
+        at, _ = K.runs(lo, hi)
+        ids = self.known.ids[at]
+        total = np.concatenate([[0], np.cumsum(hi - lo)])[cut].tolist()
+        self.known.trim()
+        odd = iter(self.whole([buf[off[i] : off[i + 1]].tobytes().decode() for i in np.flatnonzero(~plain).tolist()]))
+        return [ids[a:b].tobytes() if p else next(odd) for p, a, b in zip(plain.tolist(), total, total[1:])]
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -239,8 +343,8 @@ def _tokenise(path: str, bounds: np.ndarray):
         squeeze = zstandard.ZstdCompressor(level=1)
         end = np.array([END_ID], enc.dtype).tobytes()
         for batch in batches:
-            for lo, hi, _, _ in K.slices(batch.column(1)):
-                ids = [x + end for x in enc.encode([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])]
+            for lo, hi, buf, off in K.slices(batch.column(1)):
+                ids = [x + end for x in enc.encode(buf, off)]
                 doc = batch.column(0).slice(lo, hi - lo)
                 part = np.searchsorted(bounds, doc.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right")
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), doc, pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()), pa.array([squeeze.compress(x) for x in ids], pa.binary())], ["part", "doc_id", "n", "ids"])
@@ -250,6 +354,7 @@ def _tokenise(path: str, bounds: np.ndarray):
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the ids of the part's documents before each; a part is in one task, in order."""
+    _loaded.clear()  # workers live on: the pieces are of no use after the tokenising stage
     sums: dict[int, int] = {}
     for batch in batches:
         part, n = batch.column(0).to_numpy(), batch.column(2).to_numpy()
@@ -264,6 +369,7 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counts(dtype: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _loaded.clear()
         total, open_ = np.zeros(0, np.int64), zstandard.ZstdDecompressor()
         for batch in batches:
             for lo in range(0, len(batch), 256):

@@ -37,7 +37,7 @@ WIDTH = TRIGRAMS + BIGRAMS
 TRAIN_ROWS = 4000
 COST = 10.0
 EPOCHS = 60
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 # Families of ISO 639-1 codes; any other language is a family by itself.
 FAMILIES = {

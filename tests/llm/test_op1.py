@@ -81,3 +81,17 @@ def test_lines_of_a_slice():
 def test_empty(spark):
     assert run(spark, []) == []
     assert run(spark, [(None, None)]) == [(None, 0, 0, 0, hashlib.sha256(b"").hexdigest())]
+
+
+def test_hash_map():
+    from tessella.llm import kernels as K
+
+    r = np.random.default_rng(3)
+    for n in (0, 1, 5000):
+        keys = np.unique(r.integers(1, 1 << 62, n).astype(np.uint64))
+        m = K.HashMap(keys, np.arange(len(keys)).astype(np.uint64))
+        x = np.concatenate([keys, r.integers(1, 1 << 62, 1000).astype(np.uint64)])
+        want = np.array([np.flatnonzero(keys == v)[0] if v in set(keys.tolist()) else v for v in x.tolist()], np.uint64) if n < 100 else None
+        got = m.replace(x)
+        assert (got[: len(keys)] == np.arange(len(keys))).all() and (got[len(keys) :] == x[len(keys) :]).all()
+        assert want is None or (got == want).all()

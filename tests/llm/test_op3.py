@@ -50,14 +50,28 @@ def test_ties_nulls_and_empty(spark):
     assert [r[2] for r in one] == [1, 1]
 
 
-def test_piece_memory_is_only_a_memory(monkeypatch):
-    a, b = T.PieceEncoder(PATH), T.PieceEncoder(PATH)
+def flat(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def test_piece_table_is_only_a_memory(monkeypatch):
     monkeypatch.setattr(T, "PIECES_KEPT", 40)
-    monkeypatch.setattr(T, "NEAR_KEPT", 7)
+    e = T.PieceEncoder(PATH)
     texts = [" ".join(f"wo{i * j % 97}rd" for j in range(50)) for i in range(30)]
     for t in texts:
-        assert b.encode([t, t[:20]]) == a.whole([t, t[:20]])
-    assert len(b.known) <= 40
+        assert e.encode(*flat([t, t[:20], ""])) == e.whole([t, t[:20], ""])
+    assert e.known.n <= 40
+
+
+def test_split_equals_the_tokenizer_on_odd_strings():
+    r = random.Random(9)
+    e = T.PieceEncoder(PATH)
+    alphabet = ["a", "s", "t", "re", "ll", "ve", "m", "d", "'", "'", " ", " ", "  ", "\n", "\t", "\r", "1", "9", ".", "!?", "é", "ß", "Ō", "×", "÷", "S", "…", "x"]
+    texts = ["".join(r.choices(alphabet, k=r.randrange(12))) for _ in range(4000)] + ["'", "'s", " 's", "''s", "'sa", "'re'll", "a'", "a'l", "\n's", "'\u00e9"]
+    for lo in range(0, len(texts), 37):
+        part = texts[lo : lo + 37]
+        assert e.encode(*flat(part)) == e.whole(part)
 
 
 def test_codes_are_a_round_trip_and_limited():

@@ -33,19 +33,19 @@ class FactorSource:
             raise ValueError(f"{self.label} has no columns")
 
 
-def merge_source(panel: DataFrame, source: FactorSource, lag_days: int) -> DataFrame:
+def ready(source: FactorSource, lag_days: int) -> tuple[DataFrame, str, list[str], int]:
+    """The source's rows as an as-of merge takes them: one per ticker and date, whatever the input's order."""
     rows = source.load().select("ticker", F.col(source.date).alias("_on"), *source.cols)
     if source.dropna:
         rows = rows.dropna(how="all", subset=list(source.cols))
-    rows = P.last_per(rows, ["ticker", "_on"], list(source.cols))  # one row per date, whatever the input's order
-    return P.asof_backward(panel, rows, "ticker", "date", "_on", list(source.cols), lag_days=lag_days)
+    return P.last_per(rows, ["ticker", "_on"], list(source.cols)), "_on", list(source.cols), lag_days
 
 
 def build_panel(bars: DataFrame, sectors: DataFrame, sources: list[FactorSource], intervals: DataFrame | None = None, lag_days: int = 1, lag_controls: bool = False, horizon: int = 21) -> DataFrame:
-    """Base features -> lagged controls -> membership mask -> sector -> as-of merges -> rows with a target.
+    """Base features -> lagged controls -> membership mask -> sector -> rows with a target -> as-of merges (one exchange for all).
 
     Controls are shifted before the mask, so a name's first member day sees
-    its own history; rows without the forward return go last.
+    its own history.
     """
     rows = X.risk(X.momentum(X.forward_returns(bars, (horizon,))))
     controls = ["momentum_21d", "momentum_5d", "momentum_252_21", "volatility_21d", "volume_zscore", "log_dollar_volume"]
@@ -54,6 +54,5 @@ def build_panel(bars: DataFrame, sectors: DataFrame, sources: list[FactorSource]
     if intervals is not None:
         rows = P.member_rows(rows, intervals)
     rows = rows.join(F.broadcast(sectors), "ticker", "left").withColumn("sector", F.coalesce("sector", F.lit("UNKNOWN")))
-    for s in sources:
-        rows = merge_source(rows, s, lag_days)
-    return rows.where(F.col(f"fwd_{horizon}d").isNotNull())
+    rows = rows.where(F.col(f"fwd_{horizon}d").isNotNull())
+    return P.asof_backward_many(rows, [ready(s, lag_days) for s in sources], "ticker", "date") if sources else rows

@@ -59,6 +59,23 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, on: str, right_on
     return seen.where("_side = 1").select(*(F.col(f"_l.{c}").alias(c) for c in lcols), *values)
 
 
+def asof_backward_many(left: DataFrame, sources: list[tuple[DataFrame, str, list[str], int]], key: str, on: str) -> DataFrame:
+    """asof_backward of several (right, right_on, cols, lag_days) at once: one exchange and one sort for all.
+
+    A NULL right value blanks an older one of its source. Rights have at
+    most one row per (key, date).
+    """
+    lcols = left.columns
+    both = left.select(F.col(key).alias("_k"), F.col(on).alias("_t"), F.lit(1).alias("_side"), F.struct(*lcols).alias("_l"))
+    for i, (right, right_on, cols, lag) in enumerate(sources):
+        known = F.date_add(right_on, lag) if lag else F.col(right_on)
+        r = right.select(F.col(key).alias("_k"), known.alias("_t"), F.lit(0).alias("_side"), F.struct(*cols).alias(f"_r{i}"))
+        both = both.unionByName(r, allowMissingColumns=True)
+    w = Window.partitionBy("_k").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.select("_side", "_l", *(F.last(f"_r{i}", ignorenulls=True).over(w).alias(f"_s{i}") for i in range(len(sources)))).where("_side = 1")
+    return seen.select(*(F.col(f"_l.{c}").alias(c) for c in lcols), *(F.col(f"_s{i}.{c}").alias(c) for i, (_, _, cols, _) in enumerate(sources) for c in cols))
+
+
 def asof_nearest(left: DataFrame, right: DataFrame, key: str, on: str, right_on: str, cols: list[str], tolerance_days: int) -> DataFrame:
     """The nearest right row within tolerance_days; a tie goes to the earlier date."""
     lcols = left.columns

@@ -29,6 +29,7 @@ blocks and an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -46,7 +47,7 @@ END_ID = 2
 MAX_BITS = 16
 STRIDE = 256
 BLOCK_IDS = 1 << 17
-PIECES_KEPT = 1 << 21  # of a worker's memory of encoded pieces (about 80 MB when full)
+PIECES_KEPT = 1 << 20  # of a worker's memory of encoded pieces (about 40 MB when full)
 MAGIC = b"TSH1"
 
 _U = np.uint64
@@ -166,6 +167,7 @@ class PieceEncoder:
     """Ids of texts as little-endian bytes, piece by piece."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -421,9 +423,13 @@ def _decode(book, with_ids: bool):
                 for (first, doc, count, _, _), ids in zip(opened, decoder.run([(m, int(c.sum()), p) for _, _, c, m, p in opened])):
                     end = np.cumsum(count)
                     raw = ids.astype("<u4").tobytes()
-                    each = [memoryview(raw)[4 * (e - c) : 4 * e] for c, e in zip(count.tolist(), end.tolist())]
-                    cols = [pa.array(doc, pa.int64()), pa.array(first + end - count), pa.array(count), pa.array(list(map(zlib.crc32, each)), pa.int64())]
-                    yield pa.RecordBatch.from_arrays(cols + [pa.array(each, pa.binary())] * with_ids, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+                    spans = [(4 * (e - c), 4 * e) for c, e in zip(count.tolist(), end.tolist())]
+                    cols = [pa.array(doc, pa.int64()), pa.array(first + end - count), pa.array(count), pa.array([zlib.crc32(raw[lo:hi]) for lo, hi in spans], pa.int64())]
+                    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+                    if with_ids:
+                        cols.append(pa.array([raw[lo:hi] for lo, hi in spans], pa.binary()))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 

@@ -23,6 +23,8 @@ The index is broadcast in blocks of at most ``INDEX_TOKENS`` tokens of
 items, each a pass of its own with its own term statistics (as a shard of a
 search engine has), so its size is bounded whatever the benchmark.
 
+Letters of any alphabet are lower-cased on both sides.
+
 Cases: null and empty texts are clean; items without ``SHORTEST`` tokens are
 not indexed; null item_ids are named -1; repeated items all are named;
 repeated rows count as rows; a null doc_id keeps its row; extra columns are
@@ -38,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,15 +63,14 @@ _GAP[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 
 
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each token, first token of each text), A-Z lower-cased."""
-    low = K.LOWER[buf]
-    starts, ends, first = K.words(low, off, _GAP)
-    return K.span_hashes(low, starts, ends), first
+    """(hash of each token, first token of each text) of lower-case texts."""
+    starts, ends, first = K.words(buf, off, _GAP)
+    return K.span_hashes(buf, starts, ends), first
 
 
 def token_list(text: str) -> np.ndarray:
-    raw = np.frombuffer(text.encode(), np.uint8)
-    return tokens(raw, np.array([0, len(raw)]))[0]
+    raw, off = K.flat(pc.utf8_lower(pa.array([text])))
+    return tokens(raw[off[0] : off[1]], off - off[0])[0]
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
@@ -224,7 +226,7 @@ def _mark(index, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
         for batch in batches:
-            for lo, hi, buf, off in K.slices(batch.column(1)):
+            for lo, hi, buf, off in K.slices(pc.utf8_lower(batch.column(1))):
                 term, first = tokens(buf, off)
                 want = defaultdict(list)
                 if ix.n:

@@ -6,7 +6,7 @@ from tessella.llm import op2_decontaminate as D
 
 
 def vocabulary(r):
-    return ["the", "of", "and", "in"] * 40 + [f"w{i}" for i in range(3000)]
+    return [f"ñá{i}ø" for i in range(300)] + ["the", "of", "and", "in"] * 40 + [f"w{i}" for i in range(3000)]
 
 
 def corpus(seed):

@@ -329,14 +329,14 @@ ORACLE = {
 with t as (select doc_id, str_split(text, chr(10)) as ls from documents where text is not null),
 l as (select doc_id, unnest(range(1, len(ls) + 1)) as k, ls from t),
 s as (select doc_id, k, list_sort(list_distinct(regexp_extract_all(translate(ls[k], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) as w from l),
-c as (select w, min(doc_id * 1000000 + k) as at from s where len(w) > 0 group by w),
-i as (select at, len(w) as n, unnest(w) as x from c where len(w) > 5),
+c as (select w, min(doc_id * 1000000 + k) as pos from s where len(w) > 0 group by w),
+i as (select pos, len(w) as n, unnest(w) as x from c where len(w) > 5),
 f as (select x, count(*) as df from i group by x),
-r as (select i.at, i.n, i.x, row_number() over (partition by at order by df, i.x) as p from i join f on i.x = f.x),
+r as (select i.pos, i.n, i.x, row_number() over (partition by pos order by df, i.x) as p from i join f on i.x = f.x),
 q as (select * from r where p <= n - (85 * n + 99) // 100 + 1),
-d as (select distinct a.at as a, b.at as b, a.n as n, b.n as m from q a join q b on a.x = b.x and a.at < b.at and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
-v as (select d.b from d join c x on x.at = d.a join c y on y.at = d.b where 100 * len(list_intersect(x.w, y.w)) >= 85 * (n + m - len(list_intersect(x.w, y.w)))),
-g as (select s.doc_id, s.k, case when c.at = s.doc_id * 1000000 + s.k then 1 else 0 end as near from s join c on s.w = c.w where c.at <> s.doc_id * 1000000 + s.k or c.at in (select b from v)),
+d as (select distinct a.pos as a, b.pos as b, a.n as n, b.n as m from q a join q b on a.x = b.x and a.pos < b.pos and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+v as (select d.b from d join c x on x.pos = d.a join c y on y.pos = d.b where 100 * len(list_intersect(x.w, y.w)) >= 85 * (n + m - len(list_intersect(x.w, y.w)))),
+g as (select s.doc_id, s.k, case when c.pos = s.doc_id * 1000000 + s.k then 1 else 0 end as near from s join c on s.w = c.w where c.pos <> s.doc_id * 1000000 + s.k or c.pos in (select b from v)),
 o as (select doc_id, list(k) as gone, sum(near) as near from g group by doc_id)
 select d.doc_id, coalesce(len(ls), 0) as n_lines, coalesce(len(gone), 0) as n_removed, coalesce(near, 0)::bigint as n_near,
   sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda p: not list_contains(coalesce(gone, []), p)), lambda p: ls[p]), chr(10)), '')) as kept_sha256

@@ -38,7 +38,7 @@ from .staging import Staged, bounded, partitions
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 CAP = 2.0
-LEAF_ROWS = 20_000
+LEAF_ROWS = 2_000
 FAN = 64
 SEED = 20240611
 BROADCAST_BYTES = 8 << 20

@@ -77,6 +77,56 @@ def cooldown(events: DataFrame, seconds: float) -> DataFrame:
     return events.select("key", "ts", "seq").groupBy("key").applyInPandas(run, "key long, ts timestamp, seq long")
 
 
+def maker_replay(trades: DataFrame, spot: DataFrame, window_s: int = 300, latency_s: float = 0.5, half_width: float = 0.02, cool_s: float = 5.0, vol: float = 1e-4) -> DataFrame:
+    """(key, fills, pnl, pickoff): replay of a two-sided quote around a fair chance, per market window.
+
+    trades: (key, ts, seq, px, side) on the chance that the spot ends a
+    window above its start; spot: (t, price), t in seconds. The quote sees
+    the spot ``latency_s`` before; it fills last in queue (a trade beyond
+    it), once per side in ``cool_s`` seconds, from 10 s after the start to
+    60 s before the end, and is settled at the end. A fill is a pick-off if
+    the fair chance 30 s later has passed it by two cents. Spot levels come
+    from one as-of merge of all moments; the cooldown is sequential per key.
+    """
+    sec = F.unix_micros("ts") / 1e6
+    t = trades.withColumn("_t", sec).withColumn("_s", F.floor(sec / window_s) * window_s)
+    moments = F.array(*(F.struct(F.lit(n).alias("what"), x.alias("at")) for n, x in (("now", F.col("_t") - latency_s), ("open", F.col("_s").cast("double")), ("end", (F.col("_s") + window_s).cast("double")), ("later", F.col("_t") + 30.0))))
+    asked = t.select("key", "seq", F.explode(moments).alias("m")).select("key", "seq", "m.what", F.col("m.at").alias("at"))
+    bucket = F.floor(F.col("at") / 86400)  # a day's moments and prices meet; the last price of the day before is carried in
+    s = spot.select(F.col("t").alias("at"), "price")
+    last = s.groupBy(bucket.alias("_b")).agg(F.max_by("price", "at").alias("price"))
+    carry = last.select(((F.col("_b") + 1) * 86400).cast("double").alias("at"), "price")
+    both = asked.withColumn("_q", F.lit(1)).unionByName(s.unionByName(carry).withColumn("_q", F.lit(0)), allowMissingColumns=True).withColumn("_b", bucket)
+    w = Window.partitionBy("_b").orderBy("at", "_q").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("price", F.last("price", ignorenulls=True).over(w)).where("_q = 1")
+    levels = seen.groupBy("key", "seq").agg(*(F.max(F.when(F.col("what") == n, F.col("price"))).alias(f"_{n}") for n in ("now", "open", "end", "later")))
+    j = t.join(levels, ["key", "seq"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        from .options import normal_cdf
+
+        d = pdf.sort_values(["_t", "seq"])
+        left = d["_s"] + window_s - d["_t"]
+        chance = lambda level, tau: normal_cdf(np.log(level / d["_open"]) / (vol * np.sqrt(np.maximum(tau, 30))))
+        fair, later = chance(d["_now"], left), chance(d["_later"], left - 30)
+        won = (d["_end"] >= d["_open"]).to_numpy(float)
+        ok = (left <= window_s - 10) & (left >= 60) & (fair > 0.05) & (fair < 0.95)
+        fills, pnl, pick, last = 0, 0.0, 0.0, {}
+        for i, (px, side, at, good) in enumerate(zip(d["px"], d["side"], d["_t"], ok)):
+            quote = fair[i] + half_width if side == "BUY" else fair[i] - half_width
+            beyond = px > quote if side == "BUY" else px < quote
+            if not (good and beyond and 0 < quote < 1) or at - last.get(side, -1e18) <= cool_s:
+                continue
+            last[side] = at
+            sign = 1 if side == "BUY" else -1
+            gain = sign * (quote - won[i])
+            fills, pnl = fills + 1, pnl + gain
+            pick += gain if sign * (later[i] - quote) > 0.02 else 0.0
+        return pd.DataFrame([(pdf["key"].iloc[0], fills, pnl, pick)], columns=["key", "fills", "pnl", "pickoff"])
+
+    return j.dropna(subset=["_now", "_open", "_end", "_later"]).groupBy("key").applyInPandas(run, "key long, fills long, pnl double, pickoff double")
+
+
 class Book:
     """A two-sided book of price levels, from snapshots and size changes."""
 

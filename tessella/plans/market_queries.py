@@ -119,6 +119,14 @@ def cooldown_fills(spark, d):
     return K.cooldown(e.select((F.col("user_id") % 20).alias("key"), "ts", F.col("event_id").alias("seq")), 1800)
 
 
+@query()
+def maker_replay(spark, d):
+    e = table(spark, d, "events")
+    spot = e.where("user_id % 20 = 0").groupBy((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t")).agg((F.avg("value") + 100).alias("price"))
+    t = e.where("user_id % 20 <> 0").select((F.col("user_id") % 20).alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), ((F.col("event_id") % 97) / 97.0).alias("px"), F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL").alias("side"))
+    return K.maker_replay(t, spot, window_s=6 * 3600, vol=1e-3)
+
+
 @query()
 def book_reconstruction(spark, d):
     e = table(spark, d, "events")

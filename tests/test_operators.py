@@ -8,9 +8,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.functions import parsers, stats
 from tessella.functions import scalars as S
-from tessella.functions import stats
-from tessella.operators import combiner, cross_section, events, features, fundamentals, graph, options, pit, portfolio, quality, text, ticks
+from tessella.operators import combiner, cross_section, events, features, fundamentals, governance, graph, options, pit, portfolio, quality, text, ticks
 from tessella.sources import readers
 from tessella.streaming import twins
 
@@ -280,6 +280,39 @@ class TestSources:
         assert readers.tick_lines(spark, str(tmp_path / "t.jsonl")).count() == 1
 
 
+def test_maker_replay_by_hand(spark):
+    t0 = dt.datetime(2020, 1, 1)
+    at = lambda x: t0 + dt.timedelta(seconds=x)
+    base = t0.replace(tzinfo=dt.timezone.utc).timestamp()
+    spot = spark.createDataFrame([(base + x, 100.0 if x < 250 else 101.0) for x in range(0, 420, 10)], "t double, price double")
+    # fair chance 0.5 until 250 s: a buy at 0.9 fills at 0.52, again only after 5 s; 5 s after the start is too early
+    trades = [(1, at(5), 0, 0.9, "BUY"), (1, at(50), 1, 0.9, "BUY"), (1, at(53), 2, 0.9, "BUY"), (1, at(56), 3, 0.51, "BUY"), (1, at(60), 4, 0.1, "SELL")]
+    df = spark.createDataFrame(trades, "key long, ts timestamp, seq long, px double, side string")
+    r = ticks.maker_replay(df, spot).first()
+    assert (r.fills, r.pnl) == (2, pytest.approx(0.52 - 1 + 1 - 0.48)) and r.pickoff == 0
+
+
+def test_parsers():
+    assert parsers.first_json('x {"a": {"b": 1}} y') == {"a": {"b": 1}} and parsers.first_json("```json\n[1]\n```") == [1] and parsers.first_json("{no") is None
+    t = parsers.pipe_table("intro\n| Id | Status |\n|--|:-:|\n| a\\|b | **Open** now |\n| c | done |\n\n| x |")
+    assert t == [{"id": "a|b", "status": "**Open** now"}, {"id": "c", "status": "done"}] and parsers.status_counts(t) == {"open": 1, "done": 1}
+
+
+def test_governance(spark, tmp_path):
+    a = spark.createDataFrame([(1, "x", None), (1, "y", 2.0), (2, "x", 1.0)], "k int, n string, v double")
+    one = {r.k: r.digest for r in governance.digests(a, ["k"], ["n", "v"]).collect()}
+    assert one == {r.k: r.digest for r in governance.digests(a.orderBy(F.desc("n")).repartition(3), ["k"], ["n", "v"]).collect()} and one[1] != one[2]
+    items = spark.createDataFrame([(1, "h1", True), (2, "h2", False), (3, "h3", False)], "k int, digest string, verified boolean")
+    appr = spark.createDataFrame([(2, "h2"), (3, "old")], "k int, digest string")
+    assert [r.status for r in governance.reviewed(items, appr, "k").orderBy("k").collect()] == ["auto_verified", "approved", "review_required"]
+    import hashlib
+
+    for n, c in (("a", b"1"), ("b", b"2"), ("d", b"3")):
+        (tmp_path / n).write_bytes(c)
+    m = spark.createDataFrame([("a", hashlib.sha256(b"1").hexdigest()), ("b", "0"), ("c", "0")], "path string, sha256 string")
+    assert rows(governance.manifest_issues(spark, str(tmp_path), m)) == [("b", "changed"), ("c", "missing"), ("d", "unlisted")]
+
+
 def test_streams_equal_batches_over_several_files(spark, tmp_path):
     r = random.Random(4)
     b = sorted({(r.randrange(3), D("2020-01-01") + dt.timedelta(r.randrange(200)), r.randrange(6)) for _ in range(90)}, key=lambda x: x[1])

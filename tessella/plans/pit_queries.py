@@ -92,7 +92,7 @@ def staleness_filter(spark, d):
     rows = P.asof_backward(b.select("ticker", "date"), s.withColumn("seen", F.col("filed")), "ticker", "date", "seen", ["filed"]).where("filed is not null")
     days = P.positions(rows.select("filed").distinct(), cal, "filed", "pf").where("pf >= 0")  # once per filing date
     rows = rows.join(F.broadcast(cal), "date").join(F.broadcast(days), "filed")
-    return rows.withColumn("stale", F.col("pos") - F.col("pf")).where("stale between 0 and 40").select("ticker", "date", "filed", "stale")
+    return rows.withColumn("stale", (F.col("pos") - F.col("pf")).cast("long")).where("stale between 0 and 40").select("ticker", "date", "filed", "stale")
 
 
 @query(f"""with {R.BARS}, {R.FACTS}, ev as (select cik, filed, ddate, round(sum(shares), 2) as shares from facts group by 1, 2, 3),

@@ -44,7 +44,7 @@ def _intervals(spark, d):
 
     o = table(spark, d, "orders").withColumn("dt", F.to_date("o_orderdate"))
     g = o.groupBy((F.col("o_custkey") % 60).alias("ticker"), F.trunc("dt", "year").alias("q")).agg(F.min("dt").alias("valid_from"), F.max("dt").alias("valid_to"))
-    return g.withColumn("interval_id", F.row_number().over(Window.orderBy("ticker", "q"))).drop("q")
+    return g.withColumn("interval_id", F.row_number().over(Window.orderBy("ticker", "q")).cast("long")).drop("q")
 
 
 @query(f"""with {LIST}, {IV}, j as (select interval_id, count(distinct listing_id) as n, min(listing_id) as id from iv left join ls on ls.ticker = iv.ticker and valid_from >= first_date - 7 and valid_to <= last_date + 7 group by 1)
@@ -111,7 +111,8 @@ def relisted_trades(spark, d):
     li = table(spark, d, "lineitem")
     rid = F.row_number().over(Window.orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"))
     t = li.where("l_linenumber = 2").select(rid.alias("row_id"), F.col("l_suppkey").alias("who"), (F.col("l_partkey") % 20).alias("what"), F.col("l_returnflag").alias("kind"), (F.col("l_orderkey") % 5).alias("disclosure"))
-    return A.relisted_trades(t.withColumn("disclosed", F.col("disclosure")), ["who", "what", "kind"]).drop("disclosed")
+    out = A.relisted_trades(t.withColumn("disclosed", F.col("disclosure")), ["who", "what", "kind"]).drop("disclosed")
+    return out.withColumns({c: F.col(c).cast("long") for c in ("row_id", "occurrence")})
 
 
 @query("""with g as (select 'pk' as gate, 'review' as severity, (select coalesce(sum(n), 0) from (select count(*) as n from lineitem group by l_orderkey, l_linenumber having count(*) > 1)) as issues union all select 'price', 'high', (select count(*) from part where p_retailprice <= 0))

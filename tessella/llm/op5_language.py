@@ -32,7 +32,7 @@ from . import kernels as K
 from .staging import bounded
 
 UND = "und"
-TRIGRAMS, BIGRAMS = 4096, 1024
+TRIGRAMS, BIGRAMS = 2048, 512
 WIDTH = TRIGRAMS + BIGRAMS
 TRAIN_ROWS = 4000
 COST = 10.0
@@ -116,7 +116,7 @@ class Duel:
         made = []
         for a, b in self.pairs:
             rows = np.flatnonzero((names == self.names[a]) | (names == self.names[b]))
-            made.append(svm(x[rows], np.where(names[rows] == self.names[a], 1, -1)))
+            made.append(svm(x if len(rows) == len(x) else x[rows], np.where(names[rows] == self.names[a], 1, -1)))
         self.weights = np.stack(made, axis=1) if made else np.zeros((x.shape[1], 0), np.float32)
 
     def decide(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -173,19 +173,16 @@ def _prefixes(rank):
     return run
 
 
-def class_names(rank) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the frequent words, and their hashes."""
-    by = np.argsort(rank[1])
-    return rank[1][by], rank[0][by]
+def class_names(rank) -> np.ndarray:
+    """The frequent words' hashes by their place."""
+    return rank[0][np.argsort(rank[1])]
 
 
-def named(x: np.ndarray, names) -> np.ndarray:
-    """The words' hashes again, of their places in the order."""
+def named(x: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The words' hashes again, of their places in the order (frequent ones are numbered from 2**63)."""
     late = x >> _U(63) > 0
-    if not late.any():
-        return x
     out = x.copy()
-    out[late] = names[1][np.searchsorted(names[0], x[late])]
+    out[late] = names[(x[late] ^ _U(1 << 63)).astype(np.int64)]
     return out
 
 
@@ -292,9 +289,10 @@ def remove_lines(docs: DataFrame) -> DataFrame:
     by = np.argsort(word)
     rank = spark.sparkContext.broadcast((word[by], place[by]))
 
-    bucket = Window.partitionBy("word")
+    bucket = Window.partitionBy("word").orderBy("doc_id", "lid")
     rows = docs.mapInArrow(_prefixes(rank), "word long, lid long, doc_id long, odd long, n int, place int")
-    rows = rows.withColumn("head", F.min(F.struct("doc_id", "lid", "odd", "n", "place")).over(bucket)).withColumn("top", F.max("lid").over(bucket)).withColumn("low", F.min("lid").over(bucket)).where("low <> top").drop("low", "top")
+    # the earliest row of each bucket; a bucket of one row has no neighbour
+    rows = rows.withColumn("head", F.first(F.struct("doc_id", "lid", "odd", "n", "place")).over(bucket)).withColumn("near", F.coalesce(F.lag("lid").over(bucket), F.lead("lid").over(bucket))).where("near is not null").drop("near")
     rows = Bucketed(rows, "prefixes", "word")
     star = rows.df().where(f"lid <> head.lid and {_may('rows', 'head')}".replace("rows.", "")).groupBy("lid", F.col("head.lid").alias("b")).count()
     star = star.groupBy(F.col("lid").alias("a")).agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pit import dense_calendar
+
 
 def _days(col: str = "date"):
     return F.datediff(F.col(col), F.lit("1970-01-01"))
@@ -50,12 +52,13 @@ def first_or_rare(filings: DataFrame, years: int = 3) -> DataFrame:
 
 def trading_windows(triggers: DataFrame, cal: DataFrame, days: int = 126) -> DataFrame:
     """(ticker, veto_from, veto_to): from the first trading day after the trigger, so many trading days, cut at the calendar's end."""
-    nxt = cal.select(F.col("date").alias("_c"), F.lag("date").over(Window.orderBy("date")).alias("_b"), F.col("pos").alias("_p"))
-    t = triggers.join(F.broadcast(nxt), (F.col("date") < F.col("_c")) & (F.col("_b").isNull() | (F.col("date") >= F.col("_b"))))
+    first = dense_calendar(cal).select(F.date_sub("day", 1).alias("date"), F.col("after").alias("_p"))
+    t = triggers.join(F.broadcast(first), "date").where("_p is not null")
     last = cal.agg(F.max("pos").alias("_last"))
     t = t.crossJoin(F.broadcast(last)).withColumn("_e", F.least(F.col("_p") + days - 1, F.col("_last")))  # one row
     end = cal.select(F.col("date").alias("veto_to"), F.col("pos").alias("_e"))
-    return t.join(F.broadcast(end), "_e").select("ticker", F.col("_c").alias("veto_from"), "veto_to")
+    start = cal.select(F.col("date").alias("veto_from"), F.col("pos").alias("_p"))
+    return t.join(F.broadcast(end), "_e").join(F.broadcast(start), "_p").select("ticker", "veto_from", "veto_to")
 
 
 def not_excluded(panel: DataFrame, windows: DataFrame) -> DataFrame:

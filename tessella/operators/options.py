@@ -102,7 +102,7 @@ def interpolate(points: DataFrame, grid: DataFrame, key: str, x: str, y: str) ->
     g = grid.select(key, F.col(x).alias("_x"), F.lit(1).alias("_s"))
     both = g.unionByName(p, allowMissingColumns=True)
     lo = F.last("_p", ignorenulls=True).over(Window.partitionBy(key).orderBy("_x", "_s").rowsBetween(Window.unboundedPreceding, 0))
-    hi = F.first("_p", ignorenulls=True).over(Window.partitionBy(key).orderBy("_x", F.desc("_s")).rowsBetween(0, Window.unboundedFollowing))
+    hi = F.last("_p", ignorenulls=True).over(Window.partitionBy(key).orderBy(F.desc("_x"), "_s").rowsBetween(Window.unboundedPreceding, 0))
     rows = both.withColumn("a", lo).withColumn("b", hi).where("_s = 1")
     step = (F.col("_x") - F.col("a.x")) / F.nullif(F.col("b.x") - F.col("a.x"), F.lit(0.0))
     value = F.when(F.col("a").isNull(), F.col("b.y")).when(F.col("b").isNull() | step.isNull(), F.col("a.y")).otherwise(F.col("a.y") + step * (F.col("b.y") - F.col("a.y")))

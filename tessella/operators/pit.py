@@ -5,7 +5,7 @@ All take long tables. A ``key`` column names the entity, dates are DATE.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -85,7 +85,8 @@ def asof_nearest(left: DataFrame, right: DataFrame, key: str, on: str, right_on:
     both = a.unionByName(r, allowMissingColumns=True)
     w = Window.partitionBy("_k").orderBy("_t", "_side")
     back = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    fwd = F.first("_r", ignorenulls=True).over(Window.partitionBy("_k").orderBy("_t", F.desc("_side")).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # looking ahead is looking back in the other order: frames that only grow cost one pass
+    fwd = F.last("_r", ignorenulls=True).over(Window.partitionBy("_k").orderBy(F.desc("_t"), "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     seen = both.withColumn("_b", back).withColumn("_f", fwd).where("_side = 1")
     gap_b, gap_f = F.datediff("_t", "_b._d"), F.datediff("_f._d", "_t")
     use_b = F.coalesce(gap_b <= gap_f, gap_b.isNotNull())
@@ -136,17 +137,22 @@ def calendar(dates: DataFrame) -> DataFrame:
     return dates.select("date").distinct().select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("pos"))
 
 
-def positions(df: DataFrame, cal: DataFrame, day: str, name: str, side: str = "right") -> DataFrame:
-    """df with the number of trading days <= day (right) or < day (left), less 1 for right.
+MARGIN = 20_000  # days around a trading calendar that lookups cover
 
-    The calendar is small (one row per day), so it travels as one sorted
-    array and the lookup is a map-side expression.
-    """
-    days = cal.agg(F.sort_array(F.collect_list("date")).alias("_days"))
-    test = (lambda x: x <= F.col(day)) if side == "right" else (lambda x: x < F.col(day))
-    n = F.size(F.filter("_days", test)) - (1 if side == "right" else 0)
-    return df.crossJoin(F.broadcast(days)).withColumn(name, F.when(F.col(day).isNotNull(), n)).drop("_days")
+
+def dense_calendar(cal: DataFrame) -> DataFrame:
+    """(day, before, after) for every calendar day in and around a trading calendar: the position of the last trading day
+    up to the day (-1 before the first) and of the first from the day on (NULL after the last). Bounded by the calendar,
+    so lookups are hash joins against a broadcast of it, not range joins."""
+    span = cal.agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    days = span.select(F.explode(F.sequence(F.date_sub("a", MARGIN), F.date_add("b", MARGIN))).alias("day"))
+    w = Window.orderBy("day")
+    j = days.join(cal.select(F.col("date").alias("day"), "pos"), "day", "left")
+    before = F.coalesce(F.last("pos", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(-1))
+    return j.select("day", before.alias("before"), F.last("pos", ignorenulls=True).over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, 0)).alias("after"))
 
 
-def months_between_positions(date: str | Column) -> Column:
-    return F.year(date) * 12 + F.month(date)
+def positions(df: DataFrame, cal: DataFrame, day: str, name: str) -> DataFrame:
+    """df with the position of the last trading day up to ``day`` (-1 before the first)."""
+    d = dense_calendar(cal).select(F.col("day").alias("_day"), F.col("before").alias(name))
+    return df.join(F.broadcast(d), F.col(day) == F.col("_day"), "left").drop("_day")

@@ -66,7 +66,8 @@ def mask_seams(bars: DataFrame, seams: DataFrame, horizons=(1, 5, 21)) -> DataFr
     w = Window.partitionBy("ticker").orderBy("date")
     rows = bars.withColumn("_p", F.row_number().over(w))
     s = rows.join(seams.select("ticker", F.col("date"), F.lit(1).alias("_seam")), ["ticker", "date"], "left")
-    nxt = F.min(F.when(F.col("_seam") == 1, F.col("_p"))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy("ticker").orderBy(F.desc("date"))
+    nxt = F.last(F.when(F.col("_seam") == 1, F.col("_p")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     s = s.withColumn("_n", nxt)
     for h in horizons:
         s = s.withColumn(f"ret_{h}d", F.when(F.col("_n").isNull() | (F.col("_n") - F.col("_p") > h), F.col(f"ret_{h}d")))

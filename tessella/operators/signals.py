@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import over_time, rolling
+from .pit import dense_calendar
 
 
 def predicted_yield(dividends: DataFrame, month_close: DataFrame, lags: DataFrame) -> DataFrame:
@@ -30,9 +31,9 @@ def predicted_yield(dividends: DataFrame, month_close: DataFrame, lags: DataFram
 def two_day_return(events: DataFrame, prices: DataFrame, cal: DataFrame, cutoff: int = 16) -> DataFrame:
     """(ticker, ts, ret): close before to close after the trading day on which an event is known (accepted from the cutoff hour on: the next)."""
     e = events.withColumn("_late", F.hour("ts") >= cutoff).withColumn("_day", F.to_date("ts"))
-    spans = cal.select(F.col("date").alias("_c"), F.lag("date").over(Window.orderBy("date")).alias("_b"), "pos")  # one row per day
     known = F.when(F.col("_late"), F.date_add("_day", 1)).otherwise(F.col("_day"))
-    e = e.withColumn("_k", known).join(F.broadcast(spans), (F.col("_k") <= F.col("_c")) & (F.col("_b").isNull() | (F.col("_k") > F.col("_b"))))
+    first = dense_calendar(cal).select(F.col("day").alias("_k"), F.col("after").alias("pos"))
+    e = e.withColumn("_k", known).join(F.broadcast(first), "_k").where("pos is not null")
     px = prices.join(F.broadcast(cal), "date").select("ticker", F.col("pos").alias("_p"), "close")
     before = px.select("ticker", (F.col("_p") + 1).alias("pos"), F.col("close").alias("_x"))
     after = px.select("ticker", (F.col("_p") - 1).alias("pos"), F.col("close").alias("_y"))

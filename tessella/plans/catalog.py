@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation_queries, event_queries, feature_queries, fundamental_queries, market_queries, panel_queries, pit_queries, quality_queries, signal_queries, text_graph_queries  # noqa: F401  (they register)
+from . import evaluation_queries, event_queries, feature_queries, fundamental_queries, look_queries, market_queries, panel_queries, pit_queries, quality_queries, signal_queries, text_graph_queries  # noqa: F401  (they register)
 from .registry import QUERIES, SQL
 
 

@@ -47,7 +47,7 @@ END_ID = 2
 MAX_BITS = 16
 STRIDE = 256
 BLOCK_IDS = 1 << 17
-PIECES_KEPT = 1 << 20  # of a worker's memory of encoded pieces (about 40 MB when full)
+PIECES_KEPT = 1 << 19  # of a worker's memory of encoded pieces (about 20 MB when full)
 MAGIC = b"TSH1"
 
 _U = np.uint64

@@ -1,7 +1,9 @@
 """Hand cases and metamorphic properties of the operators."""
 
 import datetime as dt
+import difflib
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from tessella.functions import parsers, stats
 from tessella.functions import scalars as S
 from tessella.operators import combiner, cross_section, events, features, fundamentals, governance, graph, options, pit, portfolio, quality, text, ticks
+from tessella.plans import text_graph_queries
 from tessella.sources import readers
 from tessella.streaming import twins
 
@@ -192,6 +195,27 @@ def test_edit_ratio_identity():
             assert ratio == pytest.approx((len(a) + len(b) - added - deleted) / (len(a) + len(b)))
 
 
+def edits(spark, folder, docs):
+    """doc_id -> row of the registered query over these (doc_id, text, n_chars), one source and language."""
+    d = spark.createDataFrame([(i, t, "en", "s", n) for i, t, n in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    d.write.parquet(f"{folder}/documents.parquet")
+    return {r.doc_id: (r.ratio, r.added, r.deleted) for r in text_graph_queries.edit_ratio(spark, str(folder)).collect()}
+
+
+def by_difflib(docs):
+    tokens = [re.findall("[a-z0-9]+", t.lower()) for _, t, _ in docs]
+    out = {}
+    for (i, _, _), a, b in zip(docs[1:], tokens, tokens[1:]):
+        m = sum(x.size for x in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+        out[i] = (2 * m / (len(a) + len(b)), len(b) - m, len(a) - m)
+    return out
+
+
+def test_edits_of_short_documents_and_without_a_length(spark, tmp_path):
+    docs = [(i, t, n) for i, (t, n) in enumerate([("a b c " * 50, 300), ("a b", 3), ("b c d", 5), ("a x c " * 50, None), ("a b c " * 40, 240)])]
+    assert edits(spark, tmp_path, docs) == by_difflib(docs)
+
+
 def test_word_windows(spark):
     df = spark.createDataFrame([(" ".join(["w"] * n),) for n in (0, 10, 15, 100, 110, 120, 20000)], "t string")
     got = [[len(x) for x in r.w] for r in df.select(text.word_windows(F.col("t")).alias("w")).collect()]

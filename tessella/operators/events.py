@@ -5,6 +5,9 @@ A calendar is (date, pos), one row per trading day; it is broadcast.
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,33 +103,61 @@ def shifted_controls(events: DataFrame, prices: DataFrame, cal: DataFrame, shift
     return j.select("ticker", "date", F.when(reason.isNull(), F.col("control_date")).alias("control_date"), reason.alias("reason"))
 
 
-def greedy_match(events: DataFrame, controls: DataFrame, reach: int = 30, top: int = 8, near: int = 63) -> DataFrame:
+def greedy_match(events: DataFrame, controls: DataFrame, near: int = 63) -> DataFrame:
     """(event_id, control_id, gap): nearest pairs first, each event and control once, a control's subject not again within ``near`` positions.
 
-    Candidates (the ``top`` nearest controls of an event within ``reach``)
-    are made in Spark; only these bounded lists meet in one task, where the
-    global order makes the assignment sequential.
+    Equal to walking all pairs by gap, event_id and control_id, whatever the
+    distance. The global order makes the assignment sequential, so the events
+    and controls meet in one task, as rows and not as pairs: a heap holds each
+    event's nearest free control. A taken or blocked control never comes free
+    again, so it is skipped for all events once it is met.
     """
-    bucket = lambda c: F.floor(F.col(c) / (2 * reach))
-    e = events.select("event_id", F.col("pos").alias("ep")).withColumn("_b", F.explode(F.array(bucket("ep") - 1, bucket("ep"), bucket("ep") + 1)))
-    c = controls.select("control_id", "subject", F.col("pos").alias("cp")).withColumn("_b", bucket("cp"))
-    gap = F.abs(F.col("ep") - F.col("cp"))
-    cand = e.join(c, "_b").withColumn("gap", gap).where(F.col("gap") <= reach)
-    rn = F.row_number().over(Window.partitionBy("event_id").orderBy("gap", "control_id"))
-    cand = cand.withColumn("_rn", rn).where(F.col("_rn") <= top).select("event_id", "control_id", "subject", "cp", "gap", F.lit(1).alias("_one"))
+    e = events.select(F.col("event_id").alias("id"), F.lit(None).cast("string").alias("subject"), "pos", F.lit(True).alias("event"))
+    c = controls.select(F.col("control_id").alias("id"), F.col("subject").cast("string").alias("subject"), "pos", F.lit(False).alias("event"))
+    rows = e.unionByName(c).dropna(subset=["id", "pos"]).withColumn("_one", F.lit(1))
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        ev, co = pdf[pdf["event"]], pdf[~pdf["event"]].sort_values(["pos", "id"])
+        ids, subjects, at = co["id"].tolist(), co["subject"].tolist(), co["pos"].tolist()
+        n = len(at)
+        right, left = list(range(n + 1)), list(range(n + 1))  # next free control from i on; of left, up to i - 1
+
+        def root(up: list[int], i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        def nearest(p: int):
+            k = bisect_left(at, p)
+            found = []
+            if (r := root(right, k)) < n:
+                found.append((at[r] - p, ids[r], r))
+            if (i := root(left, k)) > 0:
+                i = root(right, bisect_left(at, at[i - 1]))  # the first free one of that position
+                found.append((p - at[i], ids[i], i))
+            return min(found, default=None)
+
+        heap = [(x[0], e, x[1], x[2], p) for e, p in zip(ev["id"].tolist(), ev["pos"].tolist()) if (x := nearest(p))]
+        heapq.heapify(heap)
         done, used, busy, out = set(), set(), {}, []
-        for r in pdf.sort_values(["gap", "event_id", "control_id"]).itertuples(index=False):
-            if r.event_id in done or r.control_id in used or any(abs(r.cp - p) <= near for p in busy.get(r.subject, ())):
+        while heap:
+            gap, e, c, i, p = heapq.heappop(heap)
+            if e in done:
                 continue
-            done.add(r.event_id)
-            used.add(r.control_id)
-            busy.setdefault(r.subject, []).append(r.cp)
-            out.append((r.event_id, r.control_id, r.gap))
+            free = right[i] == i and c not in used and not any(abs(at[i] - q) <= near for q in busy.get(subjects[i], ()))
+            if right[i] == i:
+                right[i], left[i + 1] = i + 1, i
+            if free:
+                done.add(e)
+                used.add(c)
+                busy.setdefault(subjects[i], []).append(at[i])
+                out.append((e, c, gap))
+            elif x := nearest(p):
+                heapq.heappush(heap, (x[0], e, x[1], x[2], p))
         return pd.DataFrame(out, columns=["event_id", "control_id", "gap"])
 
-    return cand.groupBy("_one").applyInPandas(assign, "event_id long, control_id long, gap long")
+    return rows.groupBy("_one").applyInPandas(assign, "event_id long, control_id long, gap long")
 
 
 def rebalance_dates(cal: DataFrame, rule: str = "month", every: int = 21) -> DataFrame:

@@ -222,6 +222,30 @@ def test_word_windows(spark):
     assert got[:6] == [[], [], [15], [100], [100], [100, 20]] and len(got[6]) == 150
 
 
+def all_pairs(ev, co, near):
+    """Greedy over every (event, control) pair, nearest first."""
+    done, used, busy, out = set(), set(), {}, []
+    for gap, e, c, s, p in sorted((abs(p - q), e, c, s, q) for e, p in ev for c, s, q in co):
+        if e not in done and c not in used and all(abs(p - q) > near for q in busy.get(s, ())):
+            done.add(e)
+            used.add(c)
+            busy.setdefault(s, []).append(p)
+            out.append((e, c, gap))
+    return sorted(out)
+
+
+def test_greedy_match_equals_all_pairs(spark):
+    r = random.Random(3)
+    cases = [([(i, 100) for i in range(12)], [(i, i, 100 + 40 * i) for i in range(15)])]  # one day, controls far apart
+    cases += [([(i, r.randrange(400)) for i in range(60)], [(i, r.randrange(30), r.randrange(400)) for i in range(60)]) for _ in range(3)]
+    for ev, co in cases:
+        got = events.greedy_match(spark.createDataFrame(ev, "event_id long, pos long"), spark.createDataFrame(co, "control_id long, subject long, pos long"))
+        assert sorted(tuple(x) for x in got.collect()) == all_pairs(ev, co, 63)
+    assert len(all_pairs(*cases[0], 63)) == 12
+    empty = spark.createDataFrame([], "control_id long, subject long, pos long")
+    assert events.greedy_match(spark.createDataFrame(cases[0][0], "event_id long, pos long"), empty).count() == 0
+
+
 def test_greedy_thinning(spark):
     f = spark.createDataFrame([("A", D("2020-01-01")), ("A", D("2020-03-01")), ("A", D("2020-08-01")), ("A", D("2021-02-01"))], "k string, d date")
     assert [r[1].month for r in rows(text.thin_by_gap(f, "k", "d", 200))] == [1, 8] or rows(text.thin_by_gap(f, "k", "d", 200))

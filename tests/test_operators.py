@@ -216,6 +216,19 @@ def test_edits_of_short_documents_and_without_a_length(spark, tmp_path):
     assert edits(spark, tmp_path, docs) == by_difflib(docs)
 
 
+def test_edits_of_long_documents(spark, tmp_path):
+    r = random.Random(5)
+    docs = [(i, " ".join(r.choices("abcdefgh", k=n)), 2 * n - 1) for i, n in enumerate((700, 760, 3000, 40))]
+    assert edits(spark, tmp_path, docs) == by_difflib(docs)
+
+
+def test_edits_in_chunks(spark, tmp_path):
+    words = [f"w{i}" for i in range(110_000)]
+    docs = [(i, " ".join(w), 10**6) for i, w in enumerate((words, words[:50_000] + ["x"] + words[50_001:]))]
+    ratio, added, deleted = edits(spark, tmp_path, docs)[1]
+    assert (added, deleted) == (1, 1) and ratio == pytest.approx(1 - 1 / 110_000)
+
+
 def test_word_windows(spark):
     df = spark.createDataFrame([(" ".join(["w"] * n),) for n in (0, 10, 15, 100, 110, 120, 20000)], "t string")
     got = [[len(x) for x in r.w] for r in df.select(text.word_windows(F.col("t")).alias("w")).collect()]

@@ -10,7 +10,8 @@ passage is a query, and all segments of a score of at least ``LEAST`` (of
 
 Most passages cannot reach that: a vectorised bound adds up, per passage and
 segment, what the terms that few items have contribute, plus all that the
-segment's other terms could. Only passages in which some segment's bound
+segment's other terms could; where those alone could reach ``LEAST``, as in
+repeated items or a small vocabulary, it adds up all terms. Only passages in which some segment's bound
 reaches ``LEAST`` run through WAND, so nothing above the threshold is
 missed. An item is found in a text if, around a retrieving passage, at least
 ``OVERLAP`` of the word trigrams of its question and of its answer occur (of
@@ -54,6 +55,8 @@ LEAST = 0.6
 OVERLAP = 0.5
 SHORTEST = 8
 RARE_SHARE = 0.05  # terms of at most this share of the segments feed the bound
+SURE = 1 - 1e-6  # of LEAST, for rounding
+POSTINGS = 1 << 20  # of the bound, expanded at a time
 INDEX_TOKENS = 2_000_000
 _U = np.uint64
 
@@ -108,6 +111,7 @@ class Index:
         df = Counter(x for s in segments for x in set(s.tolist()))
         mean = sum(map(len, segments)) / max(1, self.n)
         found: dict[int, list] = defaultdict(list)
+        met: dict[int, list] = defaultdict(list)  # the postings that feed the bound
         self.rest = np.zeros(self.n)
         for i, s in enumerate(segments):
             score = {}
@@ -117,13 +121,19 @@ class Index:
             whole = sum(score.values())
             for x, v in score.items():
                 found[x].append((i, v / whole))
-            self.rest[i] = sum(v for x, v in score.items() if df[x] > self.rare()) / whole
+            fed = {x for x in score if df[x] <= self.rare()}
+            rest = sum(v for x, v in score.items() if x not in fed)
+            if rest >= SURE * LEAST * whole:  # its common terms alone might reach LEAST: all of its terms feed the bound
+                fed, rest = set(score), 0.0
+            for x in fed:
+                met[x].append((i, score[x] / whole))
+            self.rest[i] = rest / whole
         self.lists = {x: ([i for i, _ in p], [v for _, v in p], max(v for _, v in p), [max(v for _, v in p[k : k + BLOCK]) for k in range(0, len(p), BLOCK)]) for x, p in found.items()}
-        few = sorted(x for x in found if df[x] <= self.rare())
+        few = sorted(met)
         self.term = np.array(few, _U)
-        self.at = np.concatenate([[0], np.cumsum([df[x] for x in few])]).astype(np.int64)
-        self.seg = np.array([i for x in few for i, _ in found[x]], np.int64)
-        self.impact = np.array([v for x in few for _, v in found[x]])
+        self.at = np.concatenate([[0], np.cumsum([len(met[x]) for x in few])]).astype(np.int64)
+        self.seg = np.array([i for x in few for i, _ in met[x]], np.int64)
+        self.impact = np.array([v for x in few for _, v in met[x]])
         self.hint = np.zeros(1 << 20, bool)  # of the low bits of terms
         self.hint[(self.term & _U((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -148,6 +158,20 @@ class Index:
         new = np.ones(len(by), bool)
         new[1:] = (text[1:] != text[:-1]) | (passage[1:] != passage[:-1]) | (k[1:] != k[:-1])
         text, k, passage = text[new], k[new], passage[new]
+        new = np.ones(len(k), bool)
+        new[1:] = (text[1:] != text[:-1]) | (passage[1:] != passage[:-1])
+        starts = np.flatnonzero(new)  # of passages
+        size = np.concatenate([[0], np.cumsum(self.at[k + 1] - self.at[k])])
+        out, lo = [], 0
+        while lo < len(starts):  # whole passages, of about POSTINGS postings together
+            hi = max(lo + 1, int(np.searchsorted(size[starts], size[starts[lo]] + POSTINGS, side="right")) - 1)
+            hi = len(starts) if size[-1] <= size[starts[lo]] + POSTINGS else hi
+            cut = slice(starts[lo], starts[hi] if hi < len(starts) else len(k))
+            out += self._bound(text[cut], k[cut], passage[cut])
+            lo = hi
+        return out
+
+    def _bound(self, text: np.ndarray, k: np.ndarray, passage: np.ndarray) -> list[tuple[int, int]]:
         where, owner = K.runs(self.at[k], self.at[k + 1])
         text, passage, seg, v = text[owner], passage[owner], self.seg[where], self.impact[where]
         by = np.lexsort((seg, passage, text))

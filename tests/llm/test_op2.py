@@ -53,6 +53,40 @@ def test_wand_and_bound_miss_nothing():
             assert not good or p in hopeful
 
 
+def missed(items, docs):
+    """Passages with a segment of at least LEAST that the bound leaves out, and how many there are."""
+    ix, out, n = D.Index(items), [], 0
+    term = [D.token_list(t) for t in docs]
+    hopeful = set(ix.hopeful(np.concatenate(term), np.concatenate([[0], np.cumsum([len(t) for t in term])])))
+    for k, t in enumerate(term):
+        for p in range(max(1, -(-(len(t) - D.PASSAGE) // D.STRIDE) + 1)):
+            if (scores(ix, set(t[p * D.STRIDE : p * D.STRIDE + D.PASSAGE].tolist())) >= D.LEAST).any():
+                n += 1
+                out += [(k, p)] if (k, p) not in hopeful else []
+    return out, n
+
+
+def test_repeated_items_and_small_vocabularies_are_met(spark, monkeypatch):
+    r = random.Random(4)
+    words = lambda v, n: " ".join(r.choices(v, k=n))
+    many, small = [f"w{i}" for i in range(5000)], [f"w{i}" for i in range(100)]
+    for times, n in ((2, 30), (3, 40), (11, 200)):
+        item = words(many, 20)
+        items = [(0, item)] * times + [(i, words(many, 20)) for i in range(1, n - times + 1)]
+        docs = [words(many, 100), words(many, 100) + " " + item + " " + words(many, 100)]
+        lost, met = missed(items, docs)
+        assert not lost and met
+    items = [(i, words(small, 60)) for i in range(200)]
+    docs = [words(many, 60) + " " + t + " " + words(many, 60) for _, t in items[:40]]
+    for size in (D.POSTINGS, 500):
+        monkeypatch.setattr(D, "POSTINGS", size)
+        lost, met = missed(items, docs)
+        assert not lost and met >= 40
+    three = [(1, items[0][1]), (2, items[0][1]), (3, items[0][1]), (4, words(many, 20))]
+    out = D.mark(spark.createDataFrame([(1, docs[0]), (2, docs[1])], "doc_id long, text string"), spark.createDataFrame(three, "item_id long, text string")).collect()
+    assert [sorted(x["items"]) for x in sorted(out)] == [[1, 2, 3], []]
+
+
 def test_leaks_are_found_and_clean_texts_left(spark, monkeypatch):
     items, docs, truth = corpus(2)
     df = spark.createDataFrame([(i, t, "s", 1) for i, t in docs], "doc_id long, text string, row string, items int").repartition(3).drop("items")

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .staging import Staged
 
 
-def components(edges: DataFrame) -> DataFrame | None:
-    """(a, b) longs -> (node, root), root the smallest node; None without edges.
+def components(edges: DataFrame) -> Staged | None:
+    """(a, b) longs -> a table (node, root), root the smallest node; None without edges.
 
     Self-loops, repeated and reversed edges are allowed; nulls are dropped.
     """
@@ -47,4 +47,4 @@ def components(edges: DataFrame) -> DataFrame | None:
         e = nxt
     for x in [*old, e]:
         x.drop()
-    return None if found is None else found.df()
+    return found

@@ -14,11 +14,20 @@ A band in which some set has too few non-empty blocks for the argument
 (also every set under ``SMALL``) takes one block per shingle; then the count
 always suffices. Equal sets are one class before anything is joined.
 
-In a bucket (equal blocks), first each class meets the bucket's smallest
-class, its most frequent such partner only; then only classes that are still
-in different components meet, filtered by size and by the Hamming distance
-of 512-bit parity sketches, then of sketches as wide as the sets. Every
-surviving pair is verified on the full shingle sets, so the result is exact up to 64-bit hash collisions.
+Every set emits some blocks more than it needs, ``slack(n)``. A bucket of more
+than ``MANY`` rows is crowded; of a set with at most ``slack`` (of its least
+partner) blocks in crowded buckets these are dropped, since among the blocks
+that it must share one is in no crowded bucket, and its partner emits that one
+too. So crowded buckets hold only sets that are made of crowded blocks, such
+as large groups of near copies, and shared passages make no pairs.
+
+In buckets (equal blocks) that are still large, classes first meet one random
+class of the bucket, the nearest by sketch is verified, and linked classes
+become one component; this repeats while it finds links (``ROUNDS`` times at most).
+Then classes that are still in different components meet, filtered by size and
+by the Hamming distance of 512-bit parity sketches, then of sketches as wide as
+the sets. Every surviving pair is verified on the full shingle sets, so the
+result is exact up to 64-bit hash collisions.
 
 Cases: null text, empty text and text without words have no shingle
 (n_shingles 0, component_id = own doc_id); under five words the whole
@@ -38,7 +47,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .staging import Staged, bounded
+from .staging import Staged, bounded, small
 
 WORDS = 5
 PERCENT = 75
@@ -48,7 +57,11 @@ LOAD = 1.5  # most shingles per block in a band
 SKETCH = 8  # 64-bit words of the filter sketch
 HOT_SHARE = 500  # a shingle in more than 1/HOT_SHARE of the documents goes last
 COUNT_AT_ONCE = 1 << 20  # shingles
-BROADCAST_BYTES = 8 << 20  # of the table's files; beyond it joins shuffle
+MANY = 32  # rows of a crowded bucket
+LARGE = 8  # rows of a bucket whose classes first meet one of them
+ROUNDS = 4
+FEW = 16  # a round in which fewer than one in FEW candidates are links is the last
+SEEN = 1 << 18  # sets that a task remembers as emitted
 
 _U = np.uint64
 _SK = [f"k{i}" for i in range(SKETCH)]
@@ -102,14 +115,19 @@ def band_top(band: np.ndarray) -> np.ndarray:
     return SMALL * GROWTH ** band
 
 
+def slack(n: np.ndarray) -> np.ndarray:
+    """Blocks that a set emits beyond those that the argument needs; every set has as many."""
+    return n // 16 + (n >= 4)
+
+
 def plan(n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(sets, band, blocks wanted) for the own band, and for the next if a partner can be there."""
     band, most = band_of(n), n * 100 // PERCENT
-    top = band_top(band)
+    top, extra = band_top(band), 1 + slack(n)
     own = np.flatnonzero(n > 0)
     up = np.flatnonzero((n > 0) & (most >= top))
     bound = lambda other: (n + other) * (100 - PERCENT) // (100 + PERCENT)
-    return [(own, band[own], bound(np.minimum(most, top - 1))[own] + 1), (up, band[up] + 1, bound(most)[up] + 1)]
+    return [(own, band[own], bound(np.minimum(most, top - 1))[own] + extra[own]), (up, band[up] + 1, bound(most)[up] + extra[up])]
 
 
 def blocks(order: np.ndarray, band: np.ndarray, plain: np.ndarray) -> np.ndarray:
@@ -225,6 +243,8 @@ def _emitter(hot, plain_bands: set[int]):
                 h, bounds = shingles(buf, off)
                 sid = set_ids(h, bounds)
                 key, owner, _ = signatures(h, bounds, table, plain_bands)
+                if len(seen) > SEEN:
+                    seen.clear()
                 fresh = np.array([not (x in seen or seen.add(x)) for x in sid.tolist()], bool)  # equal sets of a task once
                 take = fresh[owner]
                 yield pa.RecordBatch.from_arrays([pa.array(K.signed(key[take])), pa.array(sid[owner[take]])], ["key", "sid"])
@@ -282,25 +302,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], ["a", "b"])
 
 
-def _small(t: Staged) -> DataFrame:
-    """For a join: broadcast behind a check of the files' size, shuffled beyond."""
-    return F.broadcast(t.df()) if t.bytes() <= BROADCAST_BYTES else t.df()
+def _far(a: str, b: str) -> str:
+    """SQL: Hamming distance of the sketches of rows a and b."""
+    return " + ".join(f"bit_count({a}.{x} ^ {b}.{x})" for x in _SK)
 
 
 def _close(a: str, b: str) -> str:
     """SQL: sizes and sketches of rows a and b allow a link."""
-    far = " + ".join(f"bit_count({a}.{x} ^ {b}.{x})" for x in _SK)
     n, m = f"{a}.n_shingles", f"{b}.n_shingles"
-    return f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m}) and {far} <= ({n} + {m}) * {100 - PERCENT} div {100 + PERCENT}"
-
-
-def _links(docs: DataFrame, classes: Staged, pairs: DataFrame) -> DataFrame:
-    """The (a, b) of pairs whose sets are similar enough, on the sets themselves."""
-    c = classes.df().select("sid", "n_shingles", *_SK)
-    near = pairs.alias("p").join(c.alias("x"), F.expr("p.a = x.sid")).join(c.alias("y"), F.expr("p.b = y.sid")).where(_close("x", "y")).select("p.a", "p.b")
-    near = _compared(docs, classes, Staged(near, "pairs"), _wide, _near)
-    out = _compared(docs, classes, near, _sets, _verify)
-    return out.df()
+    return f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m}) and {_far(a, b)} <= ({n} + {m}) * {100 - PERCENT} div {100 + PERCENT}"
 
 
 def _compared(docs: DataFrame, classes: Staged, pairs: Staged, make, keep) -> Staged:
@@ -308,7 +318,7 @@ def _compared(docs: DataFrame, classes: Staged, pairs: Staged, make, keep) -> St
     n = pairs.df()
     involved = n.select(F.col("a").alias("sid")).unionByName(n.select(F.col("b").alias("sid"))).distinct()
     reps = Staged(involved.join(classes.df().select("sid", F.col("rep").alias("doc_id")), "sid"), "reps")
-    made = Staged(docs.join(_small(reps), "doc_id").select("sid", "text").mapInArrow(make, "sid long, items binary"), "made")
+    made = Staged(docs.join(small(reps), "doc_id").select("sid", "text").mapInArrow(make, "sid long, items binary"), "made")
     x, y = (made.df().select(F.col("sid").alias(k), F.col("items").alias(f"items_{k}")) for k in "ab")
     out = Staged(n.join(x, "a").join(y, "b").select("a", "b", "items_a", "items_b").mapInArrow(keep, "a long, b long").distinct(), "kept")
     for t in (pairs, reps, made):
@@ -316,13 +326,89 @@ def _compared(docs: DataFrame, classes: Staged, pairs: Staged, make, keep) -> St
     return out
 
 
+class _Components:
+    """sid -> root of the links found so far; a sid without a row is its own root."""
+
+    def __init__(self):
+        self.roots: Staged | None = None
+
+    def of(self, df: DataFrame, sid: str = "sid", root: str = "root") -> DataFrame:
+        if self.roots is None:
+            return df.withColumn(root, F.col(sid))
+        to = small(self.roots).select(F.col("node").alias(sid), F.col("root").alias("_up"))
+        return df.join(to, sid, "left").withColumn(root, F.coalesce("_up", sid)).drop("_up")
+
+    def add(self, links: Staged) -> None:
+        ends = self.of(self.of(links.df(), "a", "ra"), "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        new = components(ends)
+        links.drop()
+        if new is None:
+            return
+        if self.roots is None:
+            self.roots = new
+            return
+        up = small(new).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        old = self.roots.df().join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        fresh = new.df().join(self.roots.df().select("node"), "node", "left_anti")
+        merged = Staged(old.unionByName(fresh), "roots")
+        for t in (self.roots, new):
+            t.drop()
+        self.roots = merged
+
+    def drop(self) -> None:
+        if self.roots is not None:
+            self.roots.drop()
+
+
+def _members(keys: DataFrame, classes: Staged) -> Staged:
+    """key, sid of the buckets of several sets; crowded buckets only of sets that have too few others."""
+    by = Window.partitionBy("key")
+    keys = keys.withColumn("low", F.min("sid").over(by)).withColumn("high", F.max("sid").over(by)).withColumn("many", F.count(F.lit(1)).over(by) > MANY)
+    buckets = Staged(keys.where("low <> high").select("key", "sid", "many").distinct(), "buckets")  # dealt out by key already
+    n = F.ceil(F.col("n_shingles") * PERCENT / 100).cast("long")  # of the least partner
+    crowded = buckets.df().where("many").groupBy("sid").agg(F.count(F.lit(1)).alias("crowded")).join(classes.df().select("sid", "n_shingles"), "sid")
+    stuck = Staged(crowded.where(F.col("crowded") > F.floor(n / 16) + (n >= 4).cast("long")).select("sid"), "stuck")
+    rest = buckets.df().where("many").join(small(stuck), "sid", "left_semi")
+    out = Staged(buckets.df().where("not many").unionByName(rest).select("key", "sid"), "members")
+    for t in (buckets, stuck):
+        t.drop()
+    return out
+
+
+def _nearest(member: Staged, classes: Staged, roots: _Components, turn: int) -> Staged:
+    """(a, b): for each class in large buckets the nearest, by sketch, of their random pivots in another component."""
+    own = roots.of(member.df())
+    pick = F.min(F.struct(F.xxhash64("key", "sid", F.lit(turn)).alias("at"), "sid", "root")).alias("p")
+    pivots = own.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), pick).where(f"m >= {LARGE} and lo <> hi").select("key", F.col("p.sid").alias("b"), F.col("p.root").alias("rb"))
+    met = own.join(pivots, "key").where("root <> rb").select(F.col("sid").alias("a"), "b").distinct()
+    c = classes.df().select("sid", "n_shingles", *_SK)
+    met = met.alias("p").join(c.alias("x"), F.expr("p.a = x.sid")).join(c.alias("y"), F.expr("p.b = y.sid")).where(_close("x", "y"))
+    met = met.select("p.a", "p.b", F.expr(f"({_far('x', 'y')}) / (x.n_shingles + y.n_shingles)").alias("far"))
+    return Staged(met.groupBy("a").agg(F.min(F.struct("far", "b")).alias("m")).select("a", "m.b"), "nearest")
+
+
+def _open_pairs(member: Staged, classes: Staged, roots: _Components) -> Staged:
+    """(a, b) of classes in one bucket and different components that sizes and sketches let link."""
+    own = roots.of(member.df())
+    mixed = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    rows = Staged(own.join(mixed, "key", "left_semi"), "open")
+    facts = Staged(classes.df().join(rows.df().select("sid").distinct(), "sid", "left_semi").select("sid", "n_shingles", *_SK), "facts")
+    open_ = Staged(rows.df().join(small(facts), "sid"), "open")
+    x, y = open_.df().alias("x"), open_.df().alias("y")
+    pairs = x.join(y, F.expr(f"x.key = y.key and x.sid > y.sid and x.root <> y.root and {_close('x', 'y')}"))
+    out = Staged(pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), "pairs")
+    for t in (rows, facts, open_):
+        t.drop()
+    return out
+
+
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id long, text string)."""
     spark: SparkSession = bounded(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = Staged(docs.mapInArrow(_profile, _PROFILE), "profile")
     rows = seen.df().where("hot is null and weak is null")
-    plain = {r[0] for r in seen.df().where("weak is not null").select("weak").distinct().collect()}
+    plain = {r[0] for r in seen.df().where("weak is not null").select("weak").distinct().collect()}  # a band each
     n = rows.count()
     # at most (mean set size) * HOT_SHARE entries, whatever the number of documents
     hot = seen.df().where("hot is not null").groupBy("hot").agg(F.sum("hot_n").alias("n")).where(F.col("n") * HOT_SHARE > n).select("hot").toPandas()["hot"]
@@ -330,45 +416,29 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     real = rows.where("n_shingles > 0 and doc_id is not null")
     classes = Staged(real.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), *(F.first(x).alias(x) for x in _SK)), "classes")
 
-    by = Window.partitionBy("key")
     keys = docs.where("doc_id is not null").select("text").mapInArrow(_emitter(hot, plain), "key long, sid long")
-    keys = keys.withColumn("low", F.min("sid").over(by)).withColumn("high", F.max("sid").over(by)).where("low <> high").select("key", "sid", "low").distinct()  # dealt out by key already
-    buckets = Staged(keys, "buckets")
-
-    votes = buckets.df().where("sid <> low").groupBy("sid", "low").count()
-    first = Staged(votes.groupBy(F.col("sid").alias("a")).agg(F.max(F.struct("count", -F.col("low"))).alias("m")).select("a", (-F.col("m.col2")).alias("b")), "first")
-    links = _links(docs, classes, first.df())
-    roots = components(links)
-
-    member = buckets.df().select("key", "sid")
-    if roots is None:
-        member = member.withColumn("root", F.col("sid"))
-    else:
-        known = Staged(roots.withColumnRenamed("node", "sid"), "known")
-        member = member.join(_small(known), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    open_ = Staged(member.withColumn("lo", F.min("root").over(by)).withColumn("hi", F.max("root").over(by)).where("lo <> hi").select("key", "sid", "root"), "open")
-    facts = Staged(classes.df().join(open_.df().select("sid").distinct(), "sid").select("sid", "n_shingles", *_SK), "facts")
-    open_ = Staged(open_.df().join(_small(facts), "sid"), "open")
-    x, y = open_.df().alias("x"), open_.df().alias("y")
-    pairs = x.join(y, F.expr(f"x.key = y.key and x.sid > y.sid and x.root <> y.root and {_close('x', 'y')}")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-    more = _links(docs, classes, pairs.join(first.df(), ["a", "b"], "left_anti"))
-    if roots is not None:
-        to = roots.withColumnRenamed("node", "a").withColumnRenamed("root", "ra")
-        ends = more.join(to, "a", "left").join(to.withColumnRenamed("a", "b").withColumnRenamed("ra", "rb"), "b", "left")
-        more = ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    over = components(more)
-
-    comp = classes.df().select("sid", "rep", "copies").withColumn("root", F.col("sid"))
-    if roots is not None:
-        comp = comp.drop("root").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    if over is not None:
-        comp = comp.join(over.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+    member, roots = _members(keys, classes), _Components()
+    for turn in range(ROUNDS):
+        near = _nearest(member, classes, roots, turn)
+        met = near.rows()
+        if met == 0:
+            near.drop()
+            break
+        links = _compared(docs, classes, near, _sets, _verify)
+        few = links.rows() * FEW < met
+        roots.add(links)
+        if few:
+            break
+    near = _compared(docs, classes, _open_pairs(member, classes, roots), _wide, _near)
+    roots.add(_compared(docs, classes, near, _sets, _verify))
+
+    comp = roots.of(classes.df().select("sid", "rep", "copies"))
     group = comp.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members")).where("members > 1")
     ids = Staged(comp.join(group, "root").select("sid", "component_id"), "ids")
-    for t in (buckets, first, open_):
+    for t in (member, classes, roots):
         t.drop()
     own = rows.select("doc_id", "n_shingles", "sid")
-    return own.join(_small(ids), "sid", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return own.join(small(ids), "sid", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 BATCH_BYTES = 4 << 20
+BROADCAST_BYTES = 16 << 20  # in memory
 
 
 def bounded(spark: SparkSession) -> SparkSession:
@@ -54,11 +56,20 @@ class Staged:
         path, fs = _fs(self.spark, self.path)
         return fs.getContentSummary(path).getLength()
 
+    def rows(self) -> int:
+        """From the files' footers."""
+        return self.df().count()
+
     def drop(self) -> None:
         path, fs = _fs(self.spark, self.path)
         fs.delete(path, True)
 
 
+def small(t: Staged, width: int = 0) -> DataFrame:
+    """For a join: broadcast behind a check of rows times bytes a row (of longs, if not said), shuffled beyond."""
+    return F.broadcast(t.df()) if t.rows() * (width or 16 + 8 * len(t.schema)) <= BROADCAST_BYTES else t.df()
+
+
 class Bucketed:
     """A table written once, dealt out and sorted by a column, so that joins on it need no exchange."""
 

@@ -90,5 +90,5 @@ def test_components_of_a_path(spark):
 
     e = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7), (101, 100)]
     random.Random(0).shuffle(e)
-    out = {r.node: r.root for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
+    out = {r.node: r.root for r in components(spark.createDataFrame(e, "a long, b long")).df().collect()}
     assert out == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}

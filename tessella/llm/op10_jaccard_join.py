@@ -360,44 +360,52 @@ class _Components:
             self.roots.drop()
 
 
-def _members(keys: DataFrame, classes: Staged) -> Staged:
-    """key, sid of the buckets of several sets; crowded buckets only of sets that have too few others."""
+def _members(keys: DataFrame, classes: Staged) -> tuple[Staged, Staged]:
+    """key, sid of the buckets of several sets, small and large ones; crowded buckets only of sets that have too few others."""
     by = Window.partitionBy("key")
-    keys = keys.withColumn("low", F.min("sid").over(by)).withColumn("high", F.max("sid").over(by)).withColumn("many", F.count(F.lit(1)).over(by) > MANY)
-    buckets = Staged(keys.where("low <> high").select("key", "sid", "many").distinct(), "buckets")  # dealt out by key already
+    m = F.count(F.lit(1)).over(by)  # sets that several tasks emit count several times
+    keys = keys.withColumn("low", F.min("sid").over(by)).withColumn("high", F.max("sid").over(by)).withColumn("size", ((m >= LARGE).cast("int") + (m > MANY).cast("int")).cast("byte"))
+    buckets = Staged(keys.where("low <> high").select("key", "sid", "size").distinct(), "buckets")  # dealt out by key already
     n = F.ceil(F.col("n_shingles") * PERCENT / 100).cast("long")  # of the least partner
-    crowded = buckets.df().where("many").groupBy("sid").agg(F.count(F.lit(1)).alias("crowded")).join(classes.df().select("sid", "n_shingles"), "sid")
+    crowded = buckets.df().where("size = 2").groupBy("sid").agg(F.count(F.lit(1)).alias("crowded")).join(classes.df().select("sid", "n_shingles"), "sid")
     stuck = Staged(crowded.where(F.col("crowded") > F.floor(n / 16) + (n >= 4).cast("long")).select("sid"), "stuck")
-    rest = buckets.df().where("many").join(small(stuck), "sid", "left_semi")
-    out = Staged(buckets.df().where("not many").unionByName(rest).select("key", "sid"), "members")
+    rest = buckets.df().where("size = 2").join(small(stuck), "sid", "left_semi")
+    big = Staged(buckets.df().where("size = 1").unionByName(rest).select("key", "sid"), "big")
+    few = Staged(buckets.df().where("size = 0").select("key", "sid"), "few")
     for t in (buckets, stuck):
         t.drop()
-    return out
+    return few, big
 
 
-def _nearest(member: Staged, classes: Staged, roots: _Components, turn: int) -> Staged:
+def _nearest(big: Staged, classes: Staged, roots: _Components, turn: int) -> Staged:
     """(a, b): for each class in large buckets the nearest, by sketch, of their random pivots in another component."""
-    own = roots.of(member.df())
+    own = roots.of(big.df())
     pick = F.min(F.struct(F.xxhash64("key", "sid", F.lit(turn)).alias("at"), "sid", "root")).alias("p")
-    pivots = own.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), pick).where(f"m >= {LARGE} and lo <> hi").select("key", F.col("p.sid").alias("b"), F.col("p.root").alias("rb"))
+    pivots = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), pick).where("lo <> hi").select("key", F.col("p.sid").alias("b"), F.col("p.root").alias("rb"))
     met = own.join(pivots, "key").where("root <> rb").select(F.col("sid").alias("a"), "b").distinct()
-    c = classes.df().select("sid", "n_shingles", *_SK)
-    met = met.alias("p").join(c.alias("x"), F.expr("p.a = x.sid")).join(c.alias("y"), F.expr("p.b = y.sid")).where(_close("x", "y"))
-    met = met.select("p.a", "p.b", F.expr(f"({_far('x', 'y')}) / (x.n_shingles + y.n_shingles)").alias("far"))
+    met = _sketched(met, classes).withColumn("far", F.expr(f"({_far('x', 'y')}) / (x.n_shingles + y.n_shingles)"))
     return Staged(met.groupBy("a").agg(F.min(F.struct("far", "b")).alias("m")).select("a", "m.b"), "nearest")
 
 
-def _open_pairs(member: Staged, classes: Staged, roots: _Components) -> Staged:
+def _sketched(pairs: DataFrame, classes: Staged) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches let link, with the classes as x and y."""
+    c = classes.df().select("sid", "n_shingles", *_SK)
+    return pairs.alias("p").join(c.alias("x"), F.expr("p.a = x.sid")).join(c.alias("y"), F.expr("p.b = y.sid")).where(_close("x", "y"))
+
+
+def _open_pairs(few: Staged, big: Staged, classes: Staged, roots: _Components) -> Staged:
     """(a, b) of classes in one bucket and different components that sizes and sketches let link."""
-    own = roots.of(member.df())
+    s = roots.of(few.df())
+    met = s.alias("x").join(s.alias("y"), F.expr("x.key = y.key and x.sid > y.sid and x.root <> y.root")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    met = _sketched(met, classes).select("p.a", "p.b")
+    own = roots.of(big.df())
     mixed = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     rows = Staged(own.join(mixed, "key", "left_semi"), "open")
     facts = Staged(classes.df().join(rows.df().select("sid").distinct(), "sid", "left_semi").select("sid", "n_shingles", *_SK), "facts")
-    open_ = Staged(rows.df().join(small(facts), "sid"), "open")
-    x, y = open_.df().alias("x"), open_.df().alias("y")
-    pairs = x.join(y, F.expr(f"x.key = y.key and x.sid > y.sid and x.root <> y.root and {_close('x', 'y')}"))
-    out = Staged(pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), "pairs")
-    for t in (rows, facts, open_):
+    wide = rows.df().join(small(facts), "sid")
+    both = wide.alias("x").join(wide.alias("y"), F.expr(f"x.key = y.key and x.sid > y.sid and x.root <> y.root and {_close('x', 'y')}"))
+    out = Staged(met.unionByName(both.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))).distinct(), "pairs")
+    for t in (rows, facts):
         t.drop()
     return out
 
@@ -417,25 +425,25 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     classes = Staged(real.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), *(F.first(x).alias(x) for x in _SK)), "classes")
 
     keys = docs.where("doc_id is not null").select("text").mapInArrow(_emitter(hot, plain), "key long, sid long")
-    member, roots = _members(keys, classes), _Components()
+    (few, big), roots = _members(keys, classes), _Components()
     for turn in range(ROUNDS):
-        near = _nearest(member, classes, roots, turn)
+        near = _nearest(big, classes, roots, turn)
         met = near.rows()
         if met == 0:
             near.drop()
             break
         links = _compared(docs, classes, near, _sets, _verify)
-        few = links.rows() * FEW < met
+        last = links.rows() * FEW < met
         roots.add(links)
-        if few:
+        if last:
             break
-    near = _compared(docs, classes, _open_pairs(member, classes, roots), _wide, _near)
+    near = _compared(docs, classes, _open_pairs(few, big, classes, roots), _wide, _near)
     roots.add(_compared(docs, classes, near, _sets, _verify))
 
     comp = roots.of(classes.df().select("sid", "rep", "copies"))
     group = comp.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members")).where("members > 1")
     ids = Staged(comp.join(group, "root").select("sid", "component_id"), "ids")
-    for t in (member, classes, roots):
+    for t in (few, big, classes, roots):
         t.drop()
     own = rows.select("doc_id", "n_shingles", "sid")
     return own.join(small(ids), "sid", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -313,16 +313,28 @@ def _close(a: str, b: str) -> str:
     return f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m}) and {_far(a, b)} <= ({n} + {m}) * {100 - PERCENT} div {100 + PERCENT}"
 
 
-def _compared(docs: DataFrame, classes: Staged, pairs: Staged, make, keep) -> Staged:
-    """The pairs that ``keep`` lets through, by what ``make`` computes of their sets' texts."""
-    n = pairs.df()
-    involved = n.select(F.col("a").alias("sid")).unionByName(n.select(F.col("b").alias("sid"))).distinct()
-    reps = Staged(involved.join(classes.df().select("sid", F.col("rep").alias("doc_id")), "sid"), "reps")
+def _made(docs: DataFrame, classes: Staged, sids: DataFrame, make) -> Staged:
+    """What ``make`` computes of the texts of the sets named in sids (distinct)."""
+    reps = Staged(sids.join(classes.df().select("sid", F.col("rep").alias("doc_id")), "sid"), "reps")
     made = Staged(docs.join(small(reps), "doc_id").select("sid", "text").mapInArrow(make, "sid long, items binary"), "made")
+    reps.drop()
+    return made
+
+
+def _kept(pairs: Staged, made: Staged, keep) -> Staged:
+    """The pairs that ``keep`` lets through; the pairs are dropped."""
     x, y = (made.df().select(F.col("sid").alias(k), F.col("items").alias(f"items_{k}")) for k in "ab")
-    out = Staged(n.join(x, "a").join(y, "b").select("a", "b", "items_a", "items_b").mapInArrow(keep, "a long, b long").distinct(), "kept")
-    for t in (pairs, reps, made):
-        t.drop()
+    out = Staged(pairs.df().join(x, "a").join(y, "b").select("a", "b", "items_a", "items_b").mapInArrow(keep, "a long, b long").distinct(), "kept")
+    pairs.drop()
+    return out
+
+
+def _compared(docs: DataFrame, classes: Staged, pairs: Staged, make, keep) -> Staged:
+    """The pairs that ``keep`` lets through, by what ``make`` computes of their sets' texts; the pairs are dropped."""
+    n = pairs.df()
+    made = _made(docs, classes, n.select(F.col("a").alias("sid")).unionByName(n.select(F.col("b").alias("sid"))).distinct(), make)
+    out = _kept(pairs, made, keep)
+    made.drop()
     return out
 
 
@@ -425,14 +437,16 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     classes = Staged(real.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), *(F.first(x).alias(x) for x in _SK)), "classes")
 
     keys = docs.where("doc_id is not null").select("text").mapInArrow(_emitter(hot, plain), "key long, sid long")
-    (few, big), roots = _members(keys, classes), _Components()
+    (few, big), roots, wide = _members(keys, classes), _Components(), None
     for turn in range(ROUNDS):
         near = _nearest(big, classes, roots, turn)
         met = near.rows()
         if met == 0:
             near.drop()
             break
-        links = _compared(docs, classes, near, _sets, _verify)
+        if wide is None:
+            wide = _made(docs, classes, big.df().select("sid").distinct(), _wide)
+        links = _compared(docs, classes, _kept(near, wide, _near), _sets, _verify)
         last = links.rows() * FEW < met
         roots.add(links)
         if last:
@@ -443,8 +457,9 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     comp = roots.of(classes.df().select("sid", "rep", "copies"))
     group = comp.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members")).where("members > 1")
     ids = Staged(comp.join(group, "root").select("sid", "component_id"), "ids")
-    for t in (few, big, classes, roots):
-        t.drop()
+    for t in (few, big, classes, roots, wide):
+        if t is not None:
+            t.drop()
     own = rows.select("doc_id", "n_shingles", "sid")
     return own.join(small(ids), "sid", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 

@@ -67,7 +67,9 @@ class Staged:
 
 def small(t: Staged, width: int = 0) -> DataFrame:
     """For a join: broadcast behind a check of rows times bytes a row (of longs, if not said), shuffled beyond."""
-    return F.broadcast(t.df()) if t.rows() * (width or 16 + 8 * len(t.schema)) <= BROADCAST_BYTES else t.df()
+    files = t.bytes()  # a table's rows are counted only where its files do not settle it
+    fits = files * 64 <= BROADCAST_BYTES or files <= BROADCAST_BYTES and t.rows() * (width or 16 + 8 * len(t.schema)) <= BROADCAST_BYTES
+    return F.broadcast(t.df()) if fits else t.df()
 
 
 class Bucketed:

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from tessella.llm import op10_jaccard_join as J
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -85,9 +87,12 @@ def test_empty_and_null_ids(spark):
     assert rows == [(4, 4), (4, 4), (9, 4), (None, None)]
 
 
-def test_components_of_a_path(spark):
-    from tessella.llm.components import components
+@pytest.mark.parametrize("few", [1 << 18, 3, 0])
+def test_components_of_a_path(spark, monkeypatch, few):
+    from tessella.llm import components as C
 
+    monkeypatch.setattr(C, "FEW", few)
+    components = C.components
     e = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7), (101, 100)]
     random.Random(0).shuffle(e)
     out = {r.node: r.root for r in components(spark.createDataFrame(e, "a long, b long")).df().collect()}

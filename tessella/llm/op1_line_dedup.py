@@ -5,13 +5,16 @@ rarity: words outside the ``VOCABULARY`` most frequent first, by hash, then
 those by rising frequency. Two sets of a Jaccard similarity of at least
 ``PERCENT`` % share a word of their prefixes of ``n - ceil(t n) + 1`` words;
 joining on prefix words, with length, positional and 64-bit parity filters,
-then verifying the sets, finds them all. Equal sets are one class before.
+then verifying the sets, finds them all. Words of over ``CROWDED`` lines are
+joined on in pairs only (see ``keys``), so that no word makes a bucket that
+grows with the corpus. Equal sets are one class before.
 
 A line goes if an equal or similar line occurs earlier (by doc_id, then line
 number), kept or not; so the result does not depend on any order of work,
-and one match that is early enough settles a line. First each class meets
-the earliest class of each of its buckets, with its most frequent such
-partner verified; only lines still without an earlier match meet the rest.
+and one match that is early enough settles a line. First each class is
+measured against the first class of each of its buckets and those just before
+it, the nearest by parity is verified; only lines still without an earlier
+match meet the others, and only earlier ones.
 
 Cases: null text has no line; an empty text has one, empty; lines without a
 word are never matched; under ``SMALL`` words only equal sets are similar;
@@ -33,12 +36,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .staging import Bucketed, Staged, bounded, partitions
+from .staging import Bucketed, Staged, bounded, partitions, small
 
 PERCENT = 85
 SMALL = -(-PERCENT // (100 - PERCENT))  # the least set that can have another as its match
 VOCABULARY = 1 << 18
-BROADCAST_BYTES = 8 << 20
+CROWDED = 1 << 12  # lines of a word that is taken in pairs only: there, comparing costs more than the pairs
+LONG = 256  # words of a line whose crowded words are not paired
+BEFORE = 3  # earlier neighbours in a bucket that a class is measured against first
+FIRST = 4  # nearest of them that are verified first
 FLUSH = 1 << 20
 LAST = (1 << 63) - 1
 
@@ -151,7 +157,36 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def _prefixes(rank):
+def keys(x: np.ndarray, bounds: np.ndarray, crowded: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, set, place in it) of the words that sets are joined on; words from ``crowded`` on only in pairs.
+
+    A set without a crowded word in its prefix has a common word there with any
+    similar set, a key of both. Two others have two common words in prefixes
+    that are longer by one: one of them is not crowded, or the pair is a key of
+    both. Long sets take crowded words singly, apart from other sets; sets that
+    can be similar to long and to other sets do both.
+    """
+    n = np.diff(bounds)
+    size, low = prefix_length(n), bounds[:-1]
+    late = np.concatenate([[0], np.cumsum(x >= _U(crowded))])
+    tail = late[low + size] - late[low]
+    size = size + (tail > 0)
+    tail = late[low + size] - late[low]
+    single, owner = K.runs(low, low + size - tail)
+    found = [(x[single], owner, single - low[owner])]
+    which = np.flatnonzero((tail > 0) & (100 * n >= PERCENT * LONG))
+    at, owner = K.runs((low + size - tail)[which], (low + size)[which])
+    found.append((K.mix(x[at] ^ _U(0x6A09E667F3BCC909)), which[owner], at - low[which[owner]]))
+    for c in np.unique(tail[(tail > 1) & (n <= LONG)]).tolist():
+        which = np.flatnonzero((tail == c) & (n <= LONG))
+        i, j = np.triu_indices(c, 1)
+        first = (low + size - c)[which][:, None]
+        key = K.mix(K.mix(x[first + i]) + x[first + j])
+        found.append((key.ravel(), np.repeat(which, len(i)), (first + i - low[which][:, None]).ravel()))
+    return tuple(np.concatenate(z) for z in zip(*found))
+
+
+def _prefixes(rank, crowded: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, names = K.HashMap(*rank.value), class_names(rank.value)
         seen: set[int] = set()
@@ -164,11 +199,12 @@ def _prefixes(rank):
                 if len(seen) > FLUSH:
                     seen.clear()
                 take = np.flatnonzero((n >= SMALL) & np.array([not (v in seen or seen.add(v)) for v in lid.tolist()], bool))
-                idx, owner = K.runs(bounds[take], bounds[take] + prefix_length(n[take]))
-                who = take[owner]
+                inside, _ = K.runs(bounds[take], bounds[take + 1])
+                key, who, place = keys(x[inside], np.concatenate([[0], np.cumsum(n[take])]), crowded)
+                who = take[who]
                 ids = batch.column(0).slice(lo, hi - lo).fill_null(LAST).to_numpy()
                 doc = ids[np.searchsorted(first, who, side="right") - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(x[idx])), pa.array(lid[who]), pa.array(doc), pa.array(K.signed(parity(x, bounds)[who])), pa.array(n[who].astype(np.int32)), pa.array((idx - bounds[who]).astype(np.int32))], ["word", "lid", "doc_id", "odd", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(key)), pa.array(lid[who]), pa.array(doc), pa.array(K.signed(parity(x, bounds)[who])), pa.array(n[who].astype(np.int32)), pa.array(place.astype(np.int32))], ["word", "lid", "doc_id", "odd", "n", "place"])
 
     return run
 
@@ -217,10 +253,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], ["a", "b"])
 
 
-def _small(t: Staged) -> DataFrame:
-    return F.broadcast(t.df()) if t.bytes() <= BROADCAST_BYTES else t.df()
-
-
 def _late(docs: DataFrame, classes: Staged, pairs: DataFrame) -> Staged:
     """Classes (lid) that pairs (a, b) show to be similar to an earlier class."""
     p = Staged(pairs.distinct(), "pairs")
@@ -228,7 +260,7 @@ def _late(docs: DataFrame, classes: Staged, pairs: DataFrame) -> Staged:
     reps = involved.join(classes.df(), "lid").groupBy("doc_id", "crc").agg(F.collect_list(F.struct("lid", "line")).alias("wanted"))
     reps = Staged(reps, "reps")
     keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
-    made = Staged(keyed.join(_small(reps), ["doc_id", "crc"]).select("text", "wanted").mapInArrow(_sets, "lid long, items binary").dropDuplicates(["lid"]), "sets")
+    made = Staged(keyed.join(small(reps, 256), ["doc_id", "crc"]).select("text", "wanted").mapInArrow(_sets, "lid long, items binary").dropDuplicates(["lid"]), "sets")
     x, y = (made.df().select(F.col("lid").alias(k), F.col("items").alias(f"items_{k}")) for k in "ab")
     links = p.df().join(x, "a").join(y, "b").select("a", "b", "items_a", "items_b").mapInArrow(_verify, "a long, b long")
     c = classes.df().select("lid", F.struct("doc_id", "crc", "line").alias("at"))
@@ -240,12 +272,13 @@ def _late(docs: DataFrame, classes: Staged, pairs: DataFrame) -> Staged:
 
 
 def _may(a: str, b: str) -> str:
-    """SQL: length, positional and parity filters of prefix rows a and b."""
-    least = f"(({a}.n + {b}.n) * {PERCENT} + {99 + PERCENT}) div {100 + PERCENT}"
+    """SQL: length, positional and parity filters of prefix rows a (columns, if empty) and b."""
+    a, b = (f"{x}." if x else "" for x in (a, b))
+    least = f"(({a}n + {b}n) * {PERCENT} + {99 + PERCENT}) div {100 + PERCENT}"
     return (
-        f"100 * least({a}.n, {b}.n) >= {PERCENT} * greatest({a}.n, {b}.n)"
-        f" and least({a}.place, {b}.place) + 1 + least({a}.n - {a}.place, {b}.n - {b}.place) - 1 >= {least}"
-        f" and bit_count({a}.odd ^ {b}.odd) <= {a}.n + {b}.n - 2 * ({least})"
+        f"100 * least({a}n, {b}n) >= {PERCENT} * greatest({a}n, {b}n)"
+        f" and least({a}place, {b}place) + 1 + least({a}n - {a}place, {b}n - {b}place) - 1 >= {least}"
+        f" and bit_count({a}odd ^ {b}odd) <= {a}n + {b}n - 2 * ({least})"
     )
 
 
@@ -286,21 +319,28 @@ def remove_lines(docs: DataFrame) -> DataFrame:
     by = np.lexsort((word, freq))
     place = np.empty(len(word), _U)
     place[by] = _U(1 << 63) + np.arange(len(word)).astype(_U)
+    crowded = (1 << 63) + int(np.count_nonzero(freq <= CROWDED))  # the place of the first crowded word
     by = np.argsort(word)
     rank = spark.sparkContext.broadcast((word[by], place[by]))
 
     bucket = Window.partitionBy("word").orderBy("doc_id", "lid")
-    rows = docs.mapInArrow(_prefixes(rank), "word long, lid long, doc_id long, odd long, n int, place int")
-    # the earliest row of each bucket; a bucket of one row has no neighbour
-    rows = rows.withColumn("head", F.first(F.struct("doc_id", "lid", "odd", "n", "place")).over(bucket)).withColumn("near", F.coalesce(F.lag("lid").over(bucket), F.lead("lid").over(bucket))).where("near is not null").drop("near")
+    rows = docs.mapInArrow(_prefixes(rank, crowded), "word long, lid long, doc_id long, odd long, n int, place int")
+    own = F.struct("lid", "odd", "n", "place")
+    # the first row of a bucket and those just before; a bucket of one row has no neighbour
+    rows = rows.withColumn("m0", F.first(own).over(bucket))
+    for i in range(1, BEFORE + 1):
+        rows = rows.withColumn(f"m{i}", F.lag(own, i).over(bucket))
+    met = [f"m{i}" for i in range(BEFORE + 1)]
+    near = F.least(*(F.when(F.expr(f"lid <> {m}.lid and {_may('', m)}"), F.struct(F.expr(f"bit_count(odd ^ {m}.odd) / (n + {m}.n)").alias("far"), F.col(f"{m}.lid").alias("b"))) for m in met))
+    rows = rows.withColumn("near", near).withColumn("next", F.lead("lid").over(bucket)).where("m1 is not null or next is not null").drop(*met, "next")
     rows = Bucketed(rows, "prefixes", "word")
-    star = rows.df().where(f"lid <> head.lid and {_may('rows', 'head')}".replace("rows.", "")).groupBy("lid", F.col("head.lid").alias("b")).count()
-    star = star.groupBy(F.col("lid").alias("a")).agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    star = rows.df().where("near is not null").groupBy(F.col("lid").alias("a")).agg(F.collect_set("near").alias("m"))  # one a key of a line
+    star = star.select("a", F.explode(F.slice(F.array_sort("m"), 1, FIRST)).alias("m")).select("a", F.col("m.b").alias("b"))
     late = _late(keyed, classes, star)
 
     # one plan for both sides: the table is dealt out by word, so neither is shuffled while the late classes are few
-    x = rows.df().select("word", "lid", "odd", "n", "place").join(_small(late).withColumn("done", F.lit(True)), "lid", "left")
-    both = x.alias("x").join(x.alias("y"), F.expr(f"x.word = y.word and x.lid <> y.lid and x.done is null and {_may('x', 'y')}"))
+    x = rows.df().select("word", "lid", "doc_id", "odd", "n", "place").join(small(late).withColumn("done", F.lit(True)), "lid", "left")
+    both = x.alias("x").join(x.alias("y"), F.expr(f"x.word = y.word and x.lid <> y.lid and x.doc_id >= y.doc_id and x.done is null and {_may('x', 'y')}"))
     pairs = both.select(F.least("x.lid", "y.lid").alias("a"), F.greatest("x.lid", "y.lid").alias("b"))
     more = _late(keyed, classes, pairs)
     rows.drop()
@@ -310,7 +350,7 @@ def remove_lines(docs: DataFrame) -> DataFrame:
     gone = where.join(at, "lid").where(F.col("near").isNotNull() | (F.struct("doc_id", "crc", "line") != F.col("at")))
     gone = gone.select("doc_id", "crc", "line", F.when(F.struct("doc_id", "crc", "line") == F.col("at"), 1).otherwise(0).alias("near")).distinct()
     gone = Staged(gone.groupBy("doc_id", "crc").agg(F.collect_list("line").alias("gone"), F.sum("near").alias("near")), "gone")
-    side = _small(gone).withColumnRenamed("doc_id", "_i")
+    side = small(gone, 256).withColumnRenamed("doc_id", "_i")
     out = keyed.join(side, (F.coalesce("doc_id", F.lit(LAST)) == F.col("_i")) & (keyed["crc"] == side["crc"]), "left").select("doc_id", "text", "gone", "near")
     for t in (scan, seen, late, more):
         t.drop()

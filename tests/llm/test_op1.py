@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 
 from tessella.llm import op1_line_dedup as L
+from tessella.llm import staging
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -63,8 +64,12 @@ def test_equals_brute_force(spark, monkeypatch):
     for seed in (1, 2):
         docs = corpus(seed)
         assert run(spark, docs) == brute(docs)
+    monkeypatch.setattr(L, "CROWDED", 6)  # nearly all words in pairs
+    assert run(spark, docs) == brute(docs)
+    monkeypatch.setattr(L, "LONG", 16)
+    assert run(spark, docs) == brute(docs)
     monkeypatch.setattr(L, "VOCABULARY", 3)
-    monkeypatch.setattr(L, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", -1)
     assert run(spark, docs, 6) == brute(docs)
 
 
@@ -95,3 +100,29 @@ def test_hash_map():
         got = m.replace(x)
         assert (got[: len(keys)] == np.arange(len(keys))).all() and (got[len(keys) :] == x[len(keys) :]).all()
         assert want is None or (got == want).all()
+
+
+def test_keys_meet_all_similar_sets():
+    r = random.Random(5)
+    sets = []
+    for _ in range(60):
+        w = r.sample(range(100, 400), r.choice([6, 8, 13, 20, 27, 40]))
+        sets.append(sorted(w))
+        for _ in range(3):
+            v = set(w)
+            for _ in range(r.randrange(4)):
+                v.discard(r.choice(w))
+                v.add(r.randrange(100, 400))
+            sets.append(sorted(v))
+    x = np.concatenate([np.array(s, np.uint64) for s in sets])
+    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    for crowded in (0, 200, 300, 500):
+        key, who, place = L.keys(x, bounds, crowded)
+        own = [set() for _ in sets]
+        for k, w in zip(key.tolist(), who.tolist()):
+            own[w].add(k)
+        for i, a in enumerate(sets):
+            for j in range(i):
+                b, n = sets[j], len(set(a) & set(sets[j]))
+                if 100 * n >= L.PERCENT * (len(a) + len(b) - n):
+                    assert own[i] & own[j], (crowded, a, b)

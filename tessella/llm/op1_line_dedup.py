@@ -12,9 +12,9 @@ grows with the corpus. Equal sets are one class before.
 A line goes if an equal or similar line occurs earlier (by doc_id, then line
 number), kept or not; so the result does not depend on any order of work,
 and one match that is early enough settles a line. First each class is
-measured against the first class of each of its buckets and those just before
-it, the nearest by parity is verified; only lines still without an earlier
-match meet the others, and only earlier ones.
+measured against its neighbours in its buckets, in an order by hash, and
+the nearest by parity are verified; only lines still without an earlier match
+meet the others, and only earlier ones.
 
 Cases: null text has no line; an empty text has one, empty; lines without a
 word are never matched; under ``SMALL`` words only equal sets are similar;
@@ -43,12 +43,13 @@ SMALL = -(-PERCENT // (100 - PERCENT))  # the least set that can have another as
 VOCABULARY = 1 << 18
 CROWDED = 1 << 12  # lines of a word that is taken in pairs only: there, comparing costs more than the pairs
 LONG = 256  # words of a line whose crowded words are not paired
-BEFORE = 3  # earlier neighbours in a bucket that a class is measured against first
-FIRST = 4  # nearest of them that are verified first
+WIDE = 4  # words of the sketch of classes that have a near neighbour
+ROUNDS = 2
 FLUSH = 1 << 20
 LAST = (1 << 63) - 1
 
 _U = np.uint64
+_ODD = [f"o{i}" for i in range(WIDE)]
 
 
 def lines(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,55 +223,119 @@ def named(x: np.ndarray, names: np.ndarray) -> np.ndarray:
     return out
 
 
+def wide_parity(x: np.ndarray) -> np.ndarray:
+    """Of one set, WIDE words of 64 cells."""
+    m = K.mix(x ^ _U(0x3C6EF372FE94F82B))
+    out = np.zeros(WIDE, _U)
+    np.bitwise_xor.at(out, (m % _U(WIDE)).astype(np.int64), _U(1) << (m >> _U(58)))
+    return K.signed(out)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The word sets of the wanted (lid, line) of each text."""
+    """The word sets, and their sketches, of the wanted (lid, line) of each text."""
     for batch in batches:
         wanted = batch.column(1).to_pylist()
         for lo, hi, buf, off in K.slices(batch.column(0)):
             loff, first = lines(buf, off)
             x, bounds = word_sets(buf, loff)
-            lid, items = [], []
+            lid, items, n, odd = [], [], [], []
             ids = class_ids(x, bounds)
             for d in range(lo, hi):
                 for w in wanted[d]:
                     i = int(first[d - lo]) + w["line"]
                     if i < int(first[d - lo + 1]) and int(ids[i]) == w["lid"]:
+                        own = x[bounds[i] : bounds[i + 1]]
                         lid.append(w["lid"])
-                        items.append(x[bounds[i] : bounds[i + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(lid, pa.int64()), pa.array(items, pa.binary())], ["lid", "items"])
+                        items.append(own.tobytes())
+                        n.append(len(own))
+                        odd.append(wide_parity(own))
+            odd = np.array(odd, np.int64).reshape(len(lid), WIDE)
+            yield pa.RecordBatch.from_arrays([pa.array(lid, pa.int64()), pa.array(items, pa.binary()), pa.array(n, pa.int32()), *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(WIDE))], ["lid", "items", "n", *_ODD])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, x, y = (batch.column(i) for i in range(4))
+        lid, x, y = (batch.column(i) for i in range(3))
         ok = []
         for s, t in zip(x, y):
             both = np.concatenate([np.frombuffer(s.as_buffer(), _U), np.frombuffer(t.as_buffer(), _U)])
             both.sort()
             common = int(np.count_nonzero(both[1:] == both[:-1]))
             ok.append(100 * common >= PERCENT * (len(both) - common))
-        ok = pa.array(ok, pa.bool_())
-        yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([lid.filter(pa.array(ok, pa.bool_()))], ["lid"])
 
 
-def _late(docs: DataFrame, classes: Staged, pairs: DataFrame) -> Staged:
-    """Classes (lid) that pairs (a, b) show to be similar to an earlier class."""
-    p = Staged(pairs.distinct(), "pairs")
-    involved = p.df().select(F.col("a").alias("lid")).unionByName(p.df().select(F.col("b").alias("lid"))).distinct()
-    reps = involved.join(classes.df(), "lid").groupBy("doc_id", "crc").agg(F.collect_list(F.struct("lid", "line")).alias("wanted"))
+def _made(docs: DataFrame, classes: Staged, lids: DataFrame) -> Staged:
+    """lid, items, n, sketch, at (doc_id, crc, line) of the classes named in lids."""
+    reps = lids.distinct().join(classes.df(), "lid").groupBy("doc_id", "crc").agg(F.collect_list(F.struct("lid", "line")).alias("wanted"))
     reps = Staged(reps, "reps")
     keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
-    made = Staged(keyed.join(small(reps, 256), ["doc_id", "crc"]).select("text", "wanted").mapInArrow(_sets, "lid long, items binary").dropDuplicates(["lid"]), "sets")
-    x, y = (made.df().select(F.col("lid").alias(k), F.col("items").alias(f"items_{k}")) for k in "ab")
-    links = p.df().join(x, "a").join(y, "b").select("a", "b", "items_a", "items_b").mapInArrow(_verify, "a long, b long")
-    c = classes.df().select("lid", F.struct("doc_id", "crc", "line").alias("at"))
-    both = links.join(c.select(F.col("lid").alias("a"), F.col("at").alias("p")), "a").join(c.select(F.col("lid").alias("b"), F.col("at").alias("q")), "b")
-    out = Staged(both.select(F.when(F.col("p") < F.col("q"), F.col("b")).otherwise(F.col("a")).alias("lid")).distinct(), "late")
-    for t in (p, reps, made):
+    sets = keyed.join(small(reps, 256), ["doc_id", "crc"]).select("text", "wanted").mapInArrow(_sets, f"lid long, items binary, n int, {', '.join(f'{x} long' for x in _ODD)}").dropDuplicates(["lid"])
+    made = Staged(sets.join(classes.df().select("lid", F.struct("doc_id", "crc", "line").alias("at")), "lid"), "sets")
+    reps.drop()
+    return made
+
+
+def _late(pairs: DataFrame, made: Staged) -> Staged:
+    """Classes (lid) that pairs (a, b) show to be similar to an earlier class."""
+    x, y = (made.df().select(F.col("lid").alias(k), F.col("items").alias(f"items_{k}"), F.col("at").alias(f"at_{k}")) for k in "ab")
+    both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(x, "a").join(y, "b")
+    both = both.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("lid"), "items_a", "items_b")
+    return Staged(both.mapInArrow(_verify, "lid long").distinct(), "late")
+
+
+def _alike(a: str, b: str) -> str:
+    """SQL: lengths and wide sketches of a and b allow a match."""
+    least = f"(({a}.n + {b}.n) * {PERCENT} + {99 + PERCENT}) div {100 + PERCENT}"
+    return f"100 * least({a}.n, {b}.n) >= {PERCENT} * greatest({a}.n, {b}.n) and {_far(a, b)} <= {a}.n + {b}.n - 2 * ({least})"
+
+
+def _far(a: str, b: str) -> str:
+    return " + ".join(f"bit_count({a}.{x} ^ {b}.{x})" for x in _ODD)
+
+
+def _turned(sketch: str):
+    """An order in which near sketches are neighbours where their first bits agree; other bits in other buckets."""
+    return F.expr(f"shiftleft({sketch}, cast(pmod(word, 64) as int)) | shiftrightunsigned({sketch}, cast(64 - pmod(word, 64) as int))")
+
+
+def _settled(state: Staged, late: Staged) -> Staged:
+    """state (lid, done) with the late classes done."""
+    out = Staged(state.df().join(small(late).withColumn("_late", F.lit(True)), "lid", "left").select("lid", (F.col("done") | F.col("_late").isNotNull()).alias("done")), "state")
+    for t in (state, late):
         t.drop()
     return out
 
 
+def _matched(docs: DataFrame, classes: Staged, rows: Bucketed) -> Staged:
+    """(lid, done) of the classes that have a near neighbour in a bucket.
+
+    These meet each other here: over a few rounds the nearest of their
+    neighbours, by a wide sketch, is verified; then those that have no earlier
+    match yet meet all earlier ones of their buckets.
+    """
+    near = Staged(rows.df().where("near is not null").groupBy(F.col("lid").alias("a")).agg(F.min("near").alias("m")).select("a", F.col("m.b").alias("b")), "near")
+    close = Staged(near.df().select(F.col("a").alias("lid")).unionByName(near.df().select(F.col("b").alias("lid"))).distinct(), "close")
+    made = _made(docs, classes, close.df())
+    state = _settled(Staged(close.df().withColumn("done", F.lit(False)), "state"), _late(near.df(), made))
+    members = Staged(rows.df().join(small(close), "lid", "left_semi").select("word", "lid"), "members")
+    facts = Staged(made.df().select("lid", "n", "at", *_ODD), "facts")
+    for turn in range(ROUNDS):
+        known = small(facts, 128).join(small(state), "lid")
+        by = Window.partitionBy("word").orderBy(_turned(_ODD[turn]), "lid")
+        met = members.df().join(small(facts, 128), "lid").select(F.col("lid").alias("a"), F.lag("lid").over(by).alias("b")).where("a <> b").distinct()
+        met = met.alias("p").join(known.alias("x"), F.expr("p.a = x.lid")).join(known.alias("y"), F.expr("p.b = y.lid")).where(_alike("x", "y"))
+        met = met.where("not (case when x.at < y.at then y.done else x.done end)")
+        met = met.select("p.a", "p.b", F.expr(f"({_far('x', 'y')}) / (x.n + y.n)").alias("far")).groupBy("a").agg(F.min(F.struct("far", "b")).alias("m"))
+        state = _settled(state, _late(met.select("a", "m.b"), made))
+    known = members.df().join(small(facts, 128), "lid").join(small(state), "lid")
+    both = known.alias("x").join(known.alias("y"), F.expr(f"x.word = y.word and not x.done and x.at > y.at and {_alike('x', 'y')}"))
+    state = _settled(state, _late(both.select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b")), made))
+    for t in (near, close, made, facts, members):
+        t.drop()
+    return state
+
+
 def _may(a: str, b: str) -> str:
     """SQL: length, positional and parity filters of prefix rows a (columns, if empty) and b."""
     a, b = (f"{x}." if x else "" for x in (a, b))
@@ -323,27 +388,25 @@ def remove_lines(docs: DataFrame) -> DataFrame:
     by = np.argsort(word)
     rank = spark.sparkContext.broadcast((word[by], place[by]))
 
-    bucket = Window.partitionBy("word").orderBy("doc_id", "lid")
+    bucket = Window.partitionBy("word").orderBy(_turned("odd"), "lid", "doc_id")
     rows = docs.mapInArrow(_prefixes(rank, crowded), "word long, lid long, doc_id long, odd long, n int, place int")
-    own = F.struct("lid", "odd", "n", "place")
-    # the first row of a bucket and those just before; a bucket of one row has no neighbour
-    rows = rows.withColumn("m0", F.first(own).over(bucket))
-    for i in range(1, BEFORE + 1):
-        rows = rows.withColumn(f"m{i}", F.lag(own, i).over(bucket))
-    met = [f"m{i}" for i in range(BEFORE + 1)]
-    near = F.least(*(F.when(F.expr(f"lid <> {m}.lid and {_may('', m)}"), F.struct(F.expr(f"bit_count(odd ^ {m}.odd) / (n + {m}.n)").alias("far"), F.col(f"{m}.lid").alias("b"))) for m in met))
-    rows = rows.withColumn("near", near).withColumn("next", F.lead("lid").over(bucket)).where("m1 is not null or next is not null").drop(*met, "next")
+    # of a class that several tasks emit the first row stays; a bucket of one row has no neighbour
+    before = {c: F.lag(c).over(bucket) for c in ("lid", "odd", "n", "place")}
+    rows = rows.select("*", *(x.alias(f"p_{c}") for c, x in before.items()), F.lead("lid").over(bucket).alias("next"))
+    rows = rows.where("(p_lid is not null or next is not null) and not lid <=> p_lid")
+    near = F.when(F.expr(_may("", "p").replace("p.", "p_")), F.struct(F.expr("cast(bit_count(odd ^ p_odd) as float) / (n + p_n)").alias("far"), F.col("p_lid").alias("b")))
+    rows = rows.withColumn("near", near).select("word", "lid", "doc_id", "odd", "n", "place", "near")
     rows = Bucketed(rows, "prefixes", "word")
-    star = rows.df().where("near is not null").groupBy(F.col("lid").alias("a")).agg(F.collect_set("near").alias("m"))  # one a key of a line
-    star = star.select("a", F.explode(F.slice(F.array_sort("m"), 1, FIRST)).alias("m")).select("a", F.col("m.b").alias("b"))
-    late = _late(keyed, classes, star)
-
-    # one plan for both sides: the table is dealt out by word, so neither is shuffled while the late classes are few
-    x = rows.df().select("word", "lid", "doc_id", "odd", "n", "place").join(small(late).withColumn("done", F.lit(True)), "lid", "left")
-    both = x.alias("x").join(x.alias("y"), F.expr(f"x.word = y.word and x.lid <> y.lid and x.doc_id >= y.doc_id and x.done is null and {_may('x', 'y')}"))
-    pairs = both.select(F.least("x.lid", "y.lid").alias("a"), F.greatest("x.lid", "y.lid").alias("b"))
-    more = _late(keyed, classes, pairs)
-    rows.drop()
+    state = _matched(keyed, classes, rows)
+
+    # the pairs that are not both among those; one plan for both sides: the table is dealt out by word, so neither is shuffled while these classes are few
+    x = rows.df().select("word", "lid", "doc_id", "odd", "n", "place").join(small(state), "lid", "left")
+    both = x.alias("x").join(x.alias("y"), F.expr(f"x.word = y.word and x.lid <> y.lid and x.doc_id >= y.doc_id and (x.done is null or not x.done and y.done is null) and {_may('x', 'y')}"))
+    pairs = Staged(both.select(F.least("x.lid", "y.lid").alias("a"), F.greatest("x.lid", "y.lid").alias("b")).distinct(), "pairs")
+    made = _made(keyed, classes, pairs.df().select(F.col("a").alias("lid")).unionByName(pairs.df().select(F.col("b").alias("lid"))))
+    late, more = Staged(state.df().where("done").select("lid"), "late"), _late(pairs.df(), made)
+    for t in (rows, state, pairs, made):
+        t.drop()
 
     late_all = late.df().unionByName(more.df()).distinct().withColumn("near", F.lit(1))
     at = classes.df().select("lid", F.struct("doc_id", "crc", "line").alias("at")).join(late_all, "lid", "left")

@@ -45,6 +45,7 @@ CROWDED = 1 << 12  # lines of a word that is taken in pairs only: there, compari
 LONG = 256  # words of a line whose crowded words are not paired
 WIDE = 4  # words of the sketch of classes that have a near neighbour
 ROUNDS = 2
+KEYS = 8
 FLUSH = 1 << 20
 LAST = (1 << 63) - 1
 
@@ -270,7 +271,7 @@ def _made(docs: DataFrame, classes: Staged, lids: DataFrame) -> Staged:
     reps = lids.distinct().join(classes.df(), "lid").groupBy("doc_id", "crc").agg(F.collect_list(F.struct("lid", "line")).alias("wanted"))
     reps = Staged(reps, "reps")
     keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
-    sets = keyed.join(small(reps, 256), ["doc_id", "crc"]).select("text", "wanted").mapInArrow(_sets, f"lid long, items binary, n int, {', '.join(f'{x} long' for x in _ODD)}").dropDuplicates(["lid"])
+    sets = keyed.join(small(reps, 96), ["doc_id", "crc"]).select("text", "wanted").mapInArrow(_sets, f"lid long, items binary, n int, {', '.join(f'{x} long' for x in _ODD)}").dropDuplicates(["lid"])
     made = Staged(sets.join(classes.df().select("lid", F.struct("doc_id", "crc", "line").alias("at")), "lid"), "sets")
     reps.drop()
     return made
@@ -328,8 +329,11 @@ def _matched(docs: DataFrame, classes: Staged, rows: Bucketed) -> Staged:
         met = met.where("not (case when x.at < y.at then y.done else x.done end)")
         met = met.select("p.a", "p.b", F.expr(f"({_far('x', 'y')}) / (x.n + y.n)").alias("far")).groupBy("a").agg(F.min(F.struct("far", "b")).alias("m"))
         state = _settled(state, _late(met.select("a", "m.b"), made))
-    known = members.df().join(small(facts, 128), "lid").join(small(state), "lid")
-    both = known.alias("x").join(known.alias("y"), F.expr(f"x.word = y.word and not x.done and x.at > y.at and {_alike('x', 'y')}"))
+    first = members.df().groupBy("lid").agg(F.collect_set("word").alias("k")).select("lid", F.slice(F.array_sort("k"), 1, KEYS).alias("k"))
+    known = members.df().join(small(facts, 128), "lid").join(small(state), "lid").join(first, "lid")
+    # a pair that has common ones among its first keys is made at the least of those only
+    once = "coalesce(x.word = array_min(array_intersect(x.k, y.k)), true)"
+    both = known.alias("x").join(known.alias("y"), F.expr(f"x.word = y.word and not x.done and x.at > y.at and {_alike('x', 'y')} and {once}"))
     state = _settled(state, _late(both.select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b")), made))
     for t in (near, close, made, facts, members):
         t.drop()
@@ -413,7 +417,7 @@ def remove_lines(docs: DataFrame) -> DataFrame:
     gone = where.join(at, "lid").where(F.col("near").isNotNull() | (F.struct("doc_id", "crc", "line") != F.col("at")))
     gone = gone.select("doc_id", "crc", "line", F.when(F.struct("doc_id", "crc", "line") == F.col("at"), 1).otherwise(0).alias("near")).distinct()
     gone = Staged(gone.groupBy("doc_id", "crc").agg(F.collect_list("line").alias("gone"), F.sum("near").alias("near")), "gone")
-    side = small(gone, 256).withColumnRenamed("doc_id", "_i")
+    side = small(gone, 96).withColumnRenamed("doc_id", "_i")
     out = keyed.join(side, (F.coalesce("doc_id", F.lit(LAST)) == F.col("_i")) & (keyed["crc"] == side["crc"]), "left").select("doc_id", "text", "gone", "near")
     for t in (scan, seen, late, more):
         t.drop()

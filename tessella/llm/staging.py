@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 BATCH_BYTES = 4 << 20
-BROADCAST_BYTES = 16 << 20  # in memory
+BROADCAST_BYTES = 32 << 20  # in memory
 
 
 def bounded(spark: SparkSession) -> SparkSession:

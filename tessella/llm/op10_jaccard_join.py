@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .staging import Staged, bounded, small
+from .staging import Staged, bounded, release, small
 
 WORDS = 5
 PERCENT = 75
@@ -460,6 +460,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     for t in (few, big, classes, roots, wide):
         if t is not None:
             t.drop()
+    release(spark)
     own = rows.select("doc_id", "n_shingles", "sid")
     return own.join(small(ids), "sid", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .staging import Bucketed, Staged, bounded, partitions, small
+from .staging import Bucketed, Staged, bounded, partitions, release, small
 
 PERCENT = 85
 SMALL = -(-PERCENT // (100 - PERCENT))  # the least set that can have another as its match
@@ -421,6 +421,7 @@ def remove_lines(docs: DataFrame) -> DataFrame:
     out = keyed.join(side, (F.coalesce("doc_id", F.lit(LAST)) == F.col("_i")) & (keyed["crc"] == side["crc"]), "left").select("doc_id", "text", "gone", "near")
     for t in (scan, seen, late, more):
         t.drop()
+    release(spark)
     return out.mapInArrow(_cut, "doc_id long, n_lines long, n_removed long, n_near long, kept_sha256 string, kept_text string")
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .staging import Staged, bounded, new_path, partitions
+from .staging import Staged, bounded, new_path, partitions, release
 
 END_ID = 2
 MAX_BITS = 16
@@ -457,6 +457,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
     staged.df().select("part", "doc_id", "n", "ids", "before").mapInArrow(_encode(dtype, book, offset), "first_id long, n_docs int, n_ids long, block binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(lengths.tobytes()), MAX_BITS, STRIDE)], "lengths binary, max_bits int, stride int").coalesce(1).write.parquet(f"{path}/book")
     staged.drop()
+    release(spark)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from . import kernels as K
-from .staging import Staged, bounded, partitions
+from .staging import BROADCAST_BYTES, Staged, bounded, partitions, release
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -41,7 +41,6 @@ CAP = 2.0
 LEAF_ROWS = 2_000
 FAN = 64
 SEED = 20240611
-BROADCAST_BYTES = 8 << 20
 _TINY = 1e-9
 
 
@@ -114,6 +113,11 @@ def _round(level: int):
 
 def copies(docs: DataFrame) -> DataFrame:
     """doc_id, source, h, size, source_size, target, copies of each row of docs (doc_id, source, text)."""
+    return _copies(docs)[0]
+
+
+def _copies(docs: DataFrame) -> tuple[DataFrame, list[Staged]]:
+    """As ``copies``, and the tables that it reads."""
     spark = bounded(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("h"), "text")
     sized = Staged(rows.mapInArrow(_sizes, "doc_id long, source string, h long, size long"), "sizes")
@@ -146,13 +150,17 @@ def copies(docs: DataFrame) -> DataFrame:
     for c in closed:
         out = out.unionByName(c)
     taken = F.when(F.col("size") == 0, 0).otherwise(F.col("base") + F.col("p")).cast("int")
-    return out.select("doc_id", "source", "h", "size", "source_size", "target", taken.alias("copies"))
+    return out.select("doc_id", "source", "h", "size", "source_size", "target", taken.alias("copies")), [sized, *decided]
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """docs with every row as often as the mix takes it, all columns kept."""
     names = docs.columns
-    made = Staged(copies(docs), "copies")
+    found, read = _copies(docs)
+    made = Staged(found, "copies")
+    for t in read:
+        t.drop()
+    release(docs.sparkSession)
     key = ["doc_id", "source", "h"]
     grouped = made.df().groupBy(*key).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))  # identical rows only
     rows = docs.select(F.struct(*(docs[c] for c in names)).alias("_row"), F.col("doc_id").cast("long").alias("_i"), F.col("source").cast("string").alias("_s"), F.xxhash64("text").alias("_h"))
@@ -160,7 +168,7 @@ def mix(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn("_n", F.lit(1))
     else:
         rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_i", "_s", "_h").orderBy(F.lit(0))))
-    side = F.broadcast(grouped) if made.bytes() <= BROADCAST_BYTES else grouped
+    side = F.broadcast(grouped) if made.rows() * 96 <= BROADCAST_BYTES else grouped
     both = rows.join(side, rows["_i"].eqNullSafe(side["doc_id"]) & rows["_s"].eqNullSafe(side["source"]) & (rows["_h"] == side["h"]))
     n = F.element_at("_copies", F.col("_n"))
     return both.select("_row", F.explode(F.array_repeat(F.lit(0), n)).alias("_k")).select(*(F.col("_row").getField(c).alias(c) for c in names))

@@ -7,6 +7,7 @@ temporary folder is used and set for the session.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tessella-")
@@ -90,6 +93,12 @@ class Bucketed:
         fs.delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more; without it they wait for a collection of the driver's memory."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -12,9 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import op2_decontaminate, op3_token_binary, op5_language, op8_mixing, op10_jaccard_join
-from tessella.llm.staging import Staged
-
-BROADCAST_BYTES = 8 << 20
+from tessella.llm.staging import Staged, small
 
 
 def _boxed(docs: DataFrame, *names: str) -> DataFrame:
@@ -27,8 +25,15 @@ def _unboxed(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, whose language cannot be told, go."""
-    found = op5_language.detect(_boxed(docs, "doc_id", "text", "lang"), op5_language.train(docs))
+    """Documents predicted as one of the learned languages stay; those without a letter, whose language cannot be told, go.
+
+    Null and empty texts have no letter. Without any label there is no model
+    to reject by, and all documents with a letter stay.
+    """
+    model = op5_language.train(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = op5_language.detect(_boxed(docs, "doc_id", "text", "lang"), model)
     return _unboxed(found.where(F.col("lang_pred") != op5_language.UND), docs)
 
 
@@ -36,8 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of linked documents the smallest doc_id stays; of rows equal in doc_id and text, one."""
     classes = Staged(op10_jaccard_join.jaccard_classes(docs), "classes")
     gone = Staged(classes.df().where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    side = F.broadcast(gone.df()) if gone.bytes() <= BROADCAST_BYTES else gone.df()
-    kept = docs.join(side.withColumnRenamed("doc_id", "_gone"), docs["doc_id"] == F.col("_gone"), "left_anti")
+    kept = docs.join(small(gone).withColumnRenamed("doc_id", "_gone"), docs["doc_id"] == F.col("_gone"), "left_anti")
     if classes.df().where("component_id = doc_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     one = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("h"))
@@ -75,6 +79,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    prior = None
     for name, stage in STAGES[:-1]:
-        docs = Staged(stage(spark, docs, sf_dir), name.split()[0].lower()).df()
+        table = Staged(stage(spark, docs, sf_dir), name.split()[0].lower())
+        if prior is not None:
+            prior.drop()
+        docs, prior = table.df(), table
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -75,16 +75,21 @@ def item_codes(text: Column, anchored: bool = True) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))))
 
 
-# Legal suffixes of company names.
-SUFFIXES = ("CO", "COMPANY", "CORP", "CORPORATION", "INC", "INCORPORATED", "LLC", "LP", "LTD", "LIMITED", "PLC", "SA", "AG", "NV", "GMBH", "HOLDINGS", "GROUP")
+# Legal suffixes of company names; the tails that name a company's group; names of the government.
+SUFFIXES = ("INC", "INCORPORATED", "CORP", "CORPORATION", "CO", "COMPANY", "COMPANIES", "LTD", "LIMITED", "PLC", "LLC", "LLP", "LP", "NV", "SA", "AG", "SE", "&")
+GROUP_TAIL = r"\s+AND\s+(?:ITS\s+|THEIR\s+)?(?:GLOBAL\s+|CONTROLLED\s+|WHOLLY\s+OWNED\s+)?(?:AFFILIATES|SUBSIDIARIES|AFFILIATED\s+COMPANIES)\s*$"
+GOVERNMENT = r"^(?:U ?S |UNITED STATES |FEDERAL )(?:FEDERAL )?GOVERNMENT(?: AGENCIES| ENTITIES| AND ITS AGENCIES)?$"
 
 
 def company_name(name: Column) -> Column:
-    """Upper case, no parentheses, punctuation, legal suffixes or leading THE."""
-    x = F.regexp_replace(F.upper(name), r"\([^)]*\)", " ")
-    x = F.trim(F.regexp_replace(F.regexp_replace(x, "[^A-Z0-9&]+", " "), r"\s+", " "))
-    x = F.regexp_replace(x, r"^THE ", "")
-    return F.trim(F.regexp_replace(x, rf"( ({'|'.join(SUFFIXES)}))+$", ""))
+    """Upper case, without parentheses, a state marker (``/DE/``) at the end, punctuation, the tail that names a group, legal
+    suffixes (never the last word left) and leading THE; names of the government are one. Unicode forms are not folded."""
+    x = F.regexp_replace(F.upper(F.translate(name, "\u2019\u2018\u201c\u201d", "''\"\"")), r"\([^)]*\)", " ")
+    x = F.regexp_replace(F.regexp_replace(x, r"/\s*[A-Z]{2,3}\s*/?\s*$", " "), r"[/ ]+$", "")
+    x = F.regexp_replace(F.regexp_replace(x, "[.']", ""), '[,"\u2013\u2014/-]', " ")
+    x = F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+", " ")), GROUP_TAIL, "")
+    x = F.regexp_replace(F.regexp_replace(x, rf"(?<=[^ ])( ({'|'.join(SUFFIXES)}))+$", ""), "^(THE )+(?=[^ ])", "")
+    return F.when(x.rlike(GOVERNMENT), "US GOVERNMENT").when(x == "", F.trim(F.upper(name))).otherwise(x)
 
 
 def option_symbol(name: Column) -> dict[str, Column]:

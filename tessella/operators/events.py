@@ -35,7 +35,7 @@ def cluster_onsets(buys: DataFrame, window_days: int = 21, owners: int = 2) -> D
 
 
 def concurrency(events: DataFrame, window_days: int = 21, years: int = 3, pct: float = 0.8, least: int = 30) -> DataFrame:
-    """Per event date: events of the whole market in (d - window, d], and whether it is above the quantile of the counts of the events in (d - years, d)."""
+    """Per event date: events of the whole market in (d - window, d], and whether it reaches the quantile of the counts of the events in (d - years, d)."""
     per = events.groupBy("date").agg(F.count(F.lit(1)).alias("n")).withColumn("_d", _days())
     w = Window.orderBy("_d")  # one row per date
     per = per.withColumn("count", F.sum("n").over(w.rangeBetween(-(window_days - 1), 0)))
@@ -43,7 +43,7 @@ def concurrency(events: DataFrame, window_days: int = 21, years: int = 3, pct: f
     j = per.join(prior, (F.col("_pd") < F.col("date")) & (F.col("_pd") > F.add_months("date", -12 * years)), "left")
     q = j.groupBy("date", "n", "count").agg(F.sum("_pn").alias("prior"), F.percentile("_pc", F.lit(pct), F.coalesce("_pn", F.lit(1))).alias("bar"))
     bar = F.when(F.col("prior") >= least, F.col("bar"))
-    return q.select("date", "n", "count", bar.alias("bar"), (F.col("count") > bar).alias("high"))
+    return q.select("date", "n", "count", bar.alias("bar"), (F.col("count") >= bar).alias("high"))
 
 
 def first_or_rare(filings: DataFrame, years: int = 3) -> DataFrame:
@@ -54,8 +54,8 @@ def first_or_rare(filings: DataFrame, years: int = 3) -> DataFrame:
 
 
 def trading_windows(triggers: DataFrame, cal: DataFrame, days: int = 126) -> DataFrame:
-    """(ticker, veto_from, veto_to): from the first trading day after the trigger, so many trading days, cut at the calendar's end."""
-    first = dense_calendar(cal).select(F.date_sub("day", 1).alias("date"), F.col("after").alias("_p"))
+    """(ticker, veto_from, veto_to): from the first trading day after the trigger, so many trading days, cut at the calendar's end. A trigger known before the calendar starts has no window."""
+    first = dense_calendar(cal).where("before >= 0").select(F.date_sub("day", 1).alias("date"), F.col("after").alias("_p"))
     t = triggers.join(F.broadcast(first), "date").where("_p is not null")
     last = cal.agg(F.max("pos").alias("_last"))
     t = t.crossJoin(F.broadcast(last)).withColumn("_e", F.least(F.col("_p") + days - 1, F.col("_last")))  # one row

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import median, over_time, rolling
+from .pit import dense_calendar
 
 
 def forward_returns(bars: DataFrame, horizons=(1, 5, 21)) -> DataFrame:
@@ -54,9 +55,15 @@ def month_index(col="date"):
     return F.year(col) * 12 + F.month(col) - 1
 
 
-def volume_trend(bars: DataFrame, months: int = 60, least: int = 30) -> DataFrame:
-    """Per ticker and month: slope of monthly volume on calendar months over the trailing window, over its mean."""
-    monthly = bars.groupBy("ticker", F.trunc("date", "month").alias("month")).agg(F.sum("volume").alias("vol"))
+def volume_trend(bars: DataFrame, months: int = 60, least: int = 30, full: int = 15) -> DataFrame:
+    """Per ticker and month: slope of monthly volume on calendar months over the trailing window, over its mean.
+
+    A month with fewer than ``full`` days of the ticker, and fewer than any ticker's days of the month, is partial and left out.
+    """
+    known = bars.where("volume is not null").withColumn("month", F.trunc("date", "month"))
+    monthly = known.groupBy("ticker", "month").agg(F.sum("volume").alias("vol"), F.count_distinct("date").alias("_n"))
+    days = known.select("month", "date").distinct().groupBy("month").agg(F.count(F.lit(1)).alias("_all"))  # one row per month
+    monthly = monthly.join(F.broadcast(days), "month").where(F.col("_n") >= F.least(F.lit(full), F.col("_all")))
     m = monthly.withColumn("_m", month_index("month"))
     w = Window.partitionBy("ticker").orderBy("_m").rangeBetween(-(months - 1), 0)
     ok = (F.count("vol").over(w) >= least) & (F.avg("vol").over(w) > 0)
@@ -70,17 +77,20 @@ def last_of_month(panel: DataFrame) -> DataFrame:
 
 
 def event_count_z(events: DataFrame, cal: DataFrame, window: int = 21, base: int = 504, least: int = 126) -> DataFrame:
-    """Daily event frequency z of covered tickers: events (ticker, date on the calendar), cal (date, pos).
+    """Daily event frequency z of covered tickers: events (ticker, date), cal (date, pos from 0).
 
     The count of the last ``window`` days against mean and deviation of the
-    same count, ``window`` days earlier, over ``base`` days. Days without
-    events are zeros, from a ticker's first event on. The grid is made per
-    ticker by a sequence of positions, so it is no cross join.
+    same count, ``window`` days earlier, over ``base`` days. An event on no
+    calendar day counts on the next one; those before the first or after the
+    last day are left out. Days without events are zeros, over the whole
+    calendar. The grid is made per ticker by a sequence of positions, so it is
+    no cross join.
     """
-    e = events.join(F.broadcast(cal), "date").groupBy("ticker", "pos").agg(F.count(F.lit(1)).alias("n"))
+    next_day = dense_calendar(cal).where("before >= 0 and after is not null").select(F.col("day").alias("date"), F.col("after").alias("pos"))
+    e = events.join(F.broadcast(next_day), "date").groupBy("ticker", "pos").agg(F.count(F.lit(1)).alias("n"))
     end = cal.agg(F.max("pos").alias("_end"))
-    span = e.groupBy("ticker").agg(F.min("pos").alias("_lo")).crossJoin(F.broadcast(end))  # one row
-    grid = span.select("ticker", F.explode(F.sequence("_lo", "_end")).alias("pos")).join(e, ["ticker", "pos"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    span = e.select("ticker").distinct().crossJoin(F.broadcast(end))  # one row
+    grid = span.select("ticker", F.explode(F.sequence(F.lit(0).cast(cal.schema["pos"].dataType), "_end")).alias("pos")).join(e, ["ticker", "pos"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     w = Window.partitionBy("ticker").orderBy("pos")
     grid = grid.withColumn("cnt", rolling(F.sum, "n", w, window)).withColumn("old", F.lag("cnt", window).over(w))
     mean, sd = rolling(F.avg, "old", w, base, least), rolling(F.stddev_samp, "old", w, base, least)
@@ -89,10 +99,10 @@ def event_count_z(events: DataFrame, cal: DataFrame, window: int = 21, base: int
 
 
 def event_count_z_monthly(events: DataFrame, base: int = 24, least: int = 6) -> DataFrame:
-    """Monthly count z against the trailing ``base`` months (current included), months without events being zeros."""
+    """Monthly count z against the trailing ``base`` months (current included), from the first to the last month of any ticker, months without events being zeros."""
     e = events.groupBy("ticker", month_index("date").alias("m")).agg(F.count(F.lit(1)).alias("n"))
-    last = e.agg(F.max("m").alias("_end"))
-    span = e.groupBy("ticker").agg(F.min("m").alias("_lo")).crossJoin(F.broadcast(last))  # one row
+    ends = e.agg(F.min("m").alias("_lo"), F.max("m").alias("_end"))
+    span = e.select("ticker").distinct().crossJoin(F.broadcast(ends))  # one row
     grid = span.select("ticker", F.explode(F.sequence("_lo", "_end")).alias("m")).join(e, ["ticker", "m"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     w = Window.partitionBy("ticker").orderBy("m")
     z = (F.col("n") - rolling(F.avg, "n", w, base, least)) / F.nullif(rolling(F.stddev_samp, "n", w, base, least), F.lit(0.0))

@@ -10,8 +10,9 @@ from .pit import band_self_match, first_filed, last_per
 
 
 def seasonal_surprise(quarters: DataFrame, target: int = 365, slack: int = 45, n: int = 8, least: int = 6, drift: bool = False) -> DataFrame:
-    """Year-on-year change over the deviation of the n changes before (with drift: less their mean)."""
-    m = band_self_match(quarters, "cik", "ddate", "value", target, slack).withColumn("change", F.col("value") - F.col("prior_value"))
+    """Year-on-year change over the deviation of the n changes before (with drift: less their mean). A quarter without a match keeps its place among them, as missing."""
+    prior = band_self_match(quarters, "cik", "ddate", "value", target, slack).select("cik", "ddate", "prior_date", "prior_value")
+    m = quarters.join(prior, ["cik", "ddate"], "left").withColumn("change", F.col("value") - F.col("prior_value"))
     w = Window.partitionBy("cik").orderBy("ddate")
     sd = F.nullif(rolling(F.stddev_samp, "change", w, n, least, lag=1), F.lit(0.0))
     mean = rolling(F.avg, "change", w, n, least, lag=1)
@@ -29,13 +30,13 @@ def ttm(quarters: DataFrame, max_span: int = 320) -> DataFrame:
 
 
 def fourth_quarters(annual: DataFrame, quarterly: DataFrame, lo: int = 45, hi: int = 330) -> DataFrame:
-    """quarterly plus fourth quarters: the annual value less exactly three quarters that end lo..hi days before."""
-    q = quarterly.select(F.col("cik").alias("_c"), F.col("ddate").alias("_d"), F.col("value").alias("_v"), F.col("filed").alias("_f"))
+    """quarterly plus fourth quarters: the annual value less exactly three quarters that end lo..hi days before, known when the annual one is."""
+    q = quarterly.select(F.col("cik").alias("_c"), F.col("ddate").alias("_d"), F.col("value").alias("_v"))
     gap = F.datediff(F.col("ddate"), F.col("_d"))
     years = F.explode(F.array(F.year("ddate"), F.year("ddate") - 1))
     both = annual.withColumn("_y", years).join(q.withColumn("_qy", F.year("_d")), (F.col("cik") == F.col("_c")) & (F.col("_y") == F.col("_qy")) & gap.between(lo, hi))
-    made = both.groupBy("cik", "ddate", "value", "filed").agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("three"), F.max("_f").alias("last"))
-    made = made.where("n = 3").select("cik", "ddate", F.greatest("filed", "last").alias("filed"), (F.col("value") - F.col("three")).alias("value"), F.lit(True).alias("derived"))
+    made = both.groupBy("cik", "ddate", "value", "filed").agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("three"))
+    made = made.where("n = 3").select("cik", "ddate", "filed", (F.col("value") - F.col("three")).alias("value"), F.lit(True).alias("derived"))
     new = made.join(quarterly.select("cik", "ddate"), ["cik", "ddate"], "left_anti")
     return quarterly.select("cik", "ddate", "filed", "value", F.lit(False).alias("derived")).unionByName(new)
 
@@ -114,24 +115,28 @@ def wide_parts(facts: DataFrame, tags: dict[str, str]) -> DataFrame:
 
 
 def streaks(surprises: DataFrame, max_gap: int = 190, expiry: int = 182) -> DataFrame:
-    """(ticker, avail, sue): the surprise if its sign repeats the one before (at most max_gap days ago), else NULL; and a NULL
-    expiry row after ``expiry`` days unless a newer announcement came by then."""
-    w = Window.partitionBy("ticker").orderBy("avail")
-    prev, when, nxt = F.lag("sue").over(w), F.lag("avail").over(w), F.lead("avail").over(w)
-    same = (F.signum("sue") == F.signum(prev)) & (F.signum("sue") != 0) & (F.datediff("avail", when) <= max_gap)
-    rows = surprises.select("ticker", "avail", F.when(same, F.col("sue")).alias("sue"), nxt.alias("_next"))
+    """(ticker, avail, sue) of (ticker, ddate, avail, sue): the surprise if its sign repeats that of the period before, which ended at
+    most max_gap days earlier, else NULL; and a NULL expiry row after ``expiry`` days if the next announcement comes later. Of rows of
+    one day a value stays rather than a NULL, then the later period's. NULL surprises are no periods."""
+    w = Window.partitionBy("ticker").orderBy("ddate")
+    prev, when = F.lag("sue").over(w), F.lag("ddate").over(w)
+    same = (F.signum("sue") == F.signum(prev)) & (F.signum("sue") != 0) & (F.datediff("ddate", when) <= max_gap)
+    rows = surprises.where("sue is not null").select("ticker", "ddate", "avail", F.when(same, F.col("sue")).alias("sue"))
+    rows = rows.withColumn("_next", F.lead("avail").over(Window.partitionBy("ticker").orderBy("avail", "ddate")))
     end = F.date_add("avail", expiry)
-    ends = rows.where("sue is not null").where(F.col("_next").isNull() | (F.col("_next") > end)).select("ticker", end.alias("avail"), F.lit(None).cast("double").alias("sue"))
-    return rows.select("ticker", "avail", "sue").unionByName(ends)
+    ends = rows.where("sue is not null").where(F.col("_next").isNull() | (F.col("_next") > end)).select("ticker", "ddate", end.alias("avail"), F.lit(None).cast("double").alias("sue"))
+    day = Window.partitionBy("ticker", "avail").orderBy(F.col("sue").isNull(), F.desc("ddate"))
+    both = rows.drop("_next").unionByName(ends).withColumn("_rn", F.row_number().over(day))
+    return both.where("_rn = 1").select("ticker", "avail", "sue")
 
 
 def dividend_lag(dividends: DataFrame, month_ends: DataFrame) -> DataFrame:
-    """(ticker, month_end, lag): 3, 6 or 12 months from the median gap of ex-dates in the 36 months before (3 ex-dates at least; else 12)."""
+    """(ticker, month_end, lag): 3, 6 or 12 months from the median gap of ex-dates in the 36 months before; no row under 3 ex-dates."""
     w = Window.partitionBy("ticker", "month_end").orderBy("ex_date")
     span = month_ends.join(dividends, "ticker").where((F.col("ex_date") <= F.col("month_end")) & (F.col("ex_date") > F.add_months("month_end", -36)))
     gaps = span.withColumn("gap", F.datediff("ex_date", F.lag("ex_date").over(w)))
     g = gaps.groupBy("ticker", "month_end").agg(F.percentile("gap", F.lit(0.5)).alias("med"), F.count(F.lit(1)).alias("n"))
-    return g.select("ticker", "month_end", F.when((F.col("n") >= 3) & (F.col("med") < 135), 3).when((F.col("n") >= 3) & (F.col("med") < 270), 6).otherwise(12).alias("lag"))
+    return g.where("n >= 3").select("ticker", "month_end", F.when(F.col("med") < 135, 3).when(F.col("med") < 270, 6).otherwise(12).alias("lag"))
 
 
 def breadth_change(holdings: DataFrame, lo: int = 80, hi: int = 100) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .pit import last_per
 
 # The relation seen from the other end.
-REVERSED = {"customer": "supplier", "supplier": "customer"}
+REVERSED = {"supplier": "customer", "customer": "supplier", "partner": "partner", "competitor": "competitor"}
 
 
 def latest_edges(edges: DataFrame, as_of=None, least: float = 0.5) -> DataFrame:
@@ -18,16 +18,28 @@ def latest_edges(edges: DataFrame, as_of=None, least: float = 0.5) -> DataFrame:
 
 
 def neighbor_signal(edges: DataFrame, values: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(ticker, signal, neighbors): weighted mean of the neighbours' known values over edges both ways, the relation reversed for incoming ones."""
-    out = edges.select(F.col("source").alias("ticker"), F.col("target").alias("other"), "relation")
-    back = F.coalesce(*(F.when(F.col("relation") == a, F.lit(b)) for a, b in REVERSED.items()), F.col("relation"))
-    inc = edges.select(F.col("target").alias("ticker"), F.col("source").alias("other"), back.alias("relation"))
-    w = F.coalesce(*(F.when(F.col("relation") == r, F.lit(float(v))) for r, v in weights.items()), F.lit(0.0))
+    """(ticker, signal, neighbors): mean of the neighbours' known values over edges both ways, weighted by relation and confidence.
+
+    The relation of an incoming edge is reversed; one that has no reverse counts as partner.
+    """
+    out = edges.select(F.col("source").alias("ticker"), F.col("target").alias("other"), "relation", "confidence")
+    back = F.coalesce(*(F.when(F.col("relation") == a, F.lit(b)) for a, b in REVERSED.items()), F.lit("partner"))
+    inc = edges.select(F.col("target").alias("ticker"), F.col("source").alias("other"), back.alias("relation"), "confidence")
+    w = F.coalesce(*(F.when(F.col("relation") == r, F.lit(float(v))) for r, v in weights.items()), F.lit(0.0)) * F.col("confidence")
     j = out.unionByName(inc).withColumn("w", w).join(values.select(F.col("ticker").alias("other"), "value"), "other").where("value is not null")
     total = F.sum(F.abs("w"))
     return j.groupBy("ticker").agg(F.when(total > 0, F.sum(F.col("w") * F.col("value")) / total).alias("signal"), F.count(F.lit(1)).alias("neighbors"))
 
 
+def customers_of(edges: DataFrame, least: float = 0.8) -> DataFrame:
+    """edges of at least the confidence as (ticker, customer, ...): targets of customer edges, and sources of supplier edges."""
+    rest = [c for c in edges.columns if c not in ("source", "target", "relation")]
+    e = edges.where(F.col("confidence") >= least)
+    out = e.where("relation = 'customer'").select(F.col("source").alias("ticker"), F.col("target").alias("customer"), *rest)
+    inc = e.where("relation = 'supplier'").select(F.col("target").alias("ticker"), F.col("source").alias("customer"), *rest)
+    return out.unionByName(inc)
+
+
 def edge_spans(edges: DataFrame) -> DataFrame:
     """edges with valid_from and valid_to (excluded): each holds until the pair's next filing."""
     one = last_per(edges, ["source", "target", "filing_date"], ["confidence", "relation"])
@@ -36,14 +48,14 @@ def edge_spans(edges: DataFrame) -> DataFrame:
 
 
 def customer_momentum(edges: DataFrame, momentum: DataFrame, days: DataFrame, least: float = 0.8) -> DataFrame:
-    """(ticker, date, signal): per day the confidence-weighted mean momentum of the targets of edges then valid.
+    """(ticker, date, signal): per day the confidence-weighted mean momentum of the customers by edges then valid.
 
     Validity intervals replace a rebuild per day; momentum is (ticker, date, value).
     """
-    spans = edge_spans(edges).where(F.col("confidence") >= least).select("source", "target", "confidence", "valid_from", "valid_to")
-    m = momentum.join(F.broadcast(days), "date").where("value is not null").select(F.col("ticker").alias("target"), "date", "value")
-    j = spans.join(m, "target").where((F.col("date") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("date") < F.col("valid_to"))))
-    return j.groupBy(F.col("source").alias("ticker"), "date").agg((F.sum(F.col("confidence") * F.col("value")) / F.sum("confidence")).alias("signal"))
+    spans = customers_of(edge_spans(edges), least).select("ticker", "customer", "confidence", "valid_from", "valid_to")
+    m = momentum.join(F.broadcast(days), "date").where("value is not null").select(F.col("ticker").alias("customer"), "date", "value")
+    j = spans.join(m, "customer").where((F.col("date") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("date") < F.col("valid_to"))))
+    return j.groupBy("ticker", "date").agg((F.sum(F.col("confidence") * F.col("value")) / F.sum("confidence")).alias("signal"))
 
 
 def disclosure_validity(edges: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -64,7 +76,10 @@ def decayed_score(events: DataFrame, grid: DataFrame, months: int = 12, decay: f
 
     grid: (ticker, date) of covered tickers; events: (ticker, event_date, score).
     """
-    j = grid.join(events, "ticker", "left")
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    # an event reaches the grid's dates of its own and the next ``months`` months only
+    reach = events.withColumn("_m", F.explode(F.sequence(month("event_date"), month("event_date") + months)))
+    j = grid.withColumn("_m", month("date")).join(reach, ["ticker", "_m"], "left")
     inside = (F.col("event_date") <= F.col("date")) & (F.col("event_date") > F.add_months("date", -months))
     w = F.when(inside, F.pow(F.lit(decay), F.datediff("date", "event_date") / 30.44))
     return j.groupBy("ticker", "date").agg(F.coalesce(F.sum(w * F.col("score")) / F.sum(w), F.lit(0.0)).alias("score"))

@@ -16,14 +16,14 @@ from .pit import dense_calendar
 def predicted_yield(dividends: DataFrame, month_close: DataFrame, lags: DataFrame) -> DataFrame:
     """(ticker, month, yield): dividends of the month that lies ``lag`` months before the next one, over the month-end close.
 
-    Names are payers of the twelve months up to the month. dividends:
+    Names are payers of the twelve months before the month. dividends:
     (ticker, m, amount) by month index, month_close: (ticker, m, close),
     lags: (ticker, m, lag).
     """
     paid = dividends.groupBy("ticker", "m").agg(F.sum("amount").alias("amount"))
     base = month_close.join(lags, ["ticker", "m"])
     p = paid.select(F.col("ticker").alias("_t"), F.col("m").alias("_m"), F.col("amount").alias("_a"))
-    j = base.join(p, (F.col("ticker") == F.col("_t")) & F.col("_m").between(F.col("m") - 11, F.col("m")))
+    j = base.join(p, (F.col("ticker") == F.col("_t")) & F.col("_m").between(F.col("m") - 12, F.col("m") - 1))
     hit = F.sum(F.when(F.col("_m") == F.col("m") + 1 - F.col("lag"), F.col("_a")))
     return j.groupBy("ticker", "m", "close").agg((F.coalesce(hit, F.lit(0.0)) / F.nullif(F.col("close"), F.lit(0.0))).alias("yield")).drop("close")
 

@@ -35,7 +35,7 @@ def cluster_onset(spark, d):
 
 @query(f"""with {ONSETS}, p as (select date, count(*) as n from onsets group by 1), c as (select date, n, sum(n) over (order by date range between interval 20 day preceding and current row) as cnt from p),
 q as (select c.date, c.n, c.cnt, count(x.cnt) as prior, quantile_cont(x.cnt, 0.8) as bar from c left join (select c.date, c.cnt, unnest(range(c.n)) from c) x on x.date < c.date and x.date > cast(c.date - interval 36 month as date) group by 1, 2, 3)
-select date, n, cnt::bigint as count, case when prior >= 30 then round(bar, 6) end as bar, cnt > case when prior >= 30 then bar end as high from q""")
+select date, n, cnt::bigint as count, case when prior >= 30 then round(bar, 6) end as bar, cnt >= case when prior >= 30 then bar end as high from q""")
 def concurrency(spark, d):
     return E.concurrency(E.cluster_onsets(buys(spark, d))).withColumn("bar", F.round("bar", 6))
 
@@ -52,7 +52,7 @@ def _high(spark, d):
 
 VETO = """f as (select distinct o_custkey as ticker, cast(o_orderdate as date) as date from orders where o_orderpriority = '2-HIGH'),
 tr as (select ticker, date from (select *, lag(date) over (partition by ticker order by date) as p from f) where p is null or p < cast(date - interval 36 month as date)),
-veto as (select tr.ticker, a.date as veto_from, b.date as veto_to from (select tr.*, (select min(pos) from cal where cal.date > tr.date) as p from tr) tr join cal a on a.pos = p join cal b on b.pos = least(p + 125, (select max(pos) from cal)))"""
+veto as (select tr.ticker, a.date as veto_from, b.date as veto_to from (select tr.*, (select min(pos) from cal where cal.date > tr.date) as p from tr where tr.date + 1 >= (select min(date) from cal)) tr join cal a on a.pos = p join cal b on b.pos = least(p + 125, (select max(pos) from cal)))"""
 
 
 @query(f"with {R.BARS}, {CAL}, {VETO} select * from veto")

@@ -53,11 +53,12 @@ def high_volume_event(spark, d):
     return X.high_volume_event(R.bars(spark, d)).select("ticker", "date", "event")
 
 
-@query(f"""with {R.BARS}, m as (select ticker, cast(date_trunc('month', date) as date) as month, sum(volume) as vol, year(min(date)) * 12 + month(min(date)) - 1 as k from bars group by 1, 2)
+@query(f"""with {R.BARS}, m as (select ticker, cast(date_trunc('month', date) as date) as month, sum(volume) as vol, year(min(date)) * 12 + month(min(date)) - 1 as k, count(distinct date) as nd from bars group by 1, 2),
+a as (select cast(date_trunc('month', date) as date) as month, count(distinct date) as every from bars group by 1)
 select ticker, month, round(case when count(vol) over w >= 30 and avg(vol) over w > 0 then regr_slope(vol, k) over w / avg(vol) over w end, 6) as trend
-from m window w as (partition by ticker order by k range between 59 preceding and current row)""")
+from m join a using (month) where nd >= least(5, every) window w as (partition by ticker order by k range between 59 preceding and current row)""")
 def volume_trend(spark, d):
-    return _r(X.volume_trend(R.bars(spark, d)), ["ticker", "month"], ["trend"])
+    return _r(X.volume_trend(R.bars(spark, d), full=5), ["ticker", "month"], ["trend"])
 
 
 @query(f"""with {R.BARS} select ticker, cast(date_trunc('month', date) as date) as month, max(date) as date, round(arg_max(close, date), 6) as close from bars group by 1, 2""")
@@ -66,19 +67,20 @@ def month_last_row(spark, d):
 
 
 @query("""with e as (select user_id as ticker, cast(ts as date) as date, count(*) as n from events group by 1, 2),
-cal as (select date, row_number() over (order by date) - 1 as pos from (select distinct date from e)),
-g as (select t.ticker, cal.pos, cal.date, coalesce(e.n, 0) as n from (select ticker, min(date) as lo from e group by 1) t join cal on cal.date >= t.lo left join e on e.ticker = t.ticker and e.date = cal.date),
+cal as (select date, row_number() over (order by date) - 1 as pos from (select distinct date from e where isodow(date) < 6)),
+k as (select e.ticker, cal.pos, sum(e.n) as n from e asof join cal on e.date <= cal.date where e.date >= (select min(date) from cal) group by 1, 2),
+g as (select t.ticker, cal.pos, cal.date, coalesce(k.n, 0) as n from (select distinct ticker from k) t cross join cal left join k on k.ticker = t.ticker and k.pos = cal.pos),
 c as (select *, case when count(n) over w >= 3 then sum(n) over w end as cnt from g window w as (partition by ticker order by pos rows between 2 preceding and current row)),
 o as (select *, lag(cnt, 3) over (partition by ticker order by pos) as old from c)
 select ticker, date, cnt::bigint as cnt, round(case when count(old) over w >= 5 then (cnt - avg(old) over w) / nullif(stddev_samp(old) over w, 0) end, 6) as z
 from o window w as (partition by ticker order by pos rows between 9 preceding and current row)""")
 def freq_z_daily(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("ticker"), F.to_date("ts").alias("date"))
-    return _r(X.event_count_z(e, calendar(e), 3, 10, 5), ["ticker", "date", "cnt"], ["z"])
+    return _r(X.event_count_z(e, calendar(e.where("weekday(date) < 5")), 3, 10, 5), ["ticker", "date", "cnt"], ["z"])
 
 
 @query("""with e as (select o_custkey as ticker, year(o_orderdate) * 12 + month(o_orderdate) - 1 as m, count(*) as n from orders group by 1, 2),
-g as (select t.ticker, k.m, coalesce(e.n, 0) as n from (select ticker, min(m) as lo from e group by 1) t join (select unnest(range((select min(m) from e), (select max(m) + 1 from e))) as m) k on k.m >= t.lo left join e on e.ticker = t.ticker and e.m = k.m)
+g as (select t.ticker, k.m, coalesce(e.n, 0) as n from (select distinct ticker from e) t cross join (select unnest(range((select min(m) from e), (select max(m) + 1 from e))) as m) k left join e on e.ticker = t.ticker and e.m = k.m)
 select ticker, last_day(make_date((m // 12)::int, (m % 12 + 1)::int, 1)) as date, n, round(case when count(n) over w >= 6 then (n - avg(n) over w) / nullif(stddev_samp(n) over w, 0) end, 6) as z
 from g window w as (partition by ticker order by m rows between 23 preceding and current row)""")
 def freq_z_monthly(spark, d):

@@ -22,7 +22,7 @@ def yoy_band_growth(spark, d):
 
 
 def _surprise(mean):
-    return f"""with {BASE}, {_match()}, c as (select *, value - prior_value as ch from m)
+    return f"""with {BASE}, {_match()}, c as (select q.cik, q.ddate, q.value - m.prior_value as ch from quarters q left join m on m.cik = q.cik and m.ddate = q.ddate)
 select cik, ddate, round(case when count(ch) over w >= 6 then (ch - {mean}) / nullif(stddev_samp(ch) over w, 0) end, 5) as surprise from c window w as (partition by cik order by ddate rows between 8 preceding and 1 preceding)"""
 
 
@@ -51,9 +51,9 @@ def _annual(spark, d):
     return an, q.where(~((F.month("ddate") == 12) & (F.col("cik") % 2 == 0)))
 
 
-@query(f"""with {BASE}, {ANNUAL}, t as (select a.cik, a.ddate, a.value, a.filed, count(*) as n, sum(q.value) as three, max(q.filed) as lf from an a join qs q on q.cik = a.cik and a.ddate - q.ddate between 45 and 330 group by 1, 2, 3, 4 having count(*) = 3)
+@query(f"""with {BASE}, {ANNUAL}, t as (select a.cik, a.ddate, a.value, a.filed, count(*) as n, sum(q.value) as three from an a join qs q on q.cik = a.cik and a.ddate - q.ddate between 45 and 330 group by 1, 2, 3, 4 having count(*) = 3)
 select cik, ddate, filed, round(value, 2) as value, false as derived from qs union all
-select cik, ddate, greatest(filed, lf), round(value - three, 5), true from t where not exists (select 1 from qs where qs.cik = t.cik and qs.ddate = t.ddate)""")
+select cik, ddate, filed, round(value - three, 5), true from t where not exists (select 1 from qs where qs.cik = t.cik and qs.ddate = t.ddate)""")
 def q4_derivation(spark, d):
     an, qs = _annual(spark, d)
     return Q.fourth_quarters(an, qs).withColumn("value", F.round("value", 5))
@@ -120,18 +120,17 @@ def book_equity_fallback(spark, d):
 
 
 @query(f"""with {BASE}, {_match()}, s as (select cik as ticker, min(filed) as avail, ddate, round(value - prior_value, 2) as sue from m group by cik, ddate, value, prior_value),
-a as (select ticker, avail, arg_max(sue, ddate) as sue from s group by 1, 2),
-r as (select ticker, avail, case when sign(sue) = sign(lag(sue) over w) and sign(sue) <> 0 and avail - lag(avail) over w <= 190 then sue end as sue, lead(avail) over w as nx from a window w as (partition by ticker order by avail))
-select ticker, avail, sue from r union all select ticker, avail + 182, null from r where sue is not null and (nx is null or nx > avail + 182)""")
+r as (select ticker, avail, ddate, case when sign(sue) = sign(lag(sue) over w) and sign(sue) <> 0 and ddate - lag(ddate) over w <= 190 then sue end as sue, lead(avail) over (partition by ticker order by avail, ddate) as nx from s window w as (partition by ticker order by ddate)),
+u as (select ticker, avail, ddate, sue from r union all select ticker, avail + 182, ddate, null from r where sue is not null and (nx is null or nx > avail + 182))
+select ticker, avail, sue from u qualify row_number() over (partition by ticker, avail order by sue is null, ddate desc) = 1""")
 def streak_expiry(spark, d):
     m = Q.log_growth(R.quarters(spark, d), "value")
-    s = m.select(F.col("cik").alias("ticker"), F.col("filed").alias("avail"), "ddate", F.round(F.col("value") - F.col("prior_value"), 2).alias("sue"))
-    return Q.streaks(s.groupBy("ticker", "avail").agg(F.max_by("sue", "ddate").alias("sue")))
+    return Q.streaks(m.select(F.col("cik").alias("ticker"), F.col("filed").alias("avail"), "ddate", F.round(F.col("value") - F.col("prior_value"), 2).alias("sue")))
 
 
 @query("""with dv as (select distinct o_custkey as ticker, cast(o_orderdate as date) as ex_date from orders), me as (select distinct ticker, last_day(ex_date) as month_end from dv),
 g as (select me.ticker, month_end, ex_date - lag(ex_date) over (partition by me.ticker, month_end order by ex_date) as gap from me join dv on dv.ticker = me.ticker and ex_date <= month_end and ex_date > cast(month_end - interval 36 month as date))
-select ticker, month_end, case when count(*) >= 3 and median(gap) < 135 then 3 when count(*) >= 3 and median(gap) < 270 then 6 else 12 end as lag from g group by 1, 2""")
+select ticker, month_end, case when median(gap) < 135 then 3 when median(gap) < 270 then 6 else 12 end as lag from g group by 1, 2 having count(*) >= 3""")
 def dividend_freq(spark, d):
     dv = table(spark, d, "orders").select(F.col("o_custkey").alias("ticker"), F.to_date("o_orderdate").alias("ex_date")).distinct()
     return Q.dividend_lag(dv, dv.select("ticker", F.last_day("ex_date").alias("month_end")).distinct())

@@ -29,12 +29,12 @@ def ohlc_domain_audit(spark, d):
     return A.domain_audit(x)
 
 
-LIST = "ls as (select o_custkey % 50 as ticker, o_orderkey % 7 + (o_custkey % 50) * 10 as listing_id, min(cast(o_orderdate as date)) as first_date, max(cast(o_orderdate as date)) as last_date from orders where o_orderkey % 3 = 0 group by 1, 2)"
+LIST = "ls as (select o_custkey % 50 as ticker, o_orderkey % 7 + (o_custkey % 50) * 10 as listing_id, min(cast(o_orderdate as date)) as first_date, max(cast(o_orderdate as date)) as last_date from orders group by 1, 2)"
 IV = "iv as (select row_number() over (order by t, q) as interval_id, t as ticker, min(dt) as valid_from, max(dt) as valid_to from (select o_custkey % 60 as t, cast(date_trunc('year', o_orderdate) as date) as q, cast(o_orderdate as date) as dt from orders) group by t, q)"
 
 
 def _listings(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 3 = 0").withColumn("dt", F.to_date("o_orderdate"))
+    o = table(spark, d, "orders").withColumn("dt", F.to_date("o_orderdate"))
     t = F.col("o_custkey") % 50
     return o.groupBy(t.alias("ticker"), (F.col("o_orderkey") % 7 + t * 10).alias("listing_id")).agg(F.min("dt").alias("first_date"), F.max("dt").alias("last_date"))
 

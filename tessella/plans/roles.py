@@ -62,13 +62,15 @@ def quarters(spark: SparkSession, d: str) -> DataFrame:
 
 
 # supplier -> customer edges, one per line
-EDGES = """edges as (select l_suppkey as source, o_custkey as target, o_orderpriority as relation, round(1 - l_discount * 5, 6) as confidence, cast(o_orderdate as date) as filing_date
+EDGES = """edges as (select l_suppkey as source, o_custkey as target, case o_orderpriority when '1-URGENT' then 'customer' when '2-HIGH' then 'supplier' when '3-MEDIUM' then 'competitor' when '4-NOT SPECIFIED' then 'partner' else 'other' end as relation, round(1 - l_discount * 5, 6) as confidence, cast(o_orderdate as date) as filing_date
   from lineitem join orders on l_orderkey = o_orderkey)"""
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("o_orderpriority")
+    relation = F.when(p == "1-URGENT", "customer").when(p == "2-HIGH", "supplier").when(p == "3-MEDIUM", "competitor").when(p == "4-NOT SPECIFIED", "partner").otherwise("other")
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
-    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("source"), F.col("o_custkey").alias("target"), F.col("o_orderpriority").alias("relation"), F.round(1 - F.col("l_discount") * 5, 6).alias("confidence"), F.to_date("o_orderdate").alias("filing_date"))
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("source"), F.col("o_custkey").alias("target"), relation.alias("relation"), F.round(1 - F.col("l_discount") * 5, 6).alias("confidence"), F.to_date("o_orderdate").alias("filing_date"))
 
 
 # quarter-start snapshots of suppliers with enough lines in the quarter before

@@ -19,7 +19,7 @@ from .registry import query, table
 
 @query("""with dv as (select o_custkey as ticker, year(o_orderdate) * 12 + month(o_orderdate) - 1 as m, sum(o_totalprice) / 1000 as amount from orders group by 1, 2),
 mc as (select distinct ticker, k.m, 100.0 + ticker % 50 as close from dv, (select unnest([23963, 23969, 23975]) as m) k), lg as (select ticker, m, case when ticker % 3 = 0 then 3 when ticker % 3 = 1 then 6 else 12 end as lag from mc),
-j as (select mc.ticker, mc.m, close, lag, dv.m as pm, amount from mc join lg on lg.ticker = mc.ticker and lg.m = mc.m join dv on dv.ticker = mc.ticker and dv.m between mc.m - 11 and mc.m)
+j as (select mc.ticker, mc.m, close, lag, dv.m as pm, amount from mc join lg on lg.ticker = mc.ticker and lg.m = mc.m join dv on dv.ticker = mc.ticker and dv.m between mc.m - 12 and mc.m - 1)
 select ticker, m, round(coalesce(sum(case when pm = m + 1 - lag then amount end), 0) / close, 6) + 0.0 as yield from j group by ticker, m, close""")
 def div_yield_st(spark, d):
     o = table(spark, d, "orders")
@@ -31,12 +31,12 @@ def div_yield_st(spark, d):
 
 
 @query(f"""with {R.BARS.replace('bars as', 'single as', 1)}, bars as (select ticker % 4 as ticker, date, avg(close) as close, sum(volume) as volume from single group by 1, 2), {CAL},
-ev as (select distinct o_custkey % 4 as ticker, o_orderdate + to_hours(o_orderkey % 24) as ts from orders where o_orderkey % 40 = 0),
-k as (select ev.*, case when hour(ts) >= 16 then ts::date + 1 else ts::date end as kd from ev), p as (select k.*, (select min(pos) from cal where cal.date >= k.kd) as pos from k), px as (select ticker, pos, close from bars join cal using (date))
+ev as (select distinct o_custkey % 4 as ticker, o_orderdate + to_hours(o_orderkey % 24) as ts from orders),
+k as (select ev.*, case when hour(ts) >= 16 then ts::date + 1 else ts::date end as kd from ev), p as (select k.ticker, k.ts, cal.pos from k asof join cal on k.kd <= cal.date), px as (select ticker, pos, close from bars join cal using (date))
 select p.ticker, p.ts, round(a.close / b.close - 1, 6) as ret from p join px b on b.ticker = p.ticker and b.pos = p.pos - 1 join px a on a.ticker = p.ticker and a.pos = p.pos + 1""")
 def announcement_return(spark, d):
     b = R.bars(spark, d).groupBy((F.col("ticker") % 4).alias("ticker"), "date").agg(F.avg("close").alias("close"))
-    o = table(spark, d, "orders").where("o_orderkey % 40 = 0")
+    o = table(spark, d, "orders")
     ts = F.timestamp_seconds(F.unix_timestamp("o_orderdate") + (F.col("o_orderkey") % 24) * 3600)
     ev = o.select((F.col("o_custkey") % 4).alias("ticker"), ts.alias("ts")).distinct()
     return G.two_day_return(ev, b, calendar(b)).withColumn("ret", F.round("ret", 6))

@@ -173,17 +173,58 @@ def test_fourth_quarter_needs_three(spark):
 
 
 def test_streak_and_expiry(spark):
-    s = spark.createDataFrame([("A", D("2020-01-01"), 1.0), ("A", D("2020-04-01"), 2.0), ("A", D("2020-07-01"), -1.0)], "ticker string, avail date, sue double")
+    s = spark.createDataFrame([("A", D(a), D(a) - dt.timedelta(30), x) for a, x in (("2020-01-01", 1.0), ("2020-04-01", 2.0), ("2020-07-01", -1.0))], "ticker string, avail date, ddate date, sue double")
     assert rows(fundamentals.streaks(s)) == [("A", D("2020-01-01"), None), ("A", D("2020-04-01"), 2.0), ("A", D("2020-07-01"), None)]
     s = s.where("avail < date'2020-07-01'")
     assert ("A", D("2020-09-30"), None) in rows(fundamentals.streaks(s))
 
 
 def test_neighbors_reverse_relations(spark):
-    e = spark.createDataFrame([("A", "B", "customer")], "source string, target string, relation string")
-    v = spark.createDataFrame([("A", 1.0), ("B", 3.0)], "ticker string, value double")
-    got = {r.ticker: r.signal for r in graph.neighbor_signal(e, v, {"customer": 1.0, "supplier": -0.5}).collect()}
-    assert got == {"A": 3.0, "B": -1.0}
+    e = spark.createDataFrame([("A", "B", "customer", 0.5), ("A", "C", "customer", 1.0), ("D", "A", "odd", 1.0)], "source string, target string, relation string, confidence double")
+    v = spark.createDataFrame([("A", 1.0), ("B", 3.0), ("C", 6.0), ("D", 8.0)], "ticker string, value double")
+    got = {r.ticker: r.signal for r in graph.neighbor_signal(e, v, {"customer": 1.0, "supplier": -0.5, "partner": 1.5}).collect()}
+    assert got == {"A": (0.5 * 3 + 6 + 1.5 * 8) / 3, "B": -1.0, "C": -1.0, "D": None}
+
+
+def test_customers_of_both_directions(spark):
+    e = spark.createDataFrame([("A", "B", "customer", 0.9), ("A", "C", "supplier", 0.9), ("A", "D", "customer", 0.7), ("E", "A", "supplier", 0.8)], "source string, target string, relation string, confidence double")
+    assert rows(graph.customers_of(e)) == [("A", "B", 0.9), ("A", "E", 0.8), ("C", "A", 0.9)]
+
+
+def test_event_counts_cover_the_calendar(spark):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(28) if i % 7 < 5]
+    cal = pit.calendar(spark.createDataFrame([(d,) for d in days], "date date"))
+    e = spark.createDataFrame([("A", dt.date(2024, 1, 13)), ("A", dt.date(2023, 12, 30)), ("A", dt.date(2024, 1, 27)), ("B", days[3])], "ticker string, date date")
+    got = {(r.ticker, r.date): r.cnt for r in features.event_count_z(e, cal, 2, 4, 2).collect()}
+    assert len(got) == 2 * len(days) and got["A", days[0]] is None
+    assert [d for (t, d), n in sorted(got.items()) if t == "A" and n] == [dt.date(2024, 1, 15), dt.date(2024, 1, 16)]
+    m = {(r.ticker, r.date): r.n for r in features.event_count_z_monthly(spark.createDataFrame([("A", dt.date(2024, 3, 5)), ("B", dt.date(2024, 1, 9))], "ticker string, date date")).collect()}
+    assert m == {("A", dt.date(2024, 1, 31)): 0, ("A", dt.date(2024, 2, 29)): 0, ("A", dt.date(2024, 3, 31)): 1, ("B", dt.date(2024, 1, 31)): 1, ("B", dt.date(2024, 2, 29)): 0, ("B", dt.date(2024, 3, 31)): 0}
+
+
+def test_unmatched_quarters_keep_their_place(spark):
+    ends = [dt.date(2015 + i // 4, 3 * (i % 4) + 3, 28) for i in range(20)]
+    q = [("c", d, d, float(i * i)) for i, d in enumerate(ends) if i != 6]
+    got = {r.ddate: r.surprise for r in fundamentals.seasonal_surprise(spark.createDataFrame(q, "cik string, ddate date, filed date, value double"), n=4, least=4).collect()}
+    assert len(got) == 19 and got[ends[10]] is None and got[ends[14]] is None and got[ends[15]] is not None
+
+
+def test_streaks_go_by_period(spark):
+    s = [("A", "2020-03-31", "2020-08-01", 1.0), ("A", "2020-06-30", "2020-08-01", 2.0), ("A", "2020-09-30", "2020-11-01", None), ("A", "2020-12-31", "2021-02-01", 3.0)]
+    got = rows(fundamentals.streaks(spark.createDataFrame([(t, D(a), D(b), x) for t, a, b, x in s], "ticker string, ddate date, avail date, sue double")))
+    assert got == [("A", D("2020-08-01"), 2.0), ("A", D("2021-01-30"), None), ("A", D("2021-02-01"), 3.0), ("A", D("2021-08-02"), None)]
+
+
+def test_windows_of_early_triggers(spark):
+    cal = pit.calendar(spark.createDataFrame([(d,) for d in DAYS[:20]], "date date"))
+    t = spark.createDataFrame([("A", DAYS[0] - dt.timedelta(9)), ("B", DAYS[0] - dt.timedelta(1))], "ticker string, date date")
+    assert rows(events.trading_windows(t, cal, 3)) == [("B", DAYS[0], DAYS[2])]
+
+
+def test_company_names(spark):
+    names = {"The Acme Holdings, Inc.": "ACME HOLDINGS", "Foo & Co., Ltd.": "FOO", "U.S. Government and its Agencies": "US GOVERNMENT", "Bar Corp /DE/": "BAR", "Baz-Qux (a unit) and its affiliates": "BAZ QUX", "Inc.": "INC", "The": "THE"}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r[0]: r[1] for r in df.select("n", S.company_name(F.col("n"))).collect()} == names
 
 
 def test_edit_ratio_identity():

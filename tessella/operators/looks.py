@@ -37,13 +37,12 @@ def decide(looks: dict[str, dict], bar: float = 2.0) -> bool:
     return all(t(k) is not None for k in looks) and t("full") >= bar and t("first") > 0 and t("second") > 0
 
 
-def permuted(events: DataFrame, cal: DataFrame, seed: int) -> DataFrame:
-    """(ticker, date): each event moved to a day of the calendar drawn by hash within its ticker's own span; reruns agree."""
-    e = events.join(F.broadcast(cal), "date")
-    w = Window.partitionBy("ticker")
-    lo, hi = F.min("pos").over(w), F.max("pos").over(w)
-    draw = F.pmod(F.xxhash64(F.lit(seed), "ticker", "pos"), hi - lo + 1)
-    return e.select("ticker", (lo + draw).cast("int").alias("pos")).join(F.broadcast(cal), "pos").select("ticker", "date")
+def permuted(events: DataFrame, prices: DataFrame, seed: int) -> DataFrame:
+    """(ticker, date): each ticker's events moved to as many of its priced days (all, if it has fewer), drawn by hash without replacement; reruns agree."""
+    k = events.groupBy("ticker").agg(F.count(F.lit(1)).alias("_k"))
+    order = F.row_number().over(Window.partitionBy("ticker").orderBy(F.xxhash64(F.lit(seed), "ticker", "date"), "date"))
+    days = prices.where("close is not null").select("ticker", "date").distinct().join(k, "ticker").withColumn("_rn", order)
+    return days.where("_rn <= _k").select("ticker", "date")
 
 
 def fee_tiers(daily: DataFrame, tiers_bps: list[float], year_days: int = 365) -> DataFrame:

@@ -154,21 +154,28 @@ def report(daily: DataFrame, year_days: int = 252) -> DataFrame:
     return base.crossJoin(best)  # one row each
 
 
-def rank_quintiles(signal: DataFrame, rets: DataFrame, q: int = 5, least: int = 20) -> DataFrame:
-    """(date, pnl, traded): equal-weight top less bottom quintile by rank, next row's return; trades against drifted weights.
+def rank_quintiles(signal: DataFrame, rets: DataFrame, q: int = 5, least: int = 20, universe: DataFrame | None = None, funding: DataFrame | None = None) -> DataFrame:
+    """(date, pnl, traded): equal-weight top less bottom quintile by average rank, next row's return less next row's funding; trades against drifted weights.
 
-    signal: (symbol, date, x), rets: (symbol, date, r). Days with under
-    ``least`` names hold nothing.
+    signal: (symbol, date, x), rets: (symbol, date, r); universe: the (symbol,
+    date) that are ranked; funding: (symbol, date, fund). The quintiles are cut
+    at shares of the day's largest rank, which ties at the top lower. Days
+    where it is under ``least`` hold nothing.
     """
     x = Window.partitionBy("date")
-    s = signal.where("x is not null").withColumn("rk", F.rank().over(x.orderBy("x")) + (F.count(F.lit(1)).over(Window.partitionBy("date", "x")) - 1) / 2.0).withColumn("n", F.count(F.lit(1)).over(x))
-    long, short = F.col("rk") > F.col("n") * (1 - 1.0 / q), F.col("rk") <= F.col("n") / float(q)
+    s = signal.where("x is not null")
+    if universe is not None:
+        s = s.join(universe.select("symbol", "date"), ["symbol", "date"], "left_semi")
+    s = s.withColumn("rk", F.rank().over(x.orderBy("x")) + (F.count(F.lit(1)).over(Window.partitionBy("date", "x")) - 1) / 2.0).withColumn("n", F.max("rk").over(x))
+    long, short = F.col("rk") >= F.col("n") * (1 - 1.0 / q), F.col("rk") <= F.col("n") / float(q)
     s = s.withColumn("side", F.when(F.col("n") < least, 0).when(long, 1).when(short, -1).otherwise(0))
     s = s.withColumn("w", F.when(F.col("side") != 0, F.col("side") / F.count(F.lit(1)).over(Window.partitionBy("date", "side"))).otherwise(0.0))
     grid = rets.join(s.select("symbol", "date", "w"), ["symbol", "date"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
     t = Window.partitionBy("symbol").orderBy("date")
-    grid = grid.withColumn("nr", F.lead("r").over(t)).withColumn("old", F.coalesce(F.lag("w").over(t) * (1 + F.coalesce("r", F.lit(0.0))), F.lit(0.0)))
-    return grid.groupBy("date").agg(F.sum(F.col("w") * F.coalesce("nr", F.lit(0.0))).alias("pnl"), F.sum(F.abs(F.col("w") - F.col("old"))).alias("traded"))
+    grid = grid.join(funding, ["symbol", "date"], "left") if funding is not None else grid.withColumn("fund", F.lit(0.0))
+    grid = grid.withColumn("nr", F.coalesce(F.lead("r").over(t), F.lit(0.0)) - F.coalesce(F.lead("fund").over(t), F.lit(0.0)))
+    grid = grid.withColumn("old", F.coalesce(F.lag("w").over(t) * (1 + F.col("r")), F.lit(0.0)))
+    return grid.groupBy("date").agg(F.sum(F.col("w") * F.col("nr")).alias("pnl"), F.sum(F.abs(F.col("w") - F.col("old"))).alias("traded"))
 
 
 def rolling_beta(rets: DataFrame, market: DataFrame, n: int = 60, least: int | None = None) -> DataFrame:

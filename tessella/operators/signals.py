@@ -91,7 +91,8 @@ def interest_signals(m: DataFrame) -> DataFrame:
 
 
 def verify_jumps(jumps: DataFrame, actions: DataFrame, days: int = 3, tolerance: float = 0.15) -> DataFrame:
-    """(ticker, date, ret, verdict): split when an action's ratio explains the move within the tolerance, dividend when its amount does, else review.
+    """(ticker, date, ret, verdict): split when an action's ratio explains the move within the tolerance, dividend when a fall is its share of the
+    prior close within the tolerance of the return, else review.
 
     actions: (ticker, action_date, kind, value); jumps: (ticker, date, ret, prior_close).
     """
@@ -99,7 +100,8 @@ def verify_jumps(jumps: DataFrame, actions: DataFrame, days: int = 3, tolerance:
     j = jumps.join(a, (F.col("ticker") == F.col("_t")) & F.abs(F.datediff("date", "action_date")).between(0, days), "left")
     factor = 1 + F.col("ret")
     split = (F.col("kind") == "split") & (F.abs(factor * F.col("_v") - 1) <= tolerance)
-    paid = (F.col("kind") == "dividend") & (F.abs(-F.col("ret") * F.col("prior_close") / F.nullif("_v", F.lit(0.0)) - 1) <= tolerance)
+    implied = -F.col("_v") / F.nullif("prior_close", F.lit(0.0))
+    paid = (F.col("kind") == "dividend") & (F.col("ret") < 0) & (F.abs(F.col("ret") - implied) <= tolerance * F.abs("ret"))
     rank = F.when(split, 0).when(paid, 1).otherwise(2)
     g = j.groupBy("ticker", "date", "ret").agg(F.min(rank).alias("_r"))
     return g.select("ticker", "date", "ret", F.when(F.col("_r") == 0, "split").when(F.col("_r") == 1, "dividend").otherwise("review").alias("verdict"))
@@ -130,17 +132,26 @@ def members_at(anchor: DataFrame, changes: DataFrame, checkpoints: DataFrame) ->
     return j.where(inside).select("checkpoint", "ticker")
 
 
+# Asset types and tags of disclosures, and words of descriptions.
+EQUITY = ("ST", "STOCK", "RS", "PS", "NON-PUBLIC STOCK")
+OPTION = ("OP", "STOCK OPTION", "SA")
+NON_EQUITY = ("GS", "CS", "AB", "HN", "OI", "OL", "VA", "CT", "WU", "DB", "RP", "MF", "EF", "ET", "OT", "BA", "IH", "FA", "EIF", "5C", "5F", "5P", "4K", "MUNICIPAL SECURITY", "CORPORATE BOND", "GOVERNMENT SECURITY", "COMMODITIES/FUTURES CONTRACT", "CRYPTOCURRENCY", "OTHER", "OTHER SECURITIES")
+OPTION_WORDS = r"(?i)\b(puts?|calls?|options?)\b"
+NON_EQUITY_WORDS = r"(?i)\b(treasur\w+|t-?bills?|municipal|bonds?|notes? due|cusip|money market|mutual fund|etf|exchange[- ]traded|cryptocurrenc\w+|bitcoin|annuit\w+)\b"
+
+
 def asset_class(kind: Column, name: Column, ticker: Column) -> Column:
-    """A declared type, else a bracket tag, else words, else a ticker means equity."""
-    tag = F.upper(F.regexp_extract(name, r"\[([A-Za-z]{2})\]", 1))
-    low = F.lower(F.coalesce(name, F.lit("")))
-    typed = F.lower(F.coalesce(kind, F.lit("")))
-    return (
-        F.when(typed.contains("option"), "option").when(typed.contains("stock"), "equity").when(typed != "", "other")
-        .when(tag == "OP", "option").when(tag == "ST", "equity").when(tag != "", "other")
-        .when(low.rlike(r"\b(call|put|option)s?\b"), "option").when(low.rlike(r"\b(bond|note|fund|treasury|municipal)s?\b"), "other")
-        .when(ticker.isNotNull(), "equity").otherwise("unknown")
-    )
+    """A known declared type, else a known bracket tag, else words, else a ticker means equity (see ``asset_inferred``)."""
+    low = F.coalesce(name, F.lit(""))
+    found = [F.upper(F.trim(kind)), F.upper(F.regexp_extract(low, r"\[(\w{2})\]", 1))]
+    by_code = [F.when(c.isin(*codes), label) for c in found for codes, label in ((OPTION, "option"), (EQUITY, "equity"), (NON_EQUITY, "non_equity"))]
+    words = F.when(low.rlike(OPTION_WORDS), "option").when(low.rlike(NON_EQUITY_WORDS), "non_equity")
+    return F.coalesce(*by_code, words, F.when(F.coalesce(ticker, F.lit("")) != "", "equity"), F.lit("unclassified"))
+
+
+def asset_inferred(kind: Column, name: Column, ticker: Column) -> Column:
+    """Whether only the ticker's presence made it equity."""
+    return (asset_class(kind, name, F.lit(None).cast("string")) == "unclassified") & (F.coalesce(ticker, F.lit("")) != "")
 
 
 def random_controls(events: DataFrame, prices: DataFrame, cal: DataFrame, near: int = 63, hold: int = 21, seed: int = 7) -> DataFrame:

@@ -164,13 +164,20 @@ def crypto(spark, d):
     return px.withColumn("r", F.col("close") / F.lag("close").over(over_time("symbol")) - 1)
 
 
-@query(f"""with {CRYPTO}, s as (select symbol, date, round(r, 9) as x from rt where r is not null), k as (select *, rank() over (partition by date order by x) + (count(*) over (partition by date, x) - 1) / 2.0 as rk, count(*) over (partition by date) as n from s),
-e as (select *, case when n < 20 then 0 when rk > n * (1 - 1.0 / 5) then 1 when rk <= n / 5.0 then -1 else 0 end as side from k), w as (select symbol, date, case when side <> 0 then side * 1.0 / count(*) over (partition by date, side) else 0.0 end as w from e),
-g as (select rt.symbol, rt.date, r, coalesce(w, 0) as w from rt left join w using (symbol, date)), t as (select *, lead(r) over o as nr, coalesce(lag(w) over o * (1 + coalesce(r, 0)), 0) as old from g window o as (partition by symbol order by date))
-select date, round(sum(w * coalesce(nr, 0)), 6) + 0.0 as pnl, round(sum(abs(w - old)), 6) as traded from t group by 1""")
+@query(f"""with {CRYPTO}, u as (select symbol, date from rt qualify rank() over (partition by date order by value desc) <= 50),
+s as (select symbol, date, round(r, 9) as x from rt semi join u using (symbol, date) where r is not null), k as (select *, max(rk) over (partition by date) as n from (select *, rank() over (partition by date order by x) + (count(*) over (partition by date, x) - 1) / 2.0 as rk from s)),
+e as (select *, case when n < 20 then 0 when rk >= n * (1 - 1.0 / 5) then 1 when rk <= n / 5.0 then -1 else 0 end as side from k), w as (select symbol, date, case when side <> 0 then side * 1.0 / count(*) over (partition by date, side) else 0.0 end as w from e),
+fu as (select o_custkey % 60 as symbol, cast(date_trunc('month', o_orderdate) as date) as date, avg(o_orderkey % 7 - 3) / 1000 as fund from orders group by 1, 2),
+g as (select rt.symbol, rt.date, r, fund, coalesce(w, 0) as w from rt left join w using (symbol, date) left join fu using (symbol, date)), t as (select *, coalesce(lead(r) over o, 0) - coalesce(lead(fund) over o, 0) as nr, coalesce(lag(w) over o * (1 + r), 0) as old from g window o as (partition by symbol order by date))
+select date, round(sum(w * nr), 6) + 0.0 as pnl, round(sum(abs(w - old)), 6) as traded from t group by 1""")
 def crypto_ls(spark, d):
     p = crypto(spark, d)
-    out = B.rank_quintiles(p.select("symbol", "date", F.round("r", 9).alias("x")), p.select("symbol", "date", "r"))
+    from pyspark.sql import Window
+
+    top = p.withColumn("rk", F.rank().over(Window.partitionBy("date").orderBy(F.desc("value")))).where("rk <= 50").select("symbol", "date")
+    o = table(spark, d, "orders")
+    fund = o.groupBy((F.col("o_custkey") % 60).alias("symbol"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("date")).agg((F.avg(F.col("o_orderkey") % 7 - 3) / 1000).alias("fund"))
+    out = B.rank_quintiles(p.select("symbol", "date", F.round("r", 9).alias("x")), p.select("symbol", "date", "r"), universe=top, funding=fund)
     return out.select("date", (F.round("pnl", 6) + 0.0).alias("pnl"), F.round("traded", 6).alias("traded"))
 
 

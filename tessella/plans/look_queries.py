@@ -39,14 +39,14 @@ def placebo_books(spark, d):
     cal, e = calendar(b), spikes(spark, d, wide(spark, d))
     out = []
     for seed in (0, 1, 2):
-        looks = L.halves(E.calendar_book(L.permuted(e, cal, seed), b, cal))
+        looks = L.halves(E.calendar_book(L.permuted(e, b, seed), b, cal))
         out.append((seed, looks["full"]["n"], looks["full"]["mean"], looks["full"]["t"], L.decide(looks)))
     return spark.createDataFrame(out, "seed int, n long, mean double, t double, accepted boolean")
 
 
-@query(f"""with {CRYPTO}, s as (select symbol, date, round(r, 9) as x from rt where r is not null), k as (select *, rank() over (partition by date order by x) + (count(*) over (partition by date, x) - 1) / 2.0 as rk, count(*) over (partition by date) as n from s),
-e as (select *, case when n < 20 then 0 when rk > n * (1 - 1.0 / 5) then 1 when rk <= n / 5.0 then -1 else 0 end as side from k), w as (select symbol, date, case when side <> 0 then side * 1.0 / count(*) over (partition by date, side) else 0.0 end as w from e),
-g as (select rt.symbol, rt.date, r, coalesce(w, 0) as w from rt left join w using (symbol, date)), t as (select *, lead(r) over o as nr, coalesce(lag(w) over o * (1 + coalesce(r, 0)), 0) as old from g window o as (partition by symbol order by date)),
+@query(f"""with {CRYPTO}, s as (select symbol, date, round(r, 9) as x from rt where r is not null), k as (select *, max(rk) over (partition by date) as n from (select *, rank() over (partition by date order by x) + (count(*) over (partition by date, x) - 1) / 2.0 as rk from s)),
+e as (select *, case when n < 20 then 0 when rk >= n * (1 - 1.0 / 5) then 1 when rk <= n / 5.0 then -1 else 0 end as side from k), w as (select symbol, date, case when side <> 0 then side * 1.0 / count(*) over (partition by date, side) else 0.0 end as w from e),
+g as (select rt.symbol, rt.date, r, coalesce(w, 0) as w from rt left join w using (symbol, date)), t as (select *, lead(r) over o as nr, coalesce(lag(w) over o * (1 + r), 0) as old from g window o as (partition by symbol order by date)),
 dd as (select date, sum(w * coalesce(nr, 0)) as pnl, sum(abs(w - old)) as traded from t group by 1), f as (select dd.*, b.bps, pnl - traded * b.bps / 10000 as net from dd, (select unnest([0.0::double, 5.0, 20.0]) as bps) b)
 select bps, round(avg(pnl) * 12, 6) as gross, round(avg(net) * 12, 6) as net, round(avg(net) / nullif(stddev_samp(net), 0) * sqrt(12), 5) as sharpe, round(avg(traded), 6) as turnover from f group by 1""")
 def fee_tiers(spark, d):

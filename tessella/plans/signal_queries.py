@@ -90,15 +90,15 @@ def interest_signals(spark, d):
     return s.select("symbol", "date", *(F.round(c, 6).alias(c) for c in ("oi_1", "oi_7", "crowd")), (F.round("crowd_dev", 6) + 0.0).alias("crowd_dev"))
 
 
-@query(f"""with {R.BARS}, j as (select ticker, date, close / lag(close) over w - 1 as ret, lag(close) over w as pc from bars window w as (partition by ticker order by date)), jj as (select * from j where abs(ret) > 1),
+@query(f"""with {R.BARS}, j as (select ticker, date, close / lag(close) over w - 1 as ret, lag(close) over w as pc from bars window w as (partition by ticker order by date)), jj as (select * from j where abs(ret) > 0.3),
 a as (select distinct o_custkey as ticker, cast(o_orderdate as date) as ad, case when o_orderkey % 2 = 0 then 'split' else 'dividend' end as kind, case when o_orderkey % 2 = 0 then 0.5 else 300.0 end as v from orders),
-m as (select jj.ticker, jj.date, ret, min(case when kind = 'split' and abs((1 + ret) * v - 1) <= 0.15 then 0 when kind = 'dividend' and abs(-ret * pc / v - 1) <= 0.15 then 1 else 2 end) as r from jj left join a on a.ticker = jj.ticker and abs(jj.date - ad) <= 3 group by 1, 2, 3)
+m as (select jj.ticker, jj.date, ret, min(case when kind = 'split' and abs((1 + ret) * v - 1) <= 0.15 then 0 when kind = 'dividend' and ret < 0 and abs(ret + v / pc) <= 0.15 * abs(ret) then 1 else 2 end) as r from jj left join a on a.ticker = jj.ticker and abs(jj.date - ad) <= 3 group by 1, 2, 3)
 select ticker, date, round(ret, 6) as ret, case r when 0 then 'split' when 1 then 'dividend' else 'review' end as verdict from m""")
 def verified_jumps(spark, d):
     from ..functions.windows import over_time
 
     w = over_time("ticker")
-    b = R.bars(spark, d).withColumn("prior_close", F.lag("close").over(w)).withColumn("ret", F.col("close") / F.col("prior_close") - 1).where("abs(ret) > 1")
+    b = R.bars(spark, d).withColumn("prior_close", F.lag("close").over(w)).withColumn("ret", F.col("close") / F.col("prior_close") - 1).where("abs(ret) > 0.3")
     o, even = table(spark, d, "orders"), F.col("o_orderkey") % 2 == 0
     a = o.select(F.col("o_custkey").alias("ticker"), F.to_date("o_orderdate").alias("action_date"), F.when(even, "split").otherwise("dividend").alias("kind"), F.when(even, 0.5).otherwise(300.0).alias("value")).distinct()
     return G.verify_jumps(b.select("ticker", "date", "ret", "prior_close"), a).withColumn("ret", F.round("ret", 6))
@@ -124,15 +124,20 @@ def members_by_replay(spark, d):
     return G.members_at(anchor, c, days)
 
 
-@query("""with x as (select p_partkey as k, case p_partkey % 4 when 0 then 'Stock Option' when 1 then 'Stocks' when 2 then null else null end as kind, case p_partkey % 5 when 0 then p_name || ' [OP]' when 1 then p_name || ' [ST]' when 2 then p_name || ' call option' when 3 then p_name || ' bonds' else p_name end as name, case when p_partkey % 7 > 2 then p_brand end as tk from part),
-y as (select *, upper(regexp_extract(name, '\\[([A-Za-z]{2})\\]', 1)) as tag, lower(name) as low, lower(coalesce(kind, '')) as typed from x)
-select k, case when contains(typed, 'option') then 'option' when contains(typed, 'stock') then 'equity' when typed <> '' then 'other' when tag = 'OP' then 'option' when tag = 'ST' then 'equity' when tag <> '' then 'other'
-when regexp_matches(low, '\\b(call|put|option)s?\\b') then 'option' when regexp_matches(low, '\\b(bond|note|fund|treasury|municipal)s?\\b') then 'other' when tk is not null then 'equity' else 'unknown' end as class from y""".replace("\\\\", "\\"))
+_IN = {k: ", ".join(f"'{x}'" for x in v) for k, v in (("o", G.OPTION), ("e", G.EQUITY), ("n", G.NON_EQUITY))}
+
+
+@query(rf"""with x as (select p_partkey as k, case p_partkey % 6 when 0 then 'Stock Option' when 1 then ' stock' when 2 then 'Corporate Bond' when 3 then 'Stocks' end as kind, case p_partkey % 5 when 0 then p_name || ' [OP]' when 1 then p_name || ' [sT]' when 2 then p_name || ' call option' when 3 then p_name || ' bonds' else p_name || ' [XX]' end as name, case when p_partkey % 7 > 2 then p_brand end as tk from part),
+y as (select *, upper(trim(kind)) as t, upper(regexp_extract(name, '\[(\w{{2}})\]', 1)) as tag from x),
+z as (select *, case when t in ({_IN["o"]}) then 'option' when t in ({_IN["e"]}) then 'equity' when t in ({_IN["n"]}) then 'non_equity' when tag in ({_IN["o"]}) then 'option' when tag in ({_IN["e"]}) then 'equity' when tag in ({_IN["n"]}) then 'non_equity'
+when regexp_matches(name, '(?i)\b(puts?|calls?|options?)\b') then 'option' when regexp_matches(name, '(?i)\b(treasur\w+|municipal|bonds?|etf|bitcoin)\b') then 'non_equity' end as found from y)
+select k, coalesce(found, case when tk is not null then 'equity' else 'unclassified' end) as class, found is null and tk is not null as inferred from z""".replace("\\\\", "\\"))
 def asset_class(spark, d):
     k, n = F.col("p_partkey"), F.col("p_name")
-    kind = F.when(k % 4 == 0, "Stock Option").when(k % 4 == 1, "Stocks")
-    name = F.when(k % 5 == 0, F.concat(n, F.lit(" [OP]"))).when(k % 5 == 1, F.concat(n, F.lit(" [ST]"))).when(k % 5 == 2, F.concat(n, F.lit(" call option"))).when(k % 5 == 3, F.concat(n, F.lit(" bonds"))).otherwise(n)
-    return table(spark, d, "part").select(k.alias("k"), G.asset_class(kind, name, F.when(k % 7 > 2, F.col("p_brand"))).alias("class"))
+    kind = F.when(k % 6 == 0, "Stock Option").when(k % 6 == 1, " stock").when(k % 6 == 2, "Corporate Bond").when(k % 6 == 3, "Stocks")
+    name = F.when(k % 5 == 0, F.concat(n, F.lit(" [OP]"))).when(k % 5 == 1, F.concat(n, F.lit(" [sT]"))).when(k % 5 == 2, F.concat(n, F.lit(" call option"))).when(k % 5 == 3, F.concat(n, F.lit(" bonds"))).otherwise(F.concat(n, F.lit(" [XX]")))
+    ticker = F.when(k % 7 > 2, F.col("p_brand"))
+    return table(spark, d, "part").select(k.alias("k"), G.asset_class(kind, name, ticker).alias("class"), G.asset_inferred(kind, name, ticker).alias("inferred"))
 
 
 @query("""with a as (select distinct year(l_shipdate)::int as year, l_suppkey as ticker from lineitem where l_quantity > 45), b as (select distinct year(l_shipdate)::int as year, l_suppkey as ticker from lineitem where l_discount > 0.09),

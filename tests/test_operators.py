@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import parsers, stats
 from tessella.functions import scalars as S
-from tessella.operators import combiner, cross_section, events, features, fundamentals, governance, graph, options, pit, portfolio, quality, text, ticks
+from tessella.operators import combiner, cross_section, events, features, fundamentals, governance, graph, looks, options, pit, portfolio, quality, text, ticks
 from tessella.plans import text_graph_queries
 from tessella.sources import readers
 from tessella.streaming import twins
@@ -227,6 +227,27 @@ def test_company_names(spark):
     assert {r[0]: r[1] for r in df.select("n", S.company_name(F.col("n"))).collect()} == names
 
 
+def test_permuted_draws_without_replacement(spark):
+    e = spark.createDataFrame([("A", d) for d in DAYS[:6]] + [("B", d) for d in DAYS[:9]], "ticker string, date date")
+    px = spark.createDataFrame([("A", d, 1.0) for d in DAYS[:20]] + [("B", d, 1.0) for d in DAYS[:4]] + [("B", DAYS[5], None)], "ticker string, date date, close double")
+    got = rows(looks.permuted(e, px, 3))
+    assert got == rows(looks.permuted(e, px, 3)) and len(set(got)) == len(got)
+    assert [t for t, _ in got].count("A") == 6 and {d for t, d in got if t == "B"} == set(DAYS[:4])
+
+
+def test_quintiles_pay_funding_and_cut_at_the_largest_rank(spark):
+    names = [f"s{i:02d}" for i in range(25)]
+    x = spark.createDataFrame([(n, DAYS[0], float(min(i, 19))) for i, n in enumerate(names)], "symbol string, date date, x double")
+    r = spark.createDataFrame([(n, d, 0.01 * i) for i, n in enumerate(names) for d in DAYS[:2]], "symbol string, date date, r double")
+    f = spark.createDataFrame([(n, DAYS[1], 0.001 * i) for i, n in enumerate(names)], "symbol string, date date, fund double")
+    day = {r.date: r for r in portfolio.rank_quintiles(x, r, funding=f).collect()}
+    # the six tied at the top share rank 22.5; from rank 18 up is long, up to 4.5 short
+    top, low = np.mean([i for i in range(17, 25)]), np.mean(range(4))
+    assert day[DAYS[0]].pnl == pytest.approx((0.01 - 0.001) * (top - low)) and day[DAYS[0]].traded == pytest.approx(2.0)
+    some = spark.createDataFrame([(n, DAYS[0]) for n in names[:19]], "symbol string, date date")
+    assert {r.date: r.traded for r in portfolio.rank_quintiles(x, r, universe=some).collect()}[DAYS[0]] == 0
+
+
 def test_edit_ratio_identity():
     r = random.Random(0)
     for _ in range(20):

@@ -266,18 +266,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([lid.filter(pa.array(ok, pa.bool_()))], ["lid"])
 
 
-def _made(docs: DataFrame, classes: Staged, lids: DataFrame) -> Staged:
-    """lid, items, n, sketch, at (doc_id, crc, line) of the classes named in lids."""
+def _made(docs: DataFrame, classes: Staged, lids: DataFrame) -> Bucketed:
+    """lid, items, n, sketch, at (doc_id, crc, line) of the classes named in lids, dealt out by lid: joins move pairs, not sets."""
     reps = lids.distinct().join(classes.df(), "lid").groupBy("doc_id", "crc").agg(F.collect_list(F.struct("lid", "line")).alias("wanted"))
     reps = Staged(reps, "reps")
     keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
     sets = keyed.join(small(reps, 96), ["doc_id", "crc"]).select("text", "wanted").mapInArrow(_sets, f"lid long, items binary, n int, {', '.join(f'{x} long' for x in _ODD)}").dropDuplicates(["lid"])
-    made = Staged(sets.join(classes.df().select("lid", F.struct("doc_id", "crc", "line").alias("at")), "lid"), "sets")
+    made = Bucketed(sets.join(classes.df().select("lid", F.struct("doc_id", "crc", "line").alias("at")), "lid"), "sets", "lid")
     reps.drop()
     return made
 
 
-def _late(pairs: DataFrame, made: Staged) -> Staged:
+def _late(pairs: DataFrame, made: Bucketed) -> Staged:
     """Classes (lid) that pairs (a, b) show to be similar to an earlier class."""
     x, y = (made.df().select(F.col("lid").alias(k), F.col("items").alias(f"items_{k}"), F.col("at").alias(f"at_{k}")) for k in "ab")
     both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(x, "a").join(y, "b")
@@ -330,12 +330,13 @@ def _matched(docs: DataFrame, classes: Staged, rows: Bucketed) -> Staged:
         met = met.select("p.a", "p.b", F.expr(f"({_far('x', 'y')}) / (x.n + y.n)").alias("far")).groupBy("a").agg(F.min(F.struct("far", "b")).alias("m"))
         state = _settled(state, _late(met.select("a", "m.b"), made))
     first = members.df().groupBy("lid").agg(F.collect_set("word").alias("k")).select("lid", F.slice(F.array_sort("k"), 1, KEYS).alias("k"))
-    known = members.df().join(small(facts, 128), "lid").join(small(state), "lid").join(first, "lid")
+    first = Staged(first, "first")
+    known = members.df().join(small(facts, 128), "lid").join(small(state), "lid").join(small(first, 128), "lid")
     # a pair that has common ones among its first keys is made at the least of those only
     once = "coalesce(x.word = array_min(array_intersect(x.k, y.k)), true)"
     both = known.alias("x").join(known.alias("y"), F.expr(f"x.word = y.word and not x.done and x.at > y.at and {_alike('x', 'y')} and {once}"))
     state = _settled(state, _late(both.select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b")), made))
-    for t in (near, close, made, facts, members):
+    for t in (near, close, made, facts, members, first):
         t.drop()
     return state
 
@@ -401,14 +402,18 @@ def remove_lines(docs: DataFrame) -> DataFrame:
     near = F.when(F.expr(_may("", "p").replace("p.", "p_")), F.struct(F.expr("cast(bit_count(odd ^ p_odd) as float) / (n + p_n)").alias("far"), F.col("p_lid").alias("b")))
     rows = rows.withColumn("near", near).select("word", "lid", "doc_id", "odd", "n", "place", "near")
     rows = Bucketed(rows, "prefixes", "word")
+    release(spark)
     state = _matched(keyed, classes, rows)
+    release(spark)
 
     # the pairs that are not both among those; one plan for both sides: the table is dealt out by word, so neither is shuffled while these classes are few
     x = rows.df().select("word", "lid", "doc_id", "odd", "n", "place").join(small(state), "lid", "left")
     both = x.alias("x").join(x.alias("y"), F.expr(f"x.word = y.word and x.lid <> y.lid and x.doc_id >= y.doc_id and (x.done is null or not x.done and y.done is null) and {_may('x', 'y')}"))
     pairs = Staged(both.select(F.least("x.lid", "y.lid").alias("a"), F.greatest("x.lid", "y.lid").alias("b")).distinct(), "pairs")
     made = _made(keyed, classes, pairs.df().select(F.col("a").alias("lid")).unionByName(pairs.df().select(F.col("b").alias("lid"))))
-    late, more = Staged(state.df().where("done").select("lid"), "late"), _late(pairs.df(), made)
+    known = made.df().select("lid", "n", *_ODD)
+    alike = pairs.df().alias("p").join(known.alias("x"), F.expr("p.a = x.lid")).join(known.alias("y"), F.expr("p.b = y.lid")).where(_alike("x", "y")).select("p.a", "p.b")
+    late, more = Staged(state.df().where("done").select("lid"), "late"), _late(alike, made)
     for t in (rows, state, pairs, made):
         t.drop()
 

@@ -15,19 +15,21 @@ repeated items or a small vocabulary, it adds up all terms. Only passages in whi
 reaches ``LEAST`` run through WAND, so nothing above the threshold is
 missed. An item is found in a text if, around a retrieving passage, at least
 ``OVERLAP`` of the word trigrams of its question and of its answer occur (of
-its words, where a part has fewer than ``SHORTEST``).
+its words, where a part has fewer than ``SHORTEST``). An item of fewer than
+``SHORTEST`` tokens is found only where all of it occurs word by word.
 
 A question ends at the first question mark; without one the last sentence
 (or, in a single sentence, the last third) is the answer.
 
 The index is broadcast in blocks of at most ``INDEX_TOKENS`` tokens of
-items, each a pass of its own with its own term statistics (as a shard of a
-search engine has), so its size is bounded whatever the benchmark.
+items, each a pass of its own, so its size is bounded whatever the benchmark.
+Term statistics are those of the whole benchmark (counted in Spark where it
+has several blocks), so scores and finds do not depend on the blocks.
 
 Letters of any alphabet are lower-cased on both sides.
 
-Cases: null and empty texts are clean; items without ``SHORTEST`` tokens are
-not indexed; null item_ids are named -1; repeated items all are named;
+Cases: null and empty texts are clean; items of fewer than ``GRAM``
+tokens have nothing to verify and are not indexed; null item_ids are named -1; repeated items all are named;
 repeated rows count as rows; a null doc_id keeps its row; extra columns are
 kept by ``mark``; without items or without texts nothing is found.
 """
@@ -46,14 +48,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .staging import bounded
+from .staging import Staged, bounded
 
 SEGMENT, PASSAGE, STRIDE = 64, 128, 64
 BLOCK = 32
 K1, B = 1.2, 0.75
 LEAST = 0.6
 OVERLAP = 0.5
-SHORTEST = 8
+SHORTEST = 8  # tokens of an item or part that is verified by its trigrams
+GRAM = 3
 RARE_SHARE = 0.05  # terms of at most this share of the segments feed the bound
 SURE = 1 - 1e-6  # of LEAST, for rounding
 POSTINGS = 1 << 20  # of the bound, expanded at a time
@@ -89,39 +92,78 @@ def question_and_answer(text: str) -> tuple[str, str]:
 
 def _side(t: np.ndarray) -> tuple[int, np.ndarray]:
     """(length, distinct grams) that a question or answer is verified by."""
-    k = 3 if len(t) >= SHORTEST else 1
+    k = GRAM if len(t) >= SHORTEST else 1
     return k, np.unique(K.gram_hashes(t, k))
 
 
+def segments(t: np.ndarray) -> list[np.ndarray]:
+    """Of an item's tokens; the last one ends with the item."""
+    if len(t) < GRAM:
+        return []
+    return [t[lo : lo + SEGMENT] for lo in (min(s, max(0, len(t) - SEGMENT)) for s in range(0, len(t), SEGMENT))]
+
+
+def _segment_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per segment and distinct term, and one per segment with its length."""
+    for batch in batches:
+        for text in batch.column(0):
+            for s in segments(token_list(text.as_py())):
+                own = np.unique(s)
+                yield pa.RecordBatch.from_arrays([pa.array([None, *K.signed(own).tolist()], pa.int64()), pa.array([len(s)] + [1] * len(own), pa.int64())], ["term", "n"])
+
+
+class Terms:
+    """Of a benchmark of several blocks: number and mean length of its segments, and their numbers by term, as a table."""
+
+    def __init__(self, benchmark: DataFrame):
+        rows = benchmark.select("text").where("text is not null").mapInArrow(_segment_terms, "term long, n long")
+        counts = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("length"))
+        self.table = Staged(counts, "terms")
+        every = self.table.df().where("term is null").first()
+        self.n, self.mean = (every.df, every.length / every.df) if every else (0, 0.0)
+
+    def of(self, terms: list[int]) -> dict[int, int]:
+        """Numbers of segments of the terms of one block."""
+        own = np.array(terms, _U)
+        ask = self.table.spark.createDataFrame(pa.table({"term": pa.array(K.signed(own))}))
+        got = self.table.df().join(ask, "term").select("term", "df").toPandas()
+        return dict(zip(got["term"].to_numpy(np.int64).view(_U).tolist(), got["df"].tolist()))
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]]):
-        self.item, self.parts, segments = [], [], []
+    """Of items (item_id, text); ``whole`` has the statistics of all blocks where these are not all items."""
+
+    def __init__(self, items: list[tuple[int, str]], whole: Terms | None = None):
+        self.item, self.parts, cut = [], [], []
         for name, text in items:
             t = token_list(text)
-            if len(t) < SHORTEST:
+            mine = segments(t)
+            if not mine:
                 continue
-            q, a = (token_list(x) for x in question_and_answer(text))
-            self.parts.append((name, len(t), [_side(x) for x in (q, a) if len(x)]))
-            n = -(-len(t) // SEGMENT)
-            for s in range(n):
-                lo = min(s * SEGMENT, max(0, len(t) - SEGMENT))
-                segments.append(t[lo : lo + SEGMENT])
-                self.item.append(len(self.parts) - 1)
-        self.n = len(segments)
-        df = Counter(x for s in segments for x in set(s.tolist()))
-        mean = sum(map(len, segments)) / max(1, self.n)
+            if len(t) < SHORTEST:
+                sides = [(len(t), K.gram_hashes(t, len(t)))]
+            else:
+                sides = [_side(x) for x in map(token_list, question_and_answer(text)) if len(x)]
+            self.parts.append((name, len(t), sides))
+            cut += mine
+            self.item += [len(self.parts) - 1] * len(mine)
+        self.n = len(cut)
+        here = Counter(x for s in cut for x in set(s.tolist()))
+        df, n, mean = here, self.n, sum(map(len, cut)) / max(1, self.n)
+        if whole:
+            df, n, mean = whole.of(list(here)), whole.n, whole.mean
         found: dict[int, list] = defaultdict(list)
         met: dict[int, list] = defaultdict(list)  # the postings that feed the bound
         self.rest = np.zeros(self.n)
-        for i, s in enumerate(segments):
+        for i, s in enumerate(cut):
             score = {}
             for x, tf in Counter(s.tolist()).items():
-                idf = math.log(1 + (self.n - df[x] + 0.5) / (df[x] + 0.5))
+                idf = math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5))
                 score[x] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(s) / mean))
             whole = sum(score.values())
             for x, v in score.items():
                 found[x].append((i, v / whole))
-            fed = {x for x in score if df[x] <= self.rare()}
+            fed = {x for x in score if here[x] <= self.rare()}
             rest = sum(v for x, v in score.items() if x not in fed)
             if rest >= SURE * LEAST * whole:  # its common terms alone might reach LEAST: all of its terms feed the bound
                 fed, rest = set(score), 0.0
@@ -246,7 +288,7 @@ def _seek(ids: list[int], at: int, doc: int) -> int:
     return bisect_left(ids, doc, at)
 
 
-def _mark(index, width: int):
+def _mark(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
         for batch in batches:
@@ -267,44 +309,49 @@ def _mark(index, width: int):
 
 
 def index_blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of at most INDEX_TOKENS tokens of items each, streamed from the table."""
-    block, size = [], 0
+    """Indexes of at most INDEX_TOKENS tokens of items each (or one longer item), streamed from the table; one, empty, without items."""
+    block, size, whole = [], 0, None
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("i"), "text").where("text is not null").orderBy("i", "text")
     for r in rows.toLocalIterator():
-        n = len(r.text.split()) + 1
+        n = len(token_list(r.text))
         if block and size + n > INDEX_TOKENS:
-            yield Index(block)
+            whole = whole or Terms(benchmark)
+            yield Index(block, whole)
             block, size = [], 0
         block.append((r.i, r.text))
         size += n
-    yield Index(block)
-
-
-def mark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with n_passages, best_score, items (item_ids found) and contaminated added."""
-    bounded(docs.sparkSession)
-    names = docs.columns
-    out = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), docs["text"].alias("t"))
-    kind = out.schema["row"].dataType.simpleString()
-    for k, ix in enumerate(index_blocks(benchmark)):
-        if k:  # further blocks of a large benchmark: one pass each, over rows that carry what was found
-            kind = out.select(F.struct("row", "n_passages", "best_score", "items").alias("row")).schema["row"].dataType.simpleString()
-            out = out.select(F.struct("row", "n_passages", "best_score", "items").alias("row"), F.col("row").getField("text").alias("t"))
-        out = out.mapInArrow(_mark(docs.sparkSession.sparkContext.broadcast(ix), k), f"row {kind}, n_passages long, best_score double, items array<long>")
-        if k:
-            out = out.select(F.col("row.row").alias("row"), "n_passages", F.greatest("best_score", "row.best_score").alias("best_score"), F.array_sort(F.concat("items", "row.items")).alias("items"))
-            kind = out.schema["row"].dataType.simpleString()
+    yield Index(block, whole)
+    if whole:
+        whole.table.drop()
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The columns of docs (or those to keep) with n_passages, best_score, items (item_ids found) and contaminated added."""
+    spark = bounded(docs.sparkSession)
+    names = keep or docs.columns
+    blocks = index_blocks(benchmark)
+    ix, ahead = next(blocks), next(blocks, None)
+    carried = names if ahead is None else list(dict.fromkeys([*names, "text"]))
+    out = docs.select(F.struct(*(docs[c] for c in carried)).alias("row"), docs["text"].alias("t"))
+    schema = f"row {out.schema['row'].dataType.simpleString()}, n_passages long, best_score double, items array<long>"
+    index, before = spark.sparkContext.broadcast(ix), None
+    out = out.mapInArrow(_mark(index), schema)
+    while ahead is not None:  # one pass and one index at a time, over rows that carry what was found
+        done = Staged(out, "found")
+        index.destroy()
+        if before:
+            before.drop()
+        before, ix, ahead = done, ahead, next(blocks, None)
+        index = spark.sparkContext.broadcast(ix)
+        rows = done.df().select(F.struct("row", "best_score", "items").alias("row"), F.col("row.text").alias("t"))
+        rows = rows.mapInArrow(_mark(index), f"row {rows.schema['row'].dataType.simpleString()}, n_passages long, best_score double, items array<long>")
+        out = rows.select(F.col("row.row").alias("row"), "n_passages", F.greatest("best_score", "row.best_score").alias("best_score"), F.array_sort(F.concat("items", "row.items")).alias("items"))
     return out.select(*(F.col("row").getField(c).alias(c) for c in names), "n_passages", "best_score", "items", (F.size("items") > 0).alias("contaminated"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = bounded(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    blocks = list(index_blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    if len(blocks) > 1:
-        out = mark(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-        return out.select("doc_id", "n_passages", F.round("best_score", 6).alias("best_score"), "items", "contaminated")
-    out = docs.select("doc_id", "text").mapInArrow(_mark(spark.sparkContext.broadcast(blocks[0]), 0), "row long, n_passages long, best_score double, items array<long>")
-    return out.select(F.col("row").alias("doc_id"), "n_passages", F.round("best_score", 6).alias("best_score"), "items", (F.size("items") > 0).alias("contaminated"))
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return mark(docs, items, ["doc_id"]).withColumn("best_score", F.round("best_score", 6))
 
 
 QUERIES = {"op2_decontaminate": op2_decontaminate}

@@ -97,11 +97,25 @@ def test_leaks_are_found_and_clean_texts_left(spark, monkeypatch):
         assert out[i].contaminated == (i in truth), i
         if i in truth:
             assert truth[i] in out[i]["items"]
-    monkeypatch.setattr(D, "INDEX_TOKENS", 900)  # several blocks, each with term statistics of its own
-    assert len(list(D.index_blocks(bench))) > 1
+    monkeypatch.setattr(D, "INDEX_TOKENS", 900)  # several blocks, with the term statistics of all
+    assert len(list(D.index_blocks(bench))) > 2
     many = {r.doc_id: r for r in D.mark(df, bench).collect()}
-    assert not any(many[i].contaminated for i, _ in docs if i not in truth)
-    assert sum(many[i].contaminated for i in truth) >= 0.95 * len(truth)
+    for i, _ in docs:
+        assert (many[i]["items"], many[i].n_passages, many[i].row) == (out[i]["items"], out[i].n_passages, out[i].row), i
+        assert abs(many[i].best_score - out[i].best_score) < 1e-9
+
+
+def test_short_items_are_found_word_by_word(spark, monkeypatch):
+    r = random.Random(6)
+    filler = lambda: " ".join(r.choices([f"w{i}" for i in range(4000)], k=150))
+    items = [(1, "Who wrote Hamlet? Shakespeare."), (2, "a b c"), (3, "one two"), (4, "x"), (5, filler())]
+    docs = [filler() + " who WROTE hamlet? shakespeare, " + filler(), filler() + " hamlet wrote who shakespeare " + filler(), filler() + " a, b; c " + filler(), filler() + " a b x c one two x " + filler(), "a b c"]
+    want = [[1], [], [2], [], [2]]
+    for size in (D.INDEX_TOKENS, 6):
+        monkeypatch.setattr(D, "INDEX_TOKENS", size)
+        out = D.mark(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"])
+        assert out.columns == ["doc_id", "n_passages", "best_score", "items", "contaminated"]
+        assert [x["items"] for x in sorted(out.collect())] == want
 
 
 def test_empty_tables(spark):

@@ -5,8 +5,8 @@ bigrams (A-Z lower-cased), over all of it. Linear support vector machines
 (squared hinge, dual coordinate descent) are trained one against one, on
 families first and then on the languages of each family; votes decide, ties
 by the sum of margins. Training rows: at most ``TRAIN_ROWS`` labelled rows
-in all, drawn evenly per language by a hash of doc_id, never a held-out one
-(crc32 of the id's text divisible by 5). Statistics beyond that bounded
+in all (in expectation), drawn evenly per language by a hash of doc_id and
+text, repeated ones once, never a held-out one (crc32 of the id's text divisible by 5). Statistics beyond that bounded
 sample are not needed.
 
 The score is the chance that the narrowest family decision and the narrowest
@@ -188,11 +188,11 @@ def train(docs: DataFrame) -> Model | None:
     if not count:
         return None
     each = max(10, TRAIN_ROWS // len(count))
-    draw = F.pmod(F.xxhash64(F.lit(99), "doc_id"), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64(F.lit(99), "doc_id", "text"), F.lit(1 << 30))
     chosen = F.lit(False)
     for v, n in sorted(count.items()):
         chosen = chosen | ((F.col("lang") == v) & (draw < int(min(1.0, each / n) * (1 << 30)) + 1))
-    got = rows.where(chosen & F.col("text").isNotNull()).mapInArrow(_sample, "doc_id long, lang string, x binary").limit(2 * TRAIN_ROWS + 20 * len(count)).collect()
+    got = rows.where(chosen & F.col("text").isNotNull()).mapInArrow(_sample, "doc_id long, lang string, x binary").distinct().collect()  # repeated rows are drawn together and train once
     got.sort(key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, bytes(r.x)))
     if not got:
         return None

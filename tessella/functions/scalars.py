@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def division(code: Column, ranges: list[tuple[int, int, str]]) -> Column:
@@ -81,10 +85,15 @@ GROUP_TAIL = r"\s+AND\s+(?:ITS\s+|THEIR\s+)?(?:GLOBAL\s+|CONTROLLED\s+|WHOLLY\s+
 GOVERNMENT = r"^(?:U ?S |UNITED STATES |FEDERAL )(?:FEDERAL )?GOVERNMENT(?: AGENCIES| ENTITIES| AND ITS AGENCIES)?$"
 
 
+@F.pandas_udf(StringType())
+def _nfkc(names: pd.Series) -> pd.Series:
+    return names.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+
+
 def company_name(name: Column) -> Column:
-    """Upper case, without parentheses, a state marker (``/DE/``) at the end, punctuation, the tail that names a group, legal
-    suffixes (never the last word left) and leading THE; names of the government are one. Unicode forms are not folded."""
-    x = F.regexp_replace(F.upper(F.translate(name, "\u2019\u2018\u201c\u201d", "''\"\"")), r"\([^)]*\)", " ")
+    """NFKC form in upper case, without parentheses, a state marker (``/DE/``) at the end, punctuation, the tail that names a group, legal
+    suffixes (never the last word left) and leading THE; names of the government are one."""
+    x = F.regexp_replace(F.upper(F.translate(_nfkc(name), "\u2019\u2018\u201c\u201d", "''\"\"")), r"\([^)]*\)", " ")
     x = F.regexp_replace(F.regexp_replace(x, r"/\s*[A-Z]{2,3}\s*/?\s*$", " "), r"[/ ]+$", "")
     x = F.regexp_replace(F.regexp_replace(x, "[.']", ""), '[,"\u2013\u2014/-]', " ")
     x = F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+", " ")), GROUP_TAIL, "")

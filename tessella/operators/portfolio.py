@@ -154,13 +154,13 @@ def report(daily: DataFrame, year_days: int = 252) -> DataFrame:
     return base.crossJoin(best)  # one row each
 
 
-def rank_quintiles(signal: DataFrame, rets: DataFrame, q: int = 5, least: int = 20, universe: DataFrame | None = None, funding: DataFrame | None = None) -> DataFrame:
-    """(date, pnl, traded): equal-weight top less bottom quintile by average rank, next row's return less next row's funding; trades against drifted weights.
+def _quintile_grid(signal: DataFrame, rets: DataFrame, q: int, least: int, universe: DataFrame | None, funding: DataFrame | None) -> DataFrame:
+    """(symbol, date, w, nr, old): weights, next row's return less next row's funding, weights drifted from the row before.
 
     signal: (symbol, date, x), rets: (symbol, date, r); universe: the (symbol,
     date) that are ranked; funding: (symbol, date, fund). The quintiles are cut
-    at shares of the day's largest rank, which ties at the top lower. Days
-    where it is under ``least`` hold nothing.
+    at shares of the day's largest average rank, which ties at the top lower.
+    Days where it is under ``least`` hold nothing.
     """
     x = Window.partitionBy("date")
     s = signal.where("x is not null")
@@ -174,10 +174,22 @@ def rank_quintiles(signal: DataFrame, rets: DataFrame, q: int = 5, least: int =
     t = Window.partitionBy("symbol").orderBy("date")
     grid = grid.join(funding, ["symbol", "date"], "left") if funding is not None else grid.withColumn("fund", F.lit(0.0))
     grid = grid.withColumn("nr", F.coalesce(F.lead("r").over(t), F.lit(0.0)) - F.coalesce(F.lead("fund").over(t), F.lit(0.0)))
-    grid = grid.withColumn("old", F.coalesce(F.lag("w").over(t) * (1 + F.col("r")), F.lit(0.0)))
+    return grid.withColumn("old", F.coalesce(F.lag("w").over(t) * (1 + F.col("r")), F.lit(0.0))).select("symbol", "date", "w", "nr", "old")
+
+
+def rank_quintiles(signal: DataFrame, rets: DataFrame, q: int = 5, least: int = 20, universe: DataFrame | None = None, funding: DataFrame | None = None) -> DataFrame:
+    """(date, pnl, traded): equal-weight top less bottom quintile by average rank, of the tables of ``_quintile_grid``; trades against drifted weights."""
+    grid = _quintile_grid(signal, rets, q, least, universe, funding)
     return grid.groupBy("date").agg(F.sum(F.col("w") * F.col("nr")).alias("pnl"), F.sum(F.abs(F.col("w") - F.col("old"))).alias("traded"))
 
 
+def sleeve(signal: DataFrame, rets: DataFrame, betas: DataFrame, cost: float = 5e-4, q: int = 5, least: int = 20, universe: DataFrame | None = None, funding: DataFrame | None = None) -> DataFrame:
+    """(date, ret, beta) of the days on which a quintile book holds something: return after ``cost`` a unit traded, and its names' betas (symbol, date, beta), unknown ones 0."""
+    grid = _quintile_grid(signal, rets, q, least, universe, funding).join(betas, ["symbol", "date"], "left")
+    day = grid.groupBy("date").agg(F.sum(F.col("w") * F.col("nr")).alias("pnl"), F.sum(F.abs(F.col("w") - F.col("old"))).alias("traded"), F.coalesce(F.sum(F.col("w") * F.col("beta")), F.lit(0.0)).alias("beta"), F.sum(F.abs("w")).alias("gross"))
+    return day.where("gross > 0").select("date", (F.col("pnl") - F.col("traded") * cost).alias("ret"), "beta")
+
+
 def rolling_beta(rets: DataFrame, market: DataFrame, n: int = 60, least: int | None = None) -> DataFrame:
     """(symbol, date, beta): framed covariance over variance against market (date, m), on rows where both are known."""
     j = rets.join(F.broadcast(market), "date").withColumn("_r", F.when(F.col("m").isNotNull(), F.col("r"))).withColumn("_m", F.when(F.col("r").isNotNull(), F.col("m")))
@@ -210,12 +222,26 @@ def attribution(pnl: DataFrame, factors: DataFrame, names: list[str], lags: int
     return {"ok": True, "n": len(rows), "alpha": float(fit["beta"][0]), "alpha_t": float(fit["t"][0]), "loadings": dict(zip(names, fit["beta"][1:].tolist())), "loading_t": dict(zip(names, fit["t"][1:].tolist())), "r2": fit["r2"], "ir": float(fit["beta"][0] / fit["resid_std"] * math.sqrt(252)) if fit["resid_std"] > 0 else None}
 
 
-def combine_sleeves(sleeves: DataFrame, target_vol: float = 0.1, n: int = 60, max_leverage: float = 2.0, year_days: int = 365) -> DataFrame:
-    """(date, ret): sleeves (sleeve, date, ret) weighted by inverse volatility, scaled to a target volatility known the day before."""
-    sd = sleeves.groupBy("sleeve").agg(F.stddev_samp("ret").alias("_sd"))  # one row per sleeve
+def combine_sleeves(sleeves: DataFrame, market: DataFrame, target_vol: float = 0.15, n: int = 30, max_leverage: float = 3.0, cost: float = 5e-4, year_days: int = 365) -> DataFrame:
+    """(date, raw, hedged, ret): sleeves (sleeve, date, ret, beta) weighted by inverse volatility, hedged and scaled to a target volatility.
+
+    Only days on which every sleeve has a return count. The hedge sells the
+    book's beta in the market (date, m: the market's next return) and pays
+    ``cost`` for changes of it; leverage is that of the n hedged days before,
+    at most ``max_leverage``, and its changes pay ``cost`` on two units. Days
+    before the first leverage, and days without m, are left out of ret.
+    """
+    rows = sleeves.where("ret is not null")
+    every = F.broadcast(rows.agg(F.count_distinct("sleeve").alias("_k")))  # one row
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("date"))).join(every, F.col("_n") == F.col("_k"))
+    sd = rows.groupBy("sleeve").agg(F.stddev_samp("ret").alias("_sd"))  # one row per sleeve
     w = sd.where("_sd > 0").select("sleeve", (1 / F.col("_sd")).alias("_i")).withColumn("weight", F.col("_i") / F.sum("_i").over(Window.partitionBy(F.lit(1))))
-    day = sleeves.join(F.broadcast(w), "sleeve").groupBy("date").agg(F.sum(F.col("ret") * F.col("weight")).alias("raw"))
+    day = rows.join(F.broadcast(w), "sleeve").groupBy("date").agg(F.sum(F.col("ret") * F.col("weight")).alias("raw"), F.sum(F.col("beta") * F.col("weight")).alias("_b"))
+    day = day.join(F.broadcast(market), "date", "left")
     t = Window.orderBy("date")  # one row per day
-    vol = rolling(F.stddev_samp, "raw", t, n, lag=1) * math.sqrt(year_days)
-    lev = F.least(F.lit(max_leverage), target_vol / F.nullif(vol, F.lit(0.0)))
-    return day.select("date", (F.col("raw") * F.coalesce(lev, F.lit(1.0))).alias("ret"))
+    turned = F.coalesce(F.abs(F.col("_b") - F.lag("_b").over(t)), F.lit(0.0))
+    day = day.withColumn("hedged", F.col("raw") - F.col("_b") * F.col("m") - turned * cost)
+    day = day.withColumn("_v", rolling(F.stddev_samp, "hedged", t, n, lag=1) * math.sqrt(year_days))
+    day = day.withColumn("_l", F.when(F.col("_v") > 0, F.least(F.lit(max_leverage), target_vol / F.col("_v"))).when(F.col("_v") == 0, max_leverage))
+    paid = F.coalesce(F.abs(F.col("_l") - F.lag("_l").over(t)), F.lit(0.0)) * 2 * cost
+    return day.select("date", "raw", "hedged", (F.col("hedged") * F.col("_l") - paid).alias("ret"))

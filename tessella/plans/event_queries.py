@@ -212,8 +212,31 @@ def ff_ols(spark, d):
     return spark.createDataFrame([row], "n long, alpha double, mkt double, smb double, r2 double")
 
 
-@query()
+@query(f"""with {CRYPTO}, m as (select date, r as m from rt where symbol = 0),
+j as (select rt.symbol, date, case when m is not null then r end as r, case when r is not null then m end as m from rt join m using (date)),
+bt as (select symbol, date, case when count(r) over w >= 12 then covar_samp(r, m) over w / nullif(var_samp(m) over w, 0) end as beta from j window w as (partition by symbol order by date rows between 11 preceding and current row)),
+s as (select 'reversal' as sleeve, symbol, date, round(-r, 9) as x from rt where r is not null union all select 'size', symbol, date, round(value, 2) from rt),
+k as (select *, max(rk) over (partition by sleeve, date) as n from (select *, rank() over (partition by sleeve, date order by x) + (count(*) over (partition by sleeve, date, x) - 1) / 2.0 as rk from s)),
+e as (select *, case when n < 20 then 0 when rk >= n * (1 - 1.0 / 5) then 1 when rk <= n / 5.0 then -1 else 0 end as side from k),
+h as (select sleeve, symbol, date, case when side <> 0 then side * 1.0 / count(*) over (partition by sleeve, date, side) else 0.0 end as w from e),
+g as (select l.sleeve, rt.symbol, rt.date, r, coalesce(w, 0) as w, beta from rt cross join (values ('reversal'), ('size')) l(sleeve) left join h on h.sleeve = l.sleeve and h.symbol = rt.symbol and h.date = rt.date left join bt on bt.symbol = rt.symbol and bt.date = rt.date),
+t as (select *, coalesce(lead(r) over o, 0) as nr, coalesce(lag(w) over o * (1 + r), 0) as old from g window o as (partition by sleeve, symbol order by date)),
+b as (select sleeve, date, sum(w * nr) - 0.0005 * sum(abs(w - old)) as ret, coalesce(sum(w * beta), 0) as beta from t group by 1, 2 having sum(abs(w)) > 0),
+f as (select * from b qualify count(*) over (partition by date) = (select count(distinct sleeve) from b)),
+iv as (select sleeve, (1 / stddev_samp(ret)) / sum(1 / stddev_samp(ret)) over () as v from f group by 1),
+d as (select date, sum(ret * v) as raw, sum(beta * v) as bb from f join iv using (sleeve) group by 1),
+nm as (select date, lead(m) over (order by date) as m from m),
+z as (select date, raw, raw - bb * m - coalesce(abs(bb - lag(bb) over (order by date)), 0) * 0.0005 as hedged from d left join nm using (date)),
+v as (select *, case when count(hedged) over w = 12 then stddev_samp(hedged) over w * sqrt(12) end as vol from z window w as (order by date rows between 12 preceding and 1 preceding)),
+l as (select *, case when vol > 0 then least(3.0, 0.15 / vol) when vol = 0 then 3.0 end as lev from v)
+select date, round(raw, 6) + 0.0 as raw, round(hedged, 6) + 0.0 as hedged, round(hedged * lev - coalesce(abs(lev - lag(lev) over (order by date)), 0) * 2 * 0.0005, 6) + 0.0 as ret from l""")
 def sleeve_combo(spark, d):
+    from pyspark.sql import Window
+
     p = crypto(spark, d)
-    legs = [B.rank_quintiles(p.select("symbol", "date", x.alias("x")), p.select("symbol", "date", "r")).select(F.lit(n).alias("sleeve"), "date", F.col("pnl").alias("ret")) for n, x in (("reversal", -F.col("r")), ("size", F.col("value")))]
-    return B.combine_sleeves(legs[0].unionByName(legs[1]), n=12, year_days=12)
+    rets, market = p.select("symbol", "date", "r"), p.where("symbol = 0").select("date", F.col("r").alias("m"))
+    betas = B.rolling_beta(rets, market, 12)
+    legs = [B.sleeve(p.select("symbol", "date", x.alias("x")), rets, betas).select(F.lit(n).alias("sleeve"), "date", "ret", "beta") for n, x in (("reversal", F.round(-F.col("r"), 9)), ("size", F.round("value", 2)))]
+    after = market.select("date", F.lead("m").over(Window.orderBy("date")).alias("m"))  # one row per date
+    out = B.combine_sleeves(legs[0].unionByName(legs[1]), after, n=12, year_days=12)
+    return out.select("date", *((F.round(c, 6) + 0.0).alias(c) for c in ("raw", "hedged", "ret")))

@@ -221,8 +221,26 @@ def test_windows_of_early_triggers(spark):
     assert rows(events.trading_windows(t, cal, 3)) == [("B", DAYS[0], DAYS[2])]
 
 
+def test_sleeves_are_hedged_and_scaled(spark):
+    r = random.Random(3)
+    days = DAYS[:20]
+    a, b, m = ([r.gauss(0, 0.01) for _ in days] for _ in range(3))
+    beta = [r.gauss(0.2, 0.1) for _ in days]
+    table = [("a", d, x, y) for d, x, y in zip(days, a, beta)] + [("b", d, x, 0.0) for d, x in zip(days[1:], b[1:])]
+    got = portfolio.combine_sleeves(spark.createDataFrame(table, "sleeve string, date date, ret double, beta double"), spark.createDataFrame(list(zip(days[:-1], m)), "date date, m double"), n=5).orderBy("date").toPandas()
+    net = pd.DataFrame({"a": a[1:], "b": b[1:]})
+    w = (1 / net.std()) / (1 / net.std()).sum()
+    raw, book = (net * w).sum(axis=1), pd.Series(beta[1:]) * w["a"]
+    market = pd.Series([*m[1:-1], np.nan])
+    hedged = raw - book * market - book.diff().abs().fillna(0) * 5e-4
+    lev = (0.15 / (hedged.rolling(5).std() * np.sqrt(365))).clip(upper=3.0).shift(1)
+    want = hedged * lev - lev.diff().abs().fillna(0) * 2 * 5e-4
+    assert len(got) == 19 and np.allclose(got["ret"], want, equal_nan=True) and np.allclose(got["hedged"], hedged, equal_nan=True)
+    assert want.notna().sum() == 13
+
+
 def test_company_names(spark):
-    names = {"The Acme Holdings, Inc.": "ACME HOLDINGS", "Foo & Co., Ltd.": "FOO", "U.S. Government and its Agencies": "US GOVERNMENT", "Bar Corp /DE/": "BAR", "Baz-Qux (a unit) and its affiliates": "BAZ QUX", "Inc.": "INC", "The": "THE"}
+    names = {"The Acme Holdings, Inc.": "ACME HOLDINGS", "Foo & Co., Ltd.": "FOO", "U.S. Government and its Agencies": "US GOVERNMENT", "Bar Corp /DE/": "BAR", "Baz-Qux (a unit) and its affiliates": "BAZ QUX", "Inc.": "INC", "The": "THE", "Ｆｏｏ\u00a0Ｃｏ． Ltd": "FOO", None: None}
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert {r[0]: r[1] for r in df.select("n", S.company_name(F.col("n"))).collect()} == names
 

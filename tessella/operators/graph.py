@@ -75,11 +75,17 @@ def decayed_score(events: DataFrame, grid: DataFrame, months: int = 12, decay: f
     """(ticker, date, score): mean of event scores in the trailing months, weighted by decay ** (days / 30.44); 0 without an event.
 
     grid: (ticker, date) of covered tickers; events: (ticker, event_date, score).
+
+    A ticker's dates and its events, summed by day, are sorted together, so a date reads its own window only and
+    nothing is joined. In (year, month, day) counted as one number with 32 days a month the trailing months are
+    a range of fixed length, also where add_months would cut the day.
     """
-    month = lambda c: F.year(c) * 12 + F.month(c)
-    # an event reaches the grid's dates of its own and the next ``months`` months only
-    reach = events.withColumn("_m", F.explode(F.sequence(month("event_date"), month("event_date") + months)))
-    j = grid.withColumn("_m", month("date")).join(reach, ["ticker", "_m"], "left")
-    inside = (F.col("event_date") <= F.col("date")) & (F.col("event_date") > F.add_months("date", -months))
-    w = F.when(inside, F.pow(F.lit(decay), F.datediff("date", "event_date") / 30.44))
-    return j.groupBy("ticker", "date").agg(F.coalesce(F.sum(w * F.col("score")) / F.sum(w), F.lit(0.0)).alias("score"))
+    place = lambda c: (F.year(c) * 12 + F.month(c)) * 32 + F.dayofmonth(c)
+    day = events.where("ticker is not null and event_date is not null").groupBy("ticker", F.col("event_date").alias("date"))
+    day = day.agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("ticker").orderBy("_at").rangeBetween(1 - 32 * months, 0)
+    rows = grid.select("ticker", "date").unionByName(day, allowMissingColumns=True).withColumn("_at", place("date"))
+    rows = rows.withColumn("_seen", F.collect_list(F.when(F.col("_n").isNotNull(), F.struct("date", "_s", "_n"))).over(w)).where("_n is null")
+    total = lambda c: F.aggregate("_seen", F.lit(0.0), lambda a, x: a + F.pow(F.lit(decay), F.datediff("date", x["date"]) / 30.44) * x[c])
+    out = rows.select("ticker", "date", F.coalesce(total("_s") / F.nullif(total("_n"), F.lit(0.0)), F.lit(0.0)).alias("score"))
+    return out.groupBy("ticker", "date").agg(F.first("score").alias("score"))  # a date asked twice; dealt out by ticker already

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..functions.windows import median, over_time, rolling
+from ..functions.windows import known, median, over_time, rolling
 
 
 @dataclass(frozen=True)
@@ -51,95 +52,153 @@ def capped(weights: pd.Series, cap: float) -> pd.Series:
 BOOK = "date date, gross double, net double, long double, short double, turnover double, trading_cost double, borrow_cost double, names int"
 
 
-def _segments(close: np.ndarray, opens: np.ndarray, last_row: np.ndarray, trades: list[tuple[int, np.ndarray]], costs: Costs, at_open: bool) -> dict[str, np.ndarray]:
-    """Daily series of a book that changes only at ``trades`` (row, target weights).
+def _path(days: int, spans: list[tuple[int, int]], sums: dict[str, np.ndarray], costs: Costs) -> tuple[dict[str, np.ndarray], list[float]]:
+    """Daily series (all but what trades cost) and, per span, by what its book's value grows up to the next trade.
 
-    Between two trades shares are constant, so a segment's profit is one
-    matrix product of price changes and shares; only segments are walked.
+    spans: (first day, day of the next trade or ``days``); sums: per span, day and sign of the weights the gain, change
+    of value and of names for a book of one at the span's start (columns span, day, up, g, v, n).
     """
-    days = len(close)
-    out = {k: np.zeros(days) for k in ("long", "short", "traded", "value", "short_value", "names")}
-    shares, cash_base = np.zeros(close.shape[1]), 1.0
-    nav = np.ones(days)
-    done: np.ndarray | None = None
-    plan = [(r, w) for r, w in trades if r < days]
-    cuts = [r for r, _ in plan] + [days]
-    for k, (row, target) in enumerate(plan):
-        price = opens[row] if at_open else close[row]
-        if k:
-            gain = shares * (price - close[row - 1])  # what the old shares earn up to the trade
-            out["long"][row] += gain[shares > 0].sum()
-            out["short"][row] += gain[shares < 0].sum()
-            cash_base = nav[row - 1] + gain.sum()
-        if done is None or not np.array_equal(target, done):
-            held = np.where(last_row >= row, shares * price, 0.0) / cash_base  # a name past its last price is cash
-            out["traded"][row] = np.abs(target - held).sum()
-            shares = np.divide(target * cash_base, price, out=np.zeros_like(price), where=target != 0)
-            done = target
-        stop = cuts[k + 1]
-        path = np.vstack([price, close[row:stop]])
-        gain = np.diff(path, axis=0) * shares
-        out["long"][row:stop] += gain[:, shares > 0].sum(axis=1)
-        out["short"][row:stop] += gain[:, shares < 0].sum(axis=1)
-        nav[row:stop] = cash_base + np.cumsum(gain.sum(axis=1))
-        alive = last_row[None, :] >= np.arange(row, stop)[:, None]
-        out["short_value"][row:stop] = -np.where(alive & (shares < 0), shares * close[row:stop], 0.0).sum(axis=1)
-        out["names"][row:stop] = (alive & (shares != 0)).sum(axis=1)
+    out = {k: np.zeros(days) for k in ("long", "short", "short_value", "names")}
+    nav, base, growth = np.ones(days + 1), 1.0, []
+    for k, (first, stop) in enumerate(spans):
+        own = sums["span"] == k
+        by = {}
+        for up in (True, False):
+            some = own & (sums["up"] == up)
+            for c in "gvn":
+                by[c, up] = np.zeros(stop - first + 1)
+                np.add.at(by[c, up], sums["day"][some] - first, sums[c][some])
+        g = by["g", True] + by["g", False]
+        for up in (True, False):
+            side = "long" if up == (base > 0) else "short"  # a book below nothing holds the other way round
+            reach = min(stop + 1, days)  # what the shares earn up to the next trade counts on its day
+            out[side][first:reach] += base * by["g", up][: reach - first]
+            held = np.cumsum(by["n", up])[:-1]
+            out["names"][first:stop] += held
+            if side == "short":
+                out["short_value"][first:stop] = np.where(held > 0, -base * np.cumsum(by["v", up])[:-1], 0.0)
+        nav[first:stop] = base * (1 + np.cumsum(g)[:-1])
+        growth.append(1 + float(g.sum()))
+        base *= growth[-1]
+    nav = nav[:days]
     before = np.concatenate([[1.0], nav[:-1]])
-    lent = np.concatenate([[0.0], out["short_value"][:-1] / nav[:-1]])
-    gross = (out["long"] + out["short"]) / before
-    trading, borrow = out["traded"] * costs.side, lent * costs.borrow_day
-    return {"gross": gross, "net": gross - trading - borrow, "long": out["long"] / before, "short": out["short"] / before, "turnover": out["traded"] / 2, "trading_cost": trading, "borrow_cost": borrow, "names": out["names"].astype(int)}
+    with np.errstate(divide="ignore", invalid="ignore"):  # a value of nothing has no returns
+        borrow = np.concatenate([[0.0], out["short_value"][:-1] / nav[:-1]]) * costs.borrow_day
+        return {"gross": (out["long"] + out["short"]) / before, "long": out["long"] / before, "short": out["short"] / before, "borrow_cost": borrow, "names": out["names"].astype(int)}, growth
 
 
 def share_book(prices: DataFrame, targets: DataFrame, costs: Costs = Costs(), execution: str = "close") -> DataFrame:
     """Daily series of a share-based book, from its first trade on (columns: BOOK).
 
-    targets: (date, ticker, weight), one full set per decision date, traded
+    prices: (date, ticker, close[, open]), one row per ticker and date. targets:
+    (date, ticker, weight), one full set per decision date, traded
     at that day's close or at the next day's open. Shares stay between
     trades, so weights drift; a target equal to the one before is not
-    traded; names without a price at execution get none; a name whose prices
+    traded; names without a price (or of price 0) at execution get none; a name whose prices
     end turns to cash at its last close without cost. turnover is one way,
     half the traded weight; costs are shares of the value; borrow is charged
     on the short value of the day before.
 
-    The path is sequential: Spark reduces prices to the names ever held and
-    one task walks the trades.
+    Between two trades a name's gain is a constant share of the book's value at
+    the first times its price change. So Spark sums these shares per day, from
+    one window per ticker, and only the book's value, one number a day, is
+    walked on the driver. Runs at once; the tables kept meanwhile are released.
     """
-    at_open = execution == "next_open"
-    held = targets.select("ticker").distinct()
-    px = prices.select("ticker", "date", "close", (F.col("open") if "open" in prices.columns else F.lit(None).cast("double")).alias("open"), F.lit(None).cast("double").alias("weight"))
-    days = prices.select("date").distinct().select(F.lit(None).cast(prices.schema["ticker"].dataType).alias("ticker"), "date", *(F.lit(None).cast("double").alias(c) for c in ("close", "open", "weight")))
-    tg = targets.select("ticker", "date", F.lit(None).cast("double").alias("close"), F.lit(None).cast("double").alias("open"), "weight")
-    both = px.join(held, "ticker", "left_semi").select("ticker", "date", "close", "open", "weight").unionByName(days).unionByName(tg).withColumn("_one", F.lit(1))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame([], columns=[c.split()[0] for c in BOOK.split(", ")])
-        p = pdf[pdf["close"].notna()]
-        if p.empty:
-            return empty
-        calendar = sorted(set(pdf["date"]))
-        names = sorted(set(p["ticker"]))
-        wide = {c: p.pivot_table(index="date", columns="ticker", values=c, dropna=False).reindex(index=calendar, columns=names) for c in ("close", "open")}
-        priced, opened = wide["close"].notna().to_numpy(), wide["open"].notna().to_numpy()
-        last_row = np.array([np.flatnonzero(priced[:, i])[-1] for i in range(len(names))])
-        close = wide["close"].ffill().fillna(0.0).to_numpy()
-        opens = wide["open"].to_numpy(float)
-        opens = np.where(np.isnan(opens), close, opens)
-        trades, where = [], {d: i for i, d in enumerate(calendar)}
-        for day, g in pdf[pdf["weight"].notna()].groupby("date"):
-            row = where[day] + at_open
-            if row >= len(calendar):
-                continue
-            w = g.set_index("ticker")["weight"].reindex(names).fillna(0.0).to_numpy()
-            trades.append((row, np.where(priced[row] & (opened[row] if at_open else True), w, 0.0)))
-        if not trades:
-            return empty
-        trades.sort(key=lambda x: x[0])
-        out = pd.DataFrame({"date": calendar, **_segments(close, opens, last_row, trades, costs, at_open)})
-        return out.iloc[trades[0][0] :]
-
-    return both.groupBy("_one").applyInPandas(walk, BOOK)
+    spark, at_open = prices.sparkSession, execution == "next_open"
+    buy = F.nullif(F.col("close"), F.lit(0.0)) if not at_open else F.nullif(known("open"), F.lit(0.0)) if "open" in prices.columns else F.lit(None).cast("double")
+    px = prices.withColumn("close", known("close")).where("close is not null").select("ticker", "date", F.col("close").cast("double").alias("close"), buy.alias("buy"))
+    wanted = targets.select("ticker", "date", F.col("weight").cast("double").alias("weight")).where("weight is not null and not isnan(weight)").persist()
+    kept = [wanted]
+    try:
+        cal = [r.date for r in prices.select("date").unionByName(targets.select("date")).distinct().orderBy("date").collect()]  # one row per day
+        row = {d: i for i, d in enumerate(cal)}
+        steps = [(r.date, row[r.date] + at_open) for r in wanted.select("date").distinct().orderBy("date").collect()]
+        steps = [(d, cal[i], k) for k, (d, i) in enumerate(steps) if i < len(cal)]
+        if not steps:
+            return spark.createDataFrame([], BOOK)
+        step = F.broadcast(spark.createDataFrame(steps, "date date, at date, idx int"))
+        aims = wanted.where("weight <> 0").join(step, "date").select("ticker", F.col("at").alias("date"), "idx", "weight")
+
+        # decisions whose targets differ from those before
+        met = px.where("buy is not null").join(step.select(F.col("at").alias("date")), "date", "left_semi").select("ticker", "date")
+        by = Window.partitionBy("ticker").orderBy("idx")
+        same = (F.lag("idx").over(by) == F.col("idx") - 1) & (F.lag("weight").over(by) == F.col("weight"))
+        seen = aims.join(met.hint("merge"), ["ticker", "date"]).withColumn("_s", F.coalesce(same, F.lit(False)).cast("int"))
+        n = {r.idx: (r.n, r.same) for r in seen.groupBy("idx").agg(F.count(F.lit(1)).alias("n"), F.sum("_s").alias("same")).collect()}
+        if not n:
+            return spark.createDataFrame([], BOOK)
+        trades = [at for _, at, k in steps if k == 0 or not n.get(k, (0, 0))[0] == n.get(k, (0, 0))[1] == n.get(k - 1, (0, 0))[0]]
+
+        stops = [*trades[1:], None]
+        spans = [(row[a], len(cal) if b is None else row[b]) for a, b in zip(trades, stops)]
+        days = []
+        for i, d in enumerate(cal):
+            k = bisect.bisect_left(trades, d)
+            days.append((d, i, trades[k - 1] if k else None, k < len(trades) and trades[k] == d))
+        spark._jvm.System.gc()  # lets Spark remove the shuffle files of the jobs above, which nothing refers to any more
+        moves = _moves(px, aims, F.broadcast(spark.createDataFrame(days, "date date, day int, hold date, trade boolean")), F.broadcast(spark.createDataFrame(list(zip(trades, stops)), "start date, until date"))).persist()
+        kept.append(moves)
+        sums = moves.where("day is not null").groupBy("span", "day", "up").agg(F.sum("g").alias("g"), F.sum("v").alias("v"), F.sum("n").alias("n")).toPandas()  # at most two rows per day and trade
+        at = {d: k for k, d in enumerate(trades)}
+        sums = {"span": np.array([at[d] for d in sums["span"]], int), "day": sums["day"].to_numpy(int), "up": sums["up"].to_numpy(bool), **{c: sums[c].to_numpy(float) for c in "gvn"}}
+        out, growth = _path(len(cal), spans, sums, costs)
+
+        grown = F.broadcast(spark.createDataFrame(list(zip(trades, [1.0, *growth[:-1]])), "span date, grown double"))
+        drift = F.when(F.col("y") == 0, 0.0).otherwise(F.col("y") / F.nullif(F.col("grown"), F.lit(0.0)))
+        traded = np.zeros(len(cal))
+        for r in moves.where("day is null").join(grown, "span").groupBy("span").agg(F.sum(F.abs(F.col("w") - drift)).alias("x")).collect():
+            traded[row[r.span]] = np.nan if r.x is None else r.x
+    finally:
+        for t in kept:
+            t.unpersist()
+    trading = traded * costs.side
+    book = pd.DataFrame({"date": cal, **out, "turnover": traded / 2, "trading_cost": trading, "net": out["gross"] - trading - out["borrow_cost"]}).iloc[spans[0][0] :]
+    names = [c.split()[0] for c in BOOK.split(", ")]
+    return spark.createDataFrame([tuple(None if v != v else v for v in x) for x in book[names].astype(object).itertuples(index=False)], BOOK)
+
+
+def _moves(px: DataFrame, aims: DataFrame, days: DataFrame, spans: DataFrame) -> DataFrame:
+    """What a book of one at the start of each span (its date) earns, is worth and trades, in rows.
+
+    Rows with day: gain g, change of value v and of names n, up where the weight is positive. Rows without: at the trade
+    on date span, the new weight w and the worth y of the shares held until then. px: (ticker, date, close, buy), aims:
+    (ticker, date, weight) by date of execution, days: (date, day, hold: the last trade before it, trade: is it one's
+    day), spans: (start, until).
+    """
+    empty = F.lit(None).cast("double")
+    aims = aims.join(spans.select(F.col("start").alias("date")), "date", "left_semi")
+    both = px.select("ticker", "date", "close", "buy", empty.alias("weight"), F.lit(1).alias("side"))
+    both = both.unionByName(aims.select("ticker", "date", empty.alias("close"), empty.alias("buy"), "weight", F.lit(0).alias("side")))
+    w = Window.partitionBy("ticker").orderBy("date", "side")
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    aim = F.when((F.lag("side").over(w) == 0) & (F.lag("date").over(w) == F.col("date")) & F.col("buy").isNotNull(), F.lag("weight").over(w))
+    rows = both.withColumn("aim", aim).withColumn("u", F.col("aim") / F.col("buy"))
+    rows = rows.withColumn("leg", F.last(F.when(F.col("u").isNotNull(), F.struct("date", "u")), ignorenulls=True).over(earlier))
+    rows = rows.withColumn("prev", F.last(F.when(F.col("side") == 1, F.struct("date", "close")), ignorenulls=True).over(earlier))
+    rows = rows.withColumn("end", F.max(F.when(F.col("side") == 1, F.col("date"))).over(Window.partitionBy("ticker"))).where("side = 1 and (leg is not null or u is not null)")
+    rows = rows.join(days, "date").join(spans, F.col("leg.date") == F.col("start"), "left")
+
+    new, old = F.col("u").isNotNull(), F.coalesce(F.col("leg.date") == F.col("hold"), F.lit(False))
+    # shares sold at a trade without a price of that day
+    late = F.coalesce(~old & (F.col("prev.date") < F.col("until")) & (F.col("until") < F.col("date")), F.lit(False))
+    x = F.when(F.col("trade"), F.coalesce("buy", "close")).otherwise(F.col("close"))
+    gain, mine = F.col("leg.u") * (x - F.col("prev.close")), F.when(new, F.col("u")).otherwise(F.col("leg.u"))
+
+    def row(when, span, day, u, g, v, n, w=empty, y=empty):
+        none = F.lit(None)
+        kinds = {"span": (span, "date"), "day": (none if day is None else day, "int"), "up": (none if u is None else u > 0, "boolean"), "g": (g, "double"), "v": (v, "double"), "n": (n, "int"), "w": (w, "double"), "y": (y, "double")}
+        return F.when(when, F.struct(*(c.cast(t).alias(k) for k, (c, t) in kinds.items())))
+
+    none, zero = F.lit(None), F.lit(0)
+    found = F.array(
+        row(old, F.col("hold"), F.col("day"), F.col("leg.u"), gain, gain, zero),
+        row(new, F.col("date"), F.col("day"), F.col("u"), F.col("u") * (F.col("close") - F.col("buy")), F.col("u") * F.col("close"), F.lit(1)),
+        # the day after the last price: cash
+        row((F.col("date") == F.col("end")) & (new | (old & ~F.col("trade"))), F.when(new, F.col("date")).otherwise(F.col("hold")), F.col("day") + 1, mine, zero, -mine * F.col("close"), F.lit(-1)),
+        row(F.col("trade") & (old | new), F.col("date"), None, None, none, none, none, F.coalesce("aim", F.lit(0.0)), F.when(old, F.col("leg.u") * x).otherwise(0.0)),
+        row(late, F.col("until"), None, None, none, none, none, F.lit(0.0), F.col("leg.u") * F.col("prev.close")),
+    )
+    return rows.where(old | new | late).select(F.explode(F.filter(found, lambda r: r.isNotNull())).alias("r")).select("r.*")
 
 
 def report(daily: DataFrame, year_days: int = 252) -> DataFrame:

@@ -129,7 +129,7 @@ def ew_book(spark, d):
 def _book(spark, d):
     p = panel(spark, d).select("date", "month", "ticker", F.col("momentum_21d").alias("score"))
     w = C.equal_weight_legs(p, key="month")
-    cal = calendar(R.bars(spark, d))
+    cal = calendar(table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date")))  # the bars' dates, without their making
     ends = E.rebalance_dates(cal).select("date", F.trunc("date", "month").alias("month"))
     return B.share_book(R.bars(spark, d), w.join(F.broadcast(ends), "month").select("date", "ticker", "weight"))
 

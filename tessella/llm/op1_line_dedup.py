@@ -16,6 +16,11 @@ measured against its neighbours in its buckets, in an order by hash, and
 the nearest by parity are verified; only lines still without an earlier match
 meet the others, and only earlier ones.
 
+The index of prefix words travels and is stored in packed parts (a part has
+all rows of its words), which are sorted and joined in arrays; Spark sees a
+part, not its rows. A task holds one part: 2**19 words of lines give a part,
+and a word of more lines than that adds its own rows.
+
 Cases: null text has no line; an empty text has one, empty; lines without a
 word are never matched; under ``SMALL`` words only equal sets are similar;
 rows with one doc_id are ordered by the text's crc, and identical rows are
@@ -47,6 +52,9 @@ WIDE = 4  # words of the sketch of classes that have a near neighbour
 ROUNDS = 2
 KEYS = 8
 FLUSH = 1 << 20
+PACKED = 1 << 18  # rows of the index, or pairs, that a task handles at once
+PART_WORDS = 1 << 19  # words of lines (with repeats) for which there is a part of the index
+TOPS = 21  # bits
 LAST = (1 << 63) - 1
 
 _U = np.uint64
@@ -63,9 +71,9 @@ def lines(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_sets(buf: np.ndarray, loff: np.ndarray, rank: K.HashMap | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(places in the order of rarity, bounds): each line's distinct words, sorted."""
-    low = K.LOWER[buf]
-    starts, ends, first = K.words(low, loff)
-    x = (K.span_hashes(low, starts, ends) >> _U(1)) | _U(1)  # never 0
+    low = K.lowered(buf)
+    starts, ends, first = K.words(low, loff, gap=K.separators(low))
+    x = (K.word_hashes(low, starts, ends) >> _U(1)) | _U(1)  # never 0
     if rank is not None:
         x = rank.replace(x)
     for s, e in zip(first[:-1].tolist(), first[1:].tolist()):
@@ -188,10 +196,43 @@ def keys(x: np.ndarray, bounds: np.ndarray, crowded: int) -> tuple[np.ndarray, n
     return tuple(np.concatenate(z) for z in zip(*found))
 
 
-def _prefixes(rank, crowded: int):
+_INDEX = ["<u8", "<i8", "<i8", "<u8", "<i4", "<i4"]  # key, lid, doc_id, parity, n, place
+_WIDTH = sum(np.dtype(t).itemsize for t in _INDEX)
+
+
+def pack(cols: list[np.ndarray]) -> bytes:
+    return b"".join(c.astype(t, copy=False).tobytes() for c, t in zip(cols, _INDEX))
+
+
+def unpack(blob) -> list[np.ndarray]:
+    rows, at, out = len(blob) // _WIDTH, 0, []
+    for t in _INDEX:
+        out.append(np.frombuffer(blob, t, rows, at))
+        at += rows * np.dtype(t).itemsize
+    return out
+
+
+def _unpacked(column: pa.ChunkedArray) -> list[np.ndarray]:
+    found = [unpack(x.as_buffer()) for x in column]
+    return [np.concatenate(c) for c in zip(*found)] if found else unpack(b"")
+
+
+def _prefixes(rank, crowded: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of the index, packed by part."""
         order, names = K.HashMap(*rank.value), class_names(rank.value)
         seen: set[int] = set()
+        waiting: list[tuple] = []
+
+        def dealt():
+            cols = [np.concatenate(c) for c in zip(*waiting)]
+            part = (K.mix(cols[0]) % _U(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+            by = np.argsort(part, kind="stable")
+            cols, part = [c[by] for c in cols], part[by]
+            cut = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part)) if len(part) else np.zeros(1, np.int64)
+            blobs = [pack([c[lo:hi] for c in cols]) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "rows"])
+
         for batch in batches:
             for lo, hi, buf, off in K.slices(batch.column(1)):
                 loff, first = lines(buf, off)
@@ -205,12 +246,126 @@ def _prefixes(rank, crowded: int):
                 key, who, place = keys(x[inside], np.concatenate([[0], np.cumsum(n[take])]), crowded)
                 who = take[who]
                 ids = batch.column(0).slice(lo, hi - lo).fill_null(LAST).to_numpy()
-                doc = ids[np.searchsorted(first, who, side="right") - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(key)), pa.array(lid[who]), pa.array(doc), pa.array(K.signed(parity(x, bounds)[who])), pa.array(n[who].astype(np.int32)), pa.array(place.astype(np.int32))], ["word", "lid", "doc_id", "odd", "n", "place"])
+                doc = ids[np.searchsorted(first, np.arange(len(n)), side="right") - 1]
+                waiting.append((key, lid[who], doc[who], parity(x, bounds)[who], n[who].astype("<i4"), place.astype("<i4")))
+                if sum(len(w[0]) for w in waiting) > PACKED:
+                    yield dealt()
+                    waiting = []
+        if waiting:
+            yield dealt()
 
     return run
 
 
+def _least(total: np.ndarray) -> np.ndarray:
+    """Common words that similar sets of so many words together have at least."""
+    return (total * PERCENT + 99 + PERCENT) // (100 + PERCENT)
+
+
+def may(n, place, odd, n2, place2, odd2) -> np.ndarray:
+    """Length, positional and parity filters of pairs of index rows (of one key each)."""
+    total = n + n2
+    least = _least(total)
+    ok = (100 * np.minimum(n, n2) >= PERCENT * np.maximum(n, n2)) & (np.bitwise_count(odd ^ odd2) <= total - 2 * least)
+    return ok & (np.minimum(place, place2) + np.minimum(n - place, n2 - place2) >= least)
+
+
+_SORTED = "part int, rows binary, a long, far float, b long"
+
+
+def _sorted(table: pa.Table) -> pa.Table:
+    """A part's rows in order, without repeats and keys of one class; and per class its nearest neighbour in a bucket."""
+    key, lid, doc, odd, n, place = cols = _unpacked(table.column("rows"))
+    turn = key % _U(64)
+    by = np.lexsort((doc, lid, (odd << turn) | (odd >> ((_U(64) - turn) % _U(64))), key))
+    key, lid = key[by], lid[by]
+    fresh = np.ones(len(by), bool)  # of a class that several tasks emit the first row stays
+    fresh[1:] = (key[1:] != key[:-1]) | (lid[1:] != lid[:-1])
+    by, key = by[fresh], key[fresh]
+    same = np.zeros(len(by) + 1, bool)
+    same[1:-1] = key[1:] == key[:-1]
+    by = by[same[:-1] | same[1:]]
+    key, lid, doc, odd, n, place = cols = [c[by] for c in cols]
+    n, place = n.astype(np.int64), place.astype(np.int64)
+    at = np.flatnonzero(key[1:] == key[:-1]) + 1
+    at = at[may(n[at], place[at], odd[at], n[at - 1], place[at - 1], odd[at - 1])]
+    far = (np.bitwise_count(odd[at] ^ odd[at - 1]) / (n[at] + n[at - 1])).astype(np.float32)
+    by = np.lexsort((lid[at - 1], far, lid[at]))
+    a, far, b = lid[at][by], far[by], lid[at - 1][by]
+    one = np.ones(len(a), bool)
+    one[1:] = a[1:] != a[:-1]
+    a, far, b = a[one], far[one], b[one]
+    rows = [pack(cols)] if len(key) else []
+    full, none = len(rows), pa.nulls
+    part = table.column("part")[0].as_py()
+    return pa.table({
+        "part": pa.array([part] * full + [None] * len(a), pa.int32()), "rows": pa.array(rows + [None] * len(a), pa.binary()), "a": pa.concat_arrays([none(full, pa.int64()), pa.array(a)]),
+        "far": pa.concat_arrays([none(full, pa.float32()), pa.array(far)]), "b": pa.concat_arrays([none(full, pa.int64()), pa.array(b)]),
+    })
+
+
+def _members(tops):
+    """The rows of classes whose first bits are among tops: of all that are wanted, and of some others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        has = np.zeros(1 << TOPS, bool)
+        has[tops.value] = True
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                key, lid = unpack(blob.as_buffer())[:2]
+                ok = np.flatnonzero(has[lid >> (63 - TOPS)])
+                for at in range(0, len(ok), PACKED):
+                    own = ok[at : at + PACKED]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part, np.int32)), pa.array(K.signed(key[own])), pa.array(lid[own])], ["part", "word", "lid"])
+
+    return run
+
+
+def _pieces(count: np.ndarray) -> Iterator[slice]:
+    """Ranges of about PACKED of the counted."""
+    total, lo = np.cumsum(count), 0
+    while lo < len(count):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PACKED, side="right")))
+        yield slice(lo, hi)
+        lo = hi
+
+
+def _pairs(table: pa.Table, known: pa.Table) -> pa.Table:
+    """Classes a < b that share a key of the part and pass the filters, and are not both known (lid, done).
+
+    A known class that is done has its earlier match, so it meets only classes that may be later.
+    """
+    key, lid, doc, odd, n, place = _unpacked(table.column("rows"))
+    n, place = n.astype(np.int64), place.astype(np.int64)
+    if not len(key):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    have, at = np.unique(known.column("lid").to_numpy(), return_index=True)
+    done = known.column("done").to_numpy()[at].astype(bool)
+    at = np.minimum(np.searchsorted(have, lid), max(0, len(have) - 1))
+    old = have[at] == lid if len(have) else np.zeros(len(lid), bool)
+    settled = old & done[at] if len(have) else old
+    bucket = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) << 32
+    new, old = (w[np.argsort(bucket[w] + n[w], kind="stable")] for w in (np.flatnonzero(~old), np.flatnonzero(old)))
+    size, base = n[new], bucket[new]
+    found = [np.empty((0, 2), np.int64)]
+    for side in (new, old):
+        order = bucket[side] + n[side]
+        hi = np.searchsorted(order, base + 100 * size // PERCENT, side="right")
+        lo = np.arange(1, len(new) + 1) if side is new else np.searchsorted(order, base - (-PERCENT * size // 100))
+        own = [c[side] for c in (lid, doc, odd, n, place, settled)]
+        for s in _pieces(hi - lo):
+            j, i = K.runs(lo[s], hi[s])
+            i = new[s][i]
+            total = n[i] + own[3][j]
+            ok = np.flatnonzero(np.bitwise_count(odd[i] ^ own[2][j]) <= total - 2 * _least(total))
+            i, j = i[ok], j[ok]
+            ok = may(n[i], place[i], odd[i], own[3][j], own[4][j], own[2][j]) & ((side is new) | (doc[i] >= own[1][j]) | ~own[5][j])
+            i, j = lid[i[ok]], own[0][j[ok]]
+            found.append(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
+
+
 def class_names(rank) -> np.ndarray:
     """The frequent words' hashes by their place."""
     return rank[0][np.argsort(rank[1])]
@@ -224,34 +379,34 @@ def named(x: np.ndarray, names: np.ndarray) -> np.ndarray:
     return out
 
 
-def wide_parity(x: np.ndarray) -> np.ndarray:
-    """Of one set, WIDE words of 64 cells."""
+def wide_parity(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Of each set, WIDE words of 64 cells."""
     m = K.mix(x ^ _U(0x3C6EF372FE94F82B))
-    out = np.zeros(WIDE, _U)
-    np.bitwise_xor.at(out, (m % _U(WIDE)).astype(np.int64), _U(1) << (m >> _U(58)))
-    return K.signed(out)
+    bit, cell = _U(1) << (m >> _U(58)), m % _U(WIDE)
+    out = np.empty((len(bounds) - 1, WIDE), _U)
+    for c in range(WIDE):
+        run = np.concatenate([np.zeros(1, _U), np.bitwise_xor.accumulate(np.where(cell == _U(c), bit, _U(0)))])
+        out[:, c] = run[bounds[1:]] ^ run[bounds[:-1]]
+    return out.view(np.int64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The word sets, and their sketches, of the wanted (lid, line) of each text."""
+    """The word sets, and their sketches, of the wanted (lid, line) of each text; other lines are not read into words."""
     for batch in batches:
-        wanted = batch.column(1).to_pylist()
+        wanted = batch.column(1)
         for lo, hi, buf, off in K.slices(batch.column(0)):
             loff, first = lines(buf, off)
-            x, bounds = word_sets(buf, loff)
-            lid, items, n, odd = [], [], [], []
-            ids = class_ids(x, bounds)
-            for d in range(lo, hi):
-                for w in wanted[d]:
-                    i = int(first[d - lo]) + w["line"]
-                    if i < int(first[d - lo + 1]) and int(ids[i]) == w["lid"]:
-                        own = x[bounds[i] : bounds[i + 1]]
-                        lid.append(w["lid"])
-                        items.append(own.tobytes())
-                        n.append(len(own))
-                        odd.append(wide_parity(own))
-            odd = np.array(odd, np.int64).reshape(len(lid), WIDE)
-            yield pa.RecordBatch.from_arrays([pa.array(lid, pa.int64()), pa.array(items, pa.binary()), pa.array(n, pa.int32()), *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(WIDE))], ["lid", "items", "n", *_ODD])
+            own = wanted.slice(lo, hi - lo)
+            each, asked = own.flatten(), np.repeat(np.arange(hi - lo), own.value_lengths().fill_null(0).to_numpy())
+            lid, at = each.field(0).to_numpy(), first[asked] + each.field(1).to_numpy()
+            there = at < first[asked + 1]
+            lid, at = lid[there], at[there]
+            inside, _ = K.runs(loff[at], loff[at + 1])
+            x, bounds = word_sets(buf[inside], np.concatenate([[0], np.cumsum(loff[at + 1] - loff[at])]))
+            ok = np.flatnonzero(class_ids(x, bounds) == lid)
+            odd = wide_parity(x, bounds)[ok]
+            items = [x[s:e].tobytes() for s, e in zip(bounds[ok].tolist(), bounds[ok + 1].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(lid[ok]), pa.array(items, pa.binary()), pa.array(np.diff(bounds)[ok].astype(np.int32)), *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(WIDE))], ["lid", "items", "n", *_ODD])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,18 +463,21 @@ def _settled(state: Staged, late: Staged) -> Staged:
     return out
 
 
-def _matched(docs: DataFrame, classes: Staged, rows: Bucketed) -> Staged:
-    """(lid, done) of the classes that have a near neighbour in a bucket.
+def _matched(docs: DataFrame, classes: Staged, rows: Staged) -> tuple[Staged, Staged]:
+    """(lid, done) of the classes that have a near neighbour in a bucket, and (part, word, lid) of their index rows.
 
     These meet each other here: over a few rounds the nearest of their
     neighbours, by a wide sketch, is verified; then those that have no earlier
     match yet meet all earlier ones of their buckets.
     """
-    near = Staged(rows.df().where("near is not null").groupBy(F.col("lid").alias("a")).agg(F.min("near").alias("m")).select("a", F.col("m.b").alias("b")), "near")
+    near = Staged(rows.df().where("a is not null").groupBy("a").agg(F.min(F.struct("far", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "near")
     close = Staged(near.df().select(F.col("a").alias("lid")).unionByName(near.df().select(F.col("b").alias("lid"))).distinct(), "close")
     made = _made(docs, classes, close.df())
     state = _settled(Staged(close.df().withColumn("done", F.lit(False)), "state"), _late(near.df(), made))
-    members = Staged(rows.df().join(small(close), "lid", "left_semi").select("word", "lid"), "members")
+    tops = close.df().select(F.shiftright("lid", 63 - TOPS).cast("int").alias("top")).distinct().toPandas()["top"].to_numpy(np.int32)  # at most 2 ** TOPS
+    tops = docs.sparkSession.sparkContext.broadcast(tops)
+    members = rows.df().where("rows is not null").select("part", "rows").mapInArrow(_members(tops), "part int, word long, lid long")
+    members = Staged(members.join(small(close), "lid", "left_semi").select("part", "word", "lid"), "members")
     facts = Staged(made.df().select("lid", "n", "at", *_ODD), "facts")
     for turn in range(ROUNDS):
         known = small(facts, 128).join(small(state), "lid")
@@ -336,30 +494,20 @@ def _matched(docs: DataFrame, classes: Staged, rows: Bucketed) -> Staged:
     once = "coalesce(x.word = array_min(array_intersect(x.k, y.k)), true)"
     both = known.alias("x").join(known.alias("y"), F.expr(f"x.word = y.word and not x.done and x.at > y.at and {_alike('x', 'y')} and {once}"))
     state = _settled(state, _late(both.select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b")), made))
-    for t in (near, close, made, facts, members, first):
+    for t in (near, close, made, facts, first):
         t.drop()
-    return state
-
-
-def _may(a: str, b: str) -> str:
-    """SQL: length, positional and parity filters of prefix rows a (columns, if empty) and b."""
-    a, b = (f"{x}." if x else "" for x in (a, b))
-    least = f"(({a}n + {b}n) * {PERCENT} + {99 + PERCENT}) div {100 + PERCENT}"
-    return (
-        f"100 * least({a}n, {b}n) >= {PERCENT} * greatest({a}n, {b}n)"
-        f" and least({a}place, {b}place) + 1 + least({a}n - {a}place, {b}n - {b}place) - 1 >= {least}"
-        f" and bit_count({a}odd ^ {b}odd) <= {a}n + {b}n - 2 * ({least})"
-    )
+    return state, members
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for text, gone, near in zip(*(batch.column(i) for i in (1, 2, 3))):
-            own = text.as_buffer().to_pybytes().split(b"\n") if text.is_valid else []
-            drop = set(gone.as_py() or ())
-            kept = b"\n".join(x for i, x in enumerate(own) if i not in drop)
-            rows.append((len(own), len(drop), near.as_py() or 0, hashlib.sha256(kept).hexdigest(), kept.decode()))
+            kept, drop = text.as_buffer().to_pybytes() if text.is_valid else b"", set(gone.as_py() or ())
+            total = kept.count(b"\n") + 1 if text.is_valid else 0
+            if drop:
+                kept = b"\n".join(x for i, x in enumerate(kept.split(b"\n")) if i not in drop)
+            rows.append((total, len(drop), near.as_py() or 0, hashlib.sha256(kept).hexdigest(), kept.decode()))
         n, g, s, d, k = list(zip(*rows)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(g, pa.int64()), pa.array(s, pa.int64()), pa.array(d, pa.string()), pa.array(k, pa.string())], ["doc_id", "n_lines", "n_removed", "n_near", "kept_sha256", "kept_text"])
 
@@ -368,7 +516,7 @@ def remove_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed (n_near: by a similar, not an equal line), kept_sha256, kept_text of docs (doc_id, text)."""
     spark = bounded(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = docs.withColumn("crc", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    keyed = docs.withColumn("crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
     parts = partitions(spark)
     scan = Staged(docs.mapInArrow(_scan(parts), _SCAN), "scan")
     where = scan.df().where("lid is not null").select("lid", "n", "doc_id", "crc", "line")
@@ -393,23 +541,19 @@ def remove_lines(docs: DataFrame) -> DataFrame:
     by = np.argsort(word)
     rank = spark.sparkContext.broadcast((word[by], place[by]))
 
-    bucket = Window.partitionBy("word").orderBy(_turned("odd"), "lid", "doc_id")
-    rows = docs.mapInArrow(_prefixes(rank, crowded), "word long, lid long, doc_id long, odd long, n int, place int")
-    # of a class that several tasks emit the first row stays; a bucket of one row has no neighbour
-    before = {c: F.lag(c).over(bucket) for c in ("lid", "odd", "n", "place")}
-    rows = rows.select("*", *(x.alias(f"p_{c}") for c, x in before.items()), F.lead("lid").over(bucket).alias("next"))
-    rows = rows.where("(p_lid is not null or next is not null) and not lid <=> p_lid")
-    near = F.when(F.expr(_may("", "p").replace("p.", "p_")), F.struct(F.expr("cast(bit_count(odd ^ p_odd) as float) / (n + p_n)").alias("far"), F.col("p_lid").alias("b")))
-    rows = rows.withColumn("near", near).select("word", "lid", "doc_id", "odd", "n", "place", "near")
-    rows = Bucketed(rows, "prefixes", "word")
+    total = scan.df().agg(F.sum("n")).first()[0] or 0
+    cut = max(4 * parts, total // PART_WORDS)
+    rows = docs.mapInArrow(_prefixes(rank, crowded, cut), "part int, rows binary")
+    rows = Staged(rows.groupBy("part").applyInArrow(_sorted, _SORTED), "prefixes")
     release(spark)
-    state = _matched(keyed, classes, rows)
+    state, members = _matched(keyed, classes, rows)
     release(spark)
 
-    # the pairs that are not both among those; one plan for both sides: the table is dealt out by word, so neither is shuffled while these classes are few
-    x = rows.df().select("word", "lid", "doc_id", "odd", "n", "place").join(small(state), "lid", "left")
-    both = x.alias("x").join(x.alias("y"), F.expr(f"x.word = y.word and x.lid <> y.lid and x.doc_id >= y.doc_id and (x.done is null or not x.done and y.done is null) and {_may('x', 'y')}"))
-    pairs = Staged(both.select(F.least("x.lid", "y.lid").alias("a"), F.greatest("x.lid", "y.lid").alias("b")).distinct(), "pairs")
+    # the pairs that are not both among those
+    known = members.df().select("part", "lid").join(small(state), "lid").select("part", "lid", "done")
+    index = rows.df().where("rows is not null").select("part", "rows")
+    pairs = Staged(index.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_pairs, "a long, b long").distinct(), "pairs")
+    members.drop()
     made = _made(keyed, classes, pairs.df().select(F.col("a").alias("lid")).unionByName(pairs.df().select(F.col("b").alias("lid"))))
     known = made.df().select("lid", "n", *_ODD)
     alike = pairs.df().alias("p").join(known.alias("x"), F.expr("p.a = x.lid")).join(known.alias("y"), F.expr("p.b = y.lid")).where(_alike("x", "y")).select("p.a", "p.b")

@@ -126,3 +126,89 @@ def test_keys_meet_all_similar_sets():
                 b, n = sets[j], len(set(a) & set(sets[j]))
                 if 100 * n >= L.PERCENT * (len(a) + len(b) - n):
                     assert own[i] & own[j], (crowded, a, b)
+
+
+def test_wanted_sets_do_not_cost_the_other_lines(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["\n".join(f"w{i} of line number {k} here" for k in range(50)) for i in range(20)] + [None, ""]
+    raw = [x.encode() for x in texts if x]
+    buf, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    loff, first = L.lines(buf, off)
+    x, bounds = L.word_sets(buf, loff)
+    lid = L.class_ids(x, bounds)
+    wanted = [[] for _ in texts]
+    wanted[3] = [{"lid": int(lid[first[3] + 7]), "line": 7}, {"lid": 5, "line": 8}, {"lid": 5, "line": 50}]
+    wanted[9] = [{"lid": int(lid[first[9]]), "line": 0}]
+    read, plain = [], L.word_sets
+    monkeypatch.setattr(L, "word_sets", lambda b, *a: read.append(len(b)) or plain(b, *a))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(wanted, pa.list_(pa.struct([("lid", pa.int64()), ("line", pa.int32())])))], ["text", "wanted"])
+    for rows in (batch, pa.RecordBatch.from_arrays([pa.array(["x", *texts]), pa.array([[], *wanted], batch.schema.field(1).type)], ["text", "wanted"]).slice(1)):
+        got = {r["lid"]: r for b in L._sets(iter([rows])) for r in b.to_pylist()}
+        assert set(got) == {int(lid[first[3] + 7]), int(lid[first[9]])}
+        for at in (first[3] + 7, first[9]):
+            own = x[bounds[at] : bounds[at + 1]]
+            assert got[int(lid[at])]["items"] == own.tobytes() and got[int(lid[at])]["n"] == len(own)
+    assert sum(read) < len(buf) // 10
+
+
+def test_packed_index_gives_all_pairs(monkeypatch):
+    import pyarrow as pa
+
+    r = np.random.default_rng(7)
+    n = 400
+    lid, size = np.arange(1, n + 1), r.integers(6, 40, n)
+    word, who = np.divmod(r.choice(30 * n, 3000, replace=False), n)
+    rows = [word.astype(np.uint64), lid[who], (lid * 7 % 90)[who], r.integers(0, 1 << 12, n).astype(np.uint64)[who], size[who], r.integers(0, 4, 3000)]
+    again = [np.concatenate([c, c[:500]]) for c in rows]
+    again[2][3000:] += 1  # another task's row of the class
+    half = 1700
+    blobs = [L.pack([c[:half] for c in again]), L.pack([c[half:] for c in again])]
+    assert all((a == b).all() for a, b in zip(L.unpack(L.pack(again)), again))
+    out = L._sorted(pa.table({"part": pa.array([4, 4], pa.int32()), "rows": pa.array(blobs, pa.binary())}))
+    index = out.filter(out["rows"].is_valid()).select(["part", "rows"])
+    own = L._unpacked(index["rows"])
+    assert sorted(zip(*map(np.ndarray.tolist, own))) == sorted(zip(*map(np.ndarray.tolist, rows)))
+    near = out.filter(out["a"].is_valid()).to_pylist()
+    assert near and len({x["a"] for x in near}) == len(near)
+    known = {int(v): bool(v % 2) for v in lid[::3]}
+    want, whole = set(), list(zip(*map(np.ndarray.tolist, rows)))
+    for x in whole:
+        for y in whole:
+            total = x[4] + y[4]
+            least = -(-L.PERCENT * total // (100 + L.PERCENT))
+            fits = 100 * min(x[4], y[4]) >= L.PERCENT * max(x[4], y[4]) and (x[3] ^ y[3]).bit_count() <= total - 2 * least and min(x[5], y[5]) + min(x[4] - x[5], y[4] - y[5]) >= least
+            if x[0] == y[0] and x[1] != y[1] and x[2] >= y[2] and fits and (x[1] not in known or not known[x[1]] and y[1] not in known):
+                want.add((min(x[1], y[1]), max(x[1], y[1])))
+    marks = pa.table({"part": pa.array([4] * len(known), pa.int32()), "lid": pa.array(list(known)), "done": pa.array(list(known.values()))})
+    for packed in (1 << 18, 3):
+        monkeypatch.setattr(L, "PACKED", packed)
+        got = L._pairs(index, marks)
+        assert want and set(zip(got["a"].to_pylist(), got["b"].to_pylist())) == want and got.num_rows == len(want)
+    assert L._pairs(index, marks.slice(0, 0)).num_rows >= len(want) and L._pairs(index.slice(0, 0), marks).num_rows == 0
+
+
+def test_index_rows_travel_packed(spark):
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i * k % 97}" for i in range(1, 30)) for k in range(1, 60)]
+    rank = spark.sparkContext.broadcast((np.array([5], np.uint64), np.array([1 << 63], np.uint64)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    got = [r for b in L._prefixes(rank, (1 << 63) + 1, 4)(iter([batch])) for r in b.to_pylist()]
+    assert sorted(r["part"] for r in got) == [0, 1, 2, 3] and sum(len(L.unpack(r["rows"])[0]) for r in got) > 100
+    assert not set.intersection(*(set(L.unpack(r["rows"])[0].tolist()) for r in got[:2]))
+
+
+def test_word_hashes():
+    from tessella.llm import kernels as K
+
+    r = random.Random(4)
+    words = [bytes(r.randrange(33, 256) for _ in range(r.choice([1, 2, 7, 8, 9, 16, 17, 64, 65, 200]))) for _ in range(3000)]
+    words += words[:300] + [b"a", b"a\0", b"a\0\0", b"\0"]
+    buf, ends = np.frombuffer(b" ".join(words), np.uint8), np.cumsum([len(w) + 1 for w in words]) - 1
+    found = {}
+    for w, h in zip(words, K.word_hashes(buf, ends - np.array([*map(len, words)]), ends).tolist()):
+        assert found.setdefault(w, h) == h
+    assert len(set(found.values())) == len(found)
+    every = np.arange(256, dtype=np.uint8)
+    assert (K.lowered(every) == K.LOWER).all() and (K.separators(every) == K.IS_SEP).all()

@@ -400,13 +400,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             each, asked = own.flatten(), np.repeat(np.arange(hi - lo), own.value_lengths().fill_null(0).to_numpy())
             lid, at = each.field(0).to_numpy(), first[asked] + each.field(1).to_numpy()
             there = at < first[asked + 1]
-            lid, at = lid[there], at[there]
+            lid, at, asked = lid[there], at[there], asked[there]
             inside, _ = K.runs(loff[at], loff[at + 1])
             x, bounds = word_sets(buf[inside], np.concatenate([[0], np.cumsum(loff[at + 1] - loff[at])]))
             ok = np.flatnonzero(class_ids(x, bounds) == lid)
             odd = wide_parity(x, bounds)[ok]
             items = [x[s:e].tobytes() for s, e in zip(bounds[ok].tolist(), bounds[ok + 1].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(lid[ok]), pa.array(items, pa.binary()), pa.array(np.diff(bounds)[ok].astype(np.int32)), *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(WIDE))], ["lid", "items", "n", *_ODD])
+            where = [batch.column(i).slice(lo, hi - lo).take(pa.array(asked[ok])) for i in (2, 3)] + [pa.array((at - first[asked])[ok].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(lid[ok]), pa.array(items, pa.binary()), pa.array(np.diff(bounds)[ok].astype(np.int32)), *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(WIDE)), *where], ["lid", "items", "n", *_ODD, "doc_id", "crc", "line"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,13 +422,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([lid.filter(pa.array(ok, pa.bool_()))], ["lid"])
 
 
-def _made(docs: DataFrame, classes: Staged, lids: DataFrame) -> Bucketed:
+def _made(docs: DataFrame, classes: Staged, lids: Staged) -> Bucketed:
     """lid, items, n, sketch, at (doc_id, crc, line) of the classes named in lids, dealt out by lid: joins move pairs, not sets."""
-    reps = lids.distinct().join(classes.df(), "lid").groupBy("doc_id", "crc").agg(F.collect_list(F.struct("lid", "line")).alias("wanted"))
+    reps = classes.df().join(small(lids), "lid", "left_semi").groupBy("doc_id", "crc").agg(F.collect_list(F.struct("lid", "line")).alias("wanted"))
     reps = Staged(reps, "reps")
     keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
-    sets = keyed.join(small(reps, 96), ["doc_id", "crc"]).select("text", "wanted").mapInArrow(_sets, f"lid long, items binary, n int, {', '.join(f'{x} long' for x in _ODD)}").dropDuplicates(["lid"])
-    made = Bucketed(sets.join(classes.df().select("lid", F.struct("doc_id", "crc", "line").alias("at")), "lid"), "sets", "lid")
+    sets = keyed.join(small(reps, 96), ["doc_id", "crc"]).select("text", "wanted", "doc_id", "crc").mapInArrow(_sets, f"lid long, items binary, n int, {', '.join(f'{x} long' for x in _ODD)}, doc_id long, crc long, line int").dropDuplicates(["lid"])
+    made = Bucketed(sets.select("lid", "items", "n", *_ODD, F.struct("doc_id", "crc", "line").alias("at")), "sets", "lid")
     reps.drop()
     return made
 
@@ -472,7 +473,7 @@ def _matched(docs: DataFrame, classes: Staged, rows: Staged) -> tuple[Staged, St
     """
     near = Staged(rows.df().where("a is not null").groupBy("a").agg(F.min(F.struct("far", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "near")
     close = Staged(near.df().select(F.col("a").alias("lid")).unionByName(near.df().select(F.col("b").alias("lid"))).distinct(), "close")
-    made = _made(docs, classes, close.df())
+    made = _made(docs, classes, close)
     state = _settled(Staged(close.df().withColumn("done", F.lit(False)), "state"), _late(near.df(), made))
     tops = close.df().select(F.shiftright("lid", 63 - TOPS).cast("int").alias("top")).distinct().toPandas()["top"].to_numpy(np.int32)  # at most 2 ** TOPS
     tops = docs.sparkSession.sparkContext.broadcast(tops)
@@ -554,11 +555,12 @@ def remove_lines(docs: DataFrame) -> DataFrame:
     index = rows.df().where("rows is not null").select("part", "rows")
     pairs = Staged(index.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_pairs, "a long, b long").distinct(), "pairs")
     members.drop()
-    made = _made(keyed, classes, pairs.df().select(F.col("a").alias("lid")).unionByName(pairs.df().select(F.col("b").alias("lid"))))
+    met = Staged(pairs.df().select(F.col("a").alias("lid")).unionByName(pairs.df().select(F.col("b").alias("lid"))).distinct(), "met")
+    made = _made(keyed, classes, met)
     known = made.df().select("lid", "n", *_ODD)
     alike = pairs.df().alias("p").join(known.alias("x"), F.expr("p.a = x.lid")).join(known.alias("y"), F.expr("p.b = y.lid")).where(_alike("x", "y")).select("p.a", "p.b")
     late, more = Staged(state.df().where("done").select("lid"), "late"), _late(alike, made)
-    for t in (rows, state, pairs, made):
+    for t in (rows, state, pairs, met, made):
         t.drop()
 
     late_all = late.df().unionByName(more.df()).distinct().withColumn("near", F.lit(1))

@@ -142,12 +142,17 @@ def test_wanted_sets_do_not_cost_the_other_lines(monkeypatch):
     wanted[9] = [{"lid": int(lid[first[9]]), "line": 0}]
     read, plain = [], L.word_sets
     monkeypatch.setattr(L, "word_sets", lambda b, *a: read.append(len(b)) or plain(b, *a))
-    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(wanted, pa.list_(pa.struct([("lid", pa.int64()), ("line", pa.int32())])))], ["text", "wanted"])
-    for rows in (batch, pa.RecordBatch.from_arrays([pa.array(["x", *texts]), pa.array([[], *wanted], batch.schema.field(1).type)], ["text", "wanted"]).slice(1)):
+    kind = pa.list_(pa.struct([("lid", pa.int64()), ("line", pa.int32())]))
+
+    def batch(texts, wanted, ids):
+        return pa.RecordBatch.from_arrays([pa.array(texts), pa.array(wanted, kind), pa.array(ids), pa.array(ids)], ["text", "wanted", "doc_id", "crc"])
+
+    for rows in (batch(texts, wanted, range(len(texts))), batch(["x", *texts], [[], *wanted], range(-1, len(texts))).slice(1)):
         got = {r["lid"]: r for b in L._sets(iter([rows])) for r in b.to_pylist()}
         assert set(got) == {int(lid[first[3] + 7]), int(lid[first[9]])}
         for at in (first[3] + 7, first[9]):
             own = x[bounds[at] : bounds[at + 1]]
+            assert (got[int(lid[at])]["doc_id"], got[int(lid[at])]["line"]) == ((3, 7) if at > first[3] and at < first[4] else (9, 0))
             assert got[int(lid[at])]["items"] == own.tobytes() and got[int(lid[at])]["n"] == len(own)
     assert sum(read) < len(buf) // 10
 
